@@ -17,7 +17,7 @@ from feedloom.llm.tokens import vocabulary_path
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments and pairs of pieces kept by one Python worker; at so many the caches start anew. Ids do not depend on it.
-CACHE_SEGMENTS, CACHE_PAIRS, LONG_SEGMENT = 400_000, 1_000_000, 64
+CACHE_SEGMENTS, CACHE_PAIRS, LONG_SEGMENT = 300_000, 2_000_000, 64
 #: A line feed, which no piece joins to anything; else a run of marks, if any, and what follows up to the next cut.
 _SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -55,8 +55,11 @@ class PieceModel:
         self.key_bytes = np.array([len(p.encode()) for p in long])
         self.width = int(self.key_bytes.max())
         self.upper = np.array([p.encode() + b"\xff" for p in long])
+        self.tails = {c: self._ids_of([c]) for c in ".,;:!?" if not any(y == c and x.isalpha() for p in self.ids for x, y in zip(p, p[1:], strict=False))}
         self.segments: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Known pairs: (left piece + 1, or 0 at a beginning) * span + piece, sorted, and whether they stay apart.
+        self.span = size + 0x110000
+        self.pair_keys, self.pair_fits = np.array([-1]), np.array([False])
 
     def merge(self, text: str) -> list[str]:
         """The BPE of one string: the adjacent pair with the best score is merged first, the leftmost of equals."""
@@ -81,10 +84,6 @@ class PieceModel:
             offer(a, after[a])
         return [p for p in parts if p is not None]
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether the BPE of both pieces joined gives the two again."""
-        return self.merge(left + right) == [left, right]
-
     def _ids_of(self, parts: list[str]) -> bytes:
         out: list[int] = []
         for p in parts:
@@ -94,6 +93,17 @@ class PieceModel:
                 out.extend(self.byte[b] for b in p.encode())
         return np.array(out, dtype="<u4").tobytes()
 
+    def _fits(self, left: int, piece: int) -> bool:
+        """Whether the BPE of the two pieces joined (of the piece alone at a beginning) gives them again."""
+        if left < 0:
+            return self.merge(self._name(piece)) == [self._name(piece)]
+        names = [self._name(left), self._name(piece)]
+        return self.merge(names[0] + names[1]) == names
+
+    def _name(self, piece: int) -> str:
+        """Characters without a piece are numbered beyond the pieces, by code point."""
+        return self.text[piece] if piece < len(self.text) else chr(piece - len(self.text))
+
     def _match(self, segments: list[str]) -> Iterator[bytes]:
         """Ids of each segment, by the suffix array of all of them."""
         joined = "\n".join(segments) + "\n"  # a line feed is in no piece of more than one character
@@ -101,54 +111,64 @@ class PieceModel:
         n = len(data) - self.width
         chars = np.flatnonzero((data[:n] & 0xC0) != 0x80)
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.width)[chars]).view(f"S{self.width}").ravel()
-        order = np.argsort(suffixes, kind="stable")
+        order = np.argsort(suffixes)
         ranked = suffixes[order]
         low, high = np.searchsorted(ranked, self.keys), np.searchsorted(ranked, self.upper)
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
         start = order[place]
+        del suffixes, ranked, place
         number = np.zeros(n + 1, dtype=np.int64)
         number[chars] = np.arange(len(chars))
         number[n] = len(chars)
-        end = number[chars[start] + self.key_bytes[which]]
-        by_end = np.lexsort((start, end))
-        starts, ends, pieces = start[by_end].tolist(), end[by_end].tolist(), self.key_ids[which[by_end]].tolist()
-        edge, text, ids, pairs = 0, self.text, self.ids, self.pairs
-        at = 0
-        for segment in segments:
-            stop = at + len(segment)
-            last: list[int | str] = [0] * (len(segment) + 1)
-            back = [0] * (len(segment) + 1)
-            for here in range(at + 1, stop + 1):
-                one = segment[here - 1 - at]
-                found = None
-                while edge < len(ends) and ends[edge] <= here:
-                    if found is None:
-                        i, piece = starts[edge], pieces[edge]
-                        if i == at:
-                            key = (-1, piece)
-                            if (fits := pairs.get(key)) is None:
-                                fits = pairs[key] = self.merge(text[piece]) == [text[piece]]
-                        else:
-                            left = last[i - at]
-                            key = (left, piece)
-                            if (fits := pairs.get(key)) is None:
-                                fits = pairs[key] = self.apart(text[left] if isinstance(left, int) else left, text[piece])
-                        if fits:
-                            found = i, piece
-                    edge += 1
-                # A character by itself is always an edge; it is the path's where no longer piece fits.
-                i, piece = found or (here - 1, ids.get(one, one))
-                last[here - at], back[here - at] = piece, i - at
-            out, k = [], len(segment)
-            while k:
-                out.append(last[k] if isinstance(last[k], str) else text[last[k]])
-                k = back[k]
-            yield self._ids_of(out[::-1])
-            at = stop + 1
-            while edge < len(ends) and ends[edge] <= at:
-                edge += 1
+        # Each character by itself is an edge as well.
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        distinct, inverse = np.unique(points, return_inverse=True)
+        alone = np.array([self.ids.get(chr(c), len(self.text) + c) for c in distinct.tolist()])[inverse]
+        sizes = np.array([len(s) for s in segments])
+        heads = np.cumsum(sizes + 1) - sizes - 1
+        head_of = np.repeat(heads, sizes + 1)
+        inside = points != 0x0A
+        starts = np.concatenate([start, np.flatnonzero(inside)])
+        ends = np.concatenate([number[chars[start] + self.key_bytes[which]], np.flatnonzero(inside) + 1])
+        pieces = np.concatenate([self.key_ids[which], alone[inside]])
+        # Edges by the end's distance from its segment's head: all edges of one distance are relaxed at once.
+        far = ends - head_of[starts]
+        by_end = np.argsort(far, kind="stable")
+        starts, ends, pieces, far = starts[by_end], ends[by_end], pieces[by_end], far[by_end]
+        cuts = np.append(np.flatnonzero(np.diff(far, prepend=0)), len(far))
+        last, back = np.full(len(points) + 1, -1), np.zeros(len(points) + 1, dtype=np.int64)
+        fresh: dict[int, bool] = {}
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            s, e, p = starts[lo:hi], ends[lo:hi], pieces[lo:hi]
+            left = np.where(s == head_of[s], -1, last[s])
+            keys = (left + 1) * self.span + p
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            fits, unknown = self.pair_fits[at], np.flatnonzero(self.pair_keys[at] != keys)
+            for i in unknown.tolist():
+                key = int(keys[i])
+                if (known := fresh.get(key)) is None:
+                    known = fresh[key] = self._fits(int(left[i]), int(p[i]))
+                fits[i] = known
+            last[e[fits]], back[e[fits]] = p[fits], s[fits]
+        if fresh:
+            keys = np.append(self.pair_keys, np.fromiter(fresh.keys(), dtype=np.int64))
+            by_key = np.argsort(keys)
+            self.pair_keys, self.pair_fits = keys[by_key], np.append(self.pair_fits, np.fromiter(fresh.values(), dtype=bool))[by_key]
+        ends_here = np.zeros(len(points) + 1, dtype=bool)
+        cur = heads + sizes
+        while len(cur := cur[cur > head_of[np.minimum(cur, len(points) - 1)]]):
+            ends_here[cur] = True
+            cur = back[cur]
+        path = last[ends_here]
+        data = path.astype("<u4").tobytes()
+        begin = np.searchsorted(np.flatnonzero(ends_here), heads, side="right")
+        bounds = (4 * np.append(begin, len(path))).tolist()
+        odd = np.zeros(len(segments) + 1, dtype=np.int64)
+        np.add.at(odd, np.searchsorted(begin, np.flatnonzero(path >= len(self.text)), side="right") - 1, 1)
+        for i, (lo, hi, strange) in enumerate(zip(bounds, bounds[1:], odd[: len(segments)].tolist(), strict=False)):
+            yield self._ids_of([self._name(x) for x in path[lo // 4 : hi // 4].tolist()]) if strange else data[lo:hi]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -158,17 +178,21 @@ class PieceModel:
         if len(known) + len(new) > CACHE_SEGMENTS:
             known.clear()
             new = {s for segments in split for s in segments}
-        if len(self.pairs) > CACHE_PAIRS:
-            self.pairs.clear()
+        if len(self.pair_keys) > CACHE_PAIRS:
+            self.pair_keys, self.pair_fits = np.array([-1]), np.array([False])
         runs = [s for s in new if s == "\n" or s[1:2] == MARK]
         plain = [s for s in new if s != "\n" and s[1:2] != MARK]
-        if plain:
-            known.update(zip(plain, self._match(plain), strict=True))
+        # Where no piece holds a letter and then this mark, a segment's last mark is cut off.
+        tailed = [s for s in plain if s[-1] in self.tails and len(s) > 1 and s[-2].isalpha()]
+        whole = list({*(s for s in plain if not (s[-1] in self.tails and len(s) > 1 and s[-2].isalpha())), *(s[:-1] for s in tailed if s[:-1] not in known)})
+        if whole:
+            known.update(zip(whole, self._match(whole), strict=True))
+        known.update((s, known[s[:-1]] + self.tails[s[-1]]) for s in tailed)
         for s in runs:
             known[s] = self._ids_of(self.merge(s))
         out = [b"".join(map(known.__getitem__, segments)) for segments in split]
-        for s in [s for s in new if len(s) > LONG_SEGMENT]:
-            del known[s]
+        for s in [s for s in (*new, *whole) if len(s) > LONG_SEGMENT]:
+            known.pop(s, None)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -187,8 +211,9 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids (little-endian unsigned 32 bits), n_tokens, n_bytes (tokens of byte fallback).
+def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """One row per input row: id, ids (little-endian unsigned 32 bits), n_tokens, n_bytes (tokens of byte fallback);
+    with_decoded also decoded, the text that the ids give, in the same pass.
 
     One pass without a shuffle; memory is one batch of texts and bounded caches. Null and empty texts have no ids;
     null ids and repeated rows stay; an empty table gives no rows; other columns are not read."""
@@ -196,14 +221,16 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in sliced(batches, "_text", 2 << 20):
+        for batch in sliced(batches, "_text", 1 << 20):
             ids = m.encode([t or "" for t in batch.column(1).to_pylist()])
             n = [len(x) // 4 for x in ids]
             fallback = [int(m.is_byte[np.frombuffer(x, dtype="<u4")].sum()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(fallback, pa.int64())], ["_id", "ids", "n_tokens", "n_bytes"])
+            texts = list(map(m.decode, ids)) if with_decoded else [None] * len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(texts, pa.string())], ["_id", "ids", "n_tokens", "n_bytes", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "_id long, ids binary, n_tokens long, n_bytes long").withColumnRenamed("_id", id_col)
+    out = rows.mapInArrow(run, "_id long, ids binary, n_tokens long, n_bytes long, decoded string").withColumnRenamed("_id", id_col)
+    return out if with_decoded else out.drop("decoded")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

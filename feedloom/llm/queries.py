@@ -17,8 +17,7 @@ SHARDS = 24
 
 def op1_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs))
-    return both.select("doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+    return pieces.encode(docs, with_decoded=True).select("doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
 
 #: A conversation that holds the control strings of a common template, added to those of the table.
