@@ -61,7 +61,7 @@ def title_only(description: Column, title: Column) -> Column:
 
 def due_for_enrichment(as_of: Column, cooldown_seconds: int = 3600) -> Transform:
     """Partial rows never attempted, or not within the cooldown, that have a title or a company."""
-    waited = F.col("enrichment_attempted_at").isNull() | (as_of.cast("double") - F.col("enrichment_attempted_at").cast("double") >= cooldown_seconds)
+    waited = F.col("enrichment_attempted_at").isNull() | (as_of.cast("double") - F.col("enrichment_attempted_at").cast("timestamp").cast("double") >= cooldown_seconds)
     named = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("company", F.lit("")) != "")
     return lambda df: df.filter(F.col("partial") & waited & named)
 

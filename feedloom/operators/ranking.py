@@ -58,6 +58,6 @@ def latest_incomplete(as_of: Column, stale_seconds: int = 300) -> Transform:
 
     def run(df: DataFrame) -> DataFrame:
         last = df.filter(F.col("completed_at").isNull()).orderBy(F.desc("started_at")).limit(1)
-        return last.filter(as_of.cast("double") - F.col("started_at").cast("double") <= stale_seconds)
+        return last.filter(as_of.cast("double") - F.col("started_at").cast("timestamp").cast("double") <= stale_seconds)
 
     return run

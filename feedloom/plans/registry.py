@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import feed
+from feedloom.plans import feed, scalars, stored
 
-MODULES = [feed]
+MODULES = [feed, stored, scalars]
 _SHIPPED: set[str] = set()
 
 
