@@ -64,75 +64,93 @@ class CoverTree:
         self.order = out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, point id, score) of each query's k best points other than itself; ties go to smaller ids. Integers.
-
-    A pair of nodes is pruned if <q, p> of any of their points, at most <cq, cp> + |cq| rp + |cp| rq + rq rp, stays
-    below the worst kth score of the query group; equal scores are looked at, since ids decide them."""
-    qt, pt = CoverTree(queries.astype(np.float64)), CoverTree(points.astype(np.float64))
-    # float64 holds these integer products exactly as long as they stay below 2**53.
-    q, p = queries[qt.order].astype(np.float64), points[pt.order].astype(np.float64)
-    qid, pid = query_ids[qt.order], point_ids[pt.order]
-    centres = np.array(pt.centre)
-    norms = np.sqrt((centres**2).sum(axis=1))
-    radii = np.array(pt.radius)
-    slack = 1e-9
-    best_s = np.full((len(q), k), -np.inf)
-    best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-
-    def leaf(a: int, b: int, nodes: list[int]) -> None:
-        at = np.concatenate([np.arange(pt.lo[n], pt.hi[n]) for n in nodes])
-        for begin in range(0, len(at), 4096):
-            part = at[begin : begin + 4096]
-            s = q[a:b] @ p[part].T
-            s[qid[a:b, None] == pid[part][None, :]] = -np.inf
-            hit = np.flatnonzero((s >= best_s[a:b, -1:]).any(axis=1) & np.isfinite(s.max(axis=1)))
-            for row in hit:
-                use = np.flatnonzero((s[row] >= best_s[a + row, -1]) & np.isfinite(s[row]))
-                scores, ids = np.append(best_s[a + row], s[row, use]), np.append(best_i[a + row], pid[part[use]])
-                top = np.lexsort((ids, -scores))[:k]
-                best_s[a + row], best_i[a + row] = scores[top], ids[top]
-
-    def groups() -> Iterator[int]:
-        """The query tree's nodes of which all are searched together: the highest with at most LEAF points, and leaves."""
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    n = hi - lo
+    return np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))
+
+
+class Indexed:
+    """Integer vectors in the order of their cover tree, with its nodes as arrays."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        tree = CoverTree(vectors.astype(np.float64))
+        # float64 holds integer products exactly as long as they stay below 2**53.
+        self.points, self.ids = vectors[tree.order].astype(np.float64), ids[tree.order]
+        self.lo, self.hi, self.radius = np.array(tree.lo), np.array(tree.hi), np.array(tree.radius)
+        self.centre = np.array(tree.centre)
+        self.norm = np.sqrt((self.centre**2).sum(axis=1))
+        self.children = [np.array(c, dtype=np.int64) for c in tree.children]
+        self.leaf = np.array([not c for c in tree.children])
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """Ranges of at most LEAF points: whole nodes, small siblings pooled, and parts of large leaves."""
         stack = [0]
         while stack:
             n = stack.pop()
-            if qt.hi[n] - qt.lo[n] <= LEAF or not qt.children[n]:
-                yield n
-            else:
-                stack.extend(qt.children[n])
-
-    # The query side descends first, node by node with the candidates' root; each group then descends the candidates.
-    for group in groups():
-        a0, b0, c, rq = qt.lo[group], qt.hi[group], qt.centre[group], qt.radius[group]
-        nq = float(np.sqrt((c**2).sum()))
-        for a in range(a0, b0, LEAF):
-            b = min(a + LEAF, b0)
-            bound = centres @ c + nq * radii + norms * rq + rq * radii
-            bound = bound + slack * np.abs(bound) + slack
-            stack, wait = [0], []
-            held = 0
-            while stack or wait:
-                worst = best_s[a:b, -1].min()
-                if not stack:
-                    wait = [n for n in wait if bound[n] >= worst]
-                    if wait:
-                        leaf(a, b, wait)
-                    wait, held = [], 0
-                    continue
-                n = stack.pop()
-                if bound[n] < worst:
-                    continue
-                if pt.children[n]:
-                    stack.extend(sorted((x for x in pt.children[n] if bound[x] >= worst), key=lambda x: bound[x]))
-                    continue
-                wait.append(n)
-                held += pt.hi[n] - pt.lo[n]
-                if held >= 512:
-                    leaf(a, b, wait)
-                    wait, held = [], 0
-    return [(int(qid[r]), int(i), int(s)) for r in range(len(q)) for s, i in zip(best_s[r], best_i[r], strict=True) if np.isfinite(s)]
+            if self.leaf[n]:
+                yield from ((a, min(a + LEAF, int(self.hi[n]))) for a in range(int(self.lo[n]), int(self.hi[n]), LEAF))
+                continue
+            begin = end = int(self.lo[n])
+            for c in self.children[n].tolist():
+                lo, hi = int(self.lo[c]), int(self.hi[c])
+                if hi - begin > LEAF and end > begin:
+                    yield begin, end
+                    begin = lo
+                if hi - lo > LEAF:
+                    stack.append(c)
+                    begin = hi
+                end = hi
+            if end > begin:
+                yield begin, end
+
+
+def search(queries: Indexed, points: Indexed, k: int) -> list[tuple[int, int, int]]:
+    """(query id, point id, score) of each query's k best points other than itself; ties go to smaller ids. Integers.
+
+    Both trees descend: the query side to groups of near queries, each of which then descends the points. A pair is
+    pruned if <q, p> of any of its points, at most <cq, cp> + |cq| rp + |cp| rq + rq rp, stays below the worst kth score
+    of the query group; equal scores are looked at, since ids decide them."""
+    if not len(queries.ids) or not len(points.ids):
+        return []
+    best_s = np.full((len(queries.ids), k), -np.inf)
+    best_i = np.full((len(queries.ids), k), np.iinfo(np.int64).max)
+
+    def look(a: int, b: int, nodes: np.ndarray) -> None:
+        part = _ranges(points.lo[nodes], points.hi[nodes])
+        s = queries.points[a:b] @ points.points[part].T
+        s[queries.ids[a:b, None] == points.ids[part][None, :]] = -np.inf
+        for row in np.flatnonzero((s.max(axis=1) >= best_s[a:b, -1]) & np.isfinite(s.max(axis=1))).tolist():
+            use = np.flatnonzero((s[row] >= best_s[a + row, -1]) & np.isfinite(s[row]))
+            if len(use) > 8 * k:  # only those at or over the kth of these can enter
+                use = use[s[row, use] >= np.partition(s[row, use], len(use) - k)[len(use) - k]]
+            scores, ids = np.append(best_s[a + row], s[row, use]), np.append(best_i[a + row], points.ids[part[use]])
+            top = np.lexsort((ids, -scores))[:k]
+            best_s[a + row], best_i[a + row] = scores[top], ids[top]
+
+    for a, b in queries.groups():
+        group = queries.points[a:b]
+        centre = group.mean(axis=0)
+        far, size = float(np.sqrt(((group - centre) ** 2).sum(axis=1)).max()), float(np.sqrt((centre**2).sum()))
+        bound = points.centre @ centre + size * points.radius + points.norm * far + far * points.radius
+        bound = bound + 1e-9 * np.abs(bound) + 1e-6
+        stack = [np.zeros(1, dtype=np.int64)]
+        while stack:
+            nodes = stack.pop()
+            nodes = nodes[np.argsort(-bound[nodes], kind="stable")]
+            leaves, inner = nodes[points.leaf[nodes]], nodes[~points.leaf[nodes]]
+            # Leaves from the best bound on, some hundred points at a time; the rest falls once a bound is too low.
+            held = np.cumsum(points.hi[leaves] - points.lo[leaves])
+            at = 0
+            while at < len(leaves) and bound[leaves[at]] >= best_s[a:b, -1].min():
+                to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + 1024, side="right")))
+                look(a, b, leaves[at:to])
+                at = to
+            worst = best_s[a:b, -1].min()
+            for n in inner[bound[inner] >= worst][::-1].tolist():
+                stack.append(points.children[n])
+    rows, places = np.nonzero(np.isfinite(best_s))
+    return list(zip(queries.ids[rows].tolist(), best_i[rows, places].tolist(), best_s[rows, places].astype(np.int64).tolist(), strict=True))
 
 
 def pack_vectors(ids: list[int], vectors: list[np.ndarray]) -> bytes:
@@ -189,15 +207,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     dimension never meet; an empty side gives no rows. Products must stay below 2**53.
     """
     lots = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cand = _blocks(candidates, CANDIDATES, "c").select(F.pmod(F.xxhash64("c"), F.lit(lots)).cast("int").alias("lot"), "width", F.col("data").alias("cdata"))
+    cand = _blocks(candidates, CANDIDATES, "c").select(F.pmod(F.xxhash64("c"), F.lit(lots)).cast("int").alias("lot"), "c", "width", F.col("data").alias("cdata"))
     query = _blocks(queries, QUERIES, "q").select(F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "width", F.col("data").alias("qdata"))
-    pairs = cand.join(query, ["lot", "width"]).select("cdata", "qdata")
+    pairs = cand.join(query, ["lot", "width"]).select("c", "cdata", "qdata").sortWithinPartitions("c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of = None, None
         for batch in batches:
-            for c, q in zip(batch.column(0), batch.column(1), strict=True):
-                (pid, p), (qid, qv) = unpack_vectors(c.as_py()), unpack_vectors(q.as_py())
-                found = search(qv, qid, p, pid, k)
+            for c, data, q in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if c != of:
+                    index, of = Indexed(*unpack_vectors(data.as_py())), c
+                found = search(Indexed(*unpack_vectors(q.as_py())), index, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")

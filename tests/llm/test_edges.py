@@ -155,7 +155,7 @@ def test_tree_search(seed):
     rng = np.random.default_rng(seed)
     points = rng.integers(-50, 50, (1500, 6)) if seed else np.repeat(rng.integers(-3, 3, (15, 6)), 100, axis=0)
     ids = rng.permutation(len(points))
-    found = covertree.search(points[:200], ids[:200], points, ids, 5)
+    found = covertree.search(covertree.Indexed(ids[:200], points[:200]), covertree.Indexed(ids, points), 5)
     for q in range(0, 200, 20):
         scores = points @ points[q]
         want = [(int(ids[q]), int(ids[j]), int(scores[j])) for j in np.lexsort((ids, -scores)) if ids[j] != ids[q]][:5]
