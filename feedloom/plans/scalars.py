@@ -121,3 +121,17 @@ SQL = {
     "title_filter": "SELECT p_partkey, p_name AS title FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'blue') OR contains(p_name, '1')",
     "finite_vectors": "SELECT vec_id, vec_id % 10 <> 0 AS usable FROM embeddings",
 }
+
+
+def country_extract(spark, sf_dir):
+    """The location of each customer, as text of their nation or a stated place by key."""
+    from feedloom.functions import places
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    place = F.when(F.col("c_custkey") % 4 == 0, "Berlin, DE").when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Somewhere, "), F.col("n_name"))).when(F.col("c_custkey") % 4 == 2, "Remote - EMEA")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", places.country_of(place).alias("country"))
+
+
+QUERIES["country_extract"] = country_extract
+SQL["country_extract"] = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 2 THEN 'INTL' WHEN 3 THEN 'Unknown' ELSE coalesce(map {'united states': 'US', 'united kingdom': 'GB', 'canada': 'CA', 'germany': 'DE', 'france': 'FR', 'india': 'IN', 'china': 'CN', 'japan': 'JP', 'brazil': 'BR', 'argentina': 'AR'}[lower(n_name)], 'Unknown') END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey"""

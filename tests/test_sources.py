@@ -92,3 +92,20 @@ def test_stream_adds_each_listing_once(spark, tmp_path):
     (tmp_path / "in/b.json").write_text(json.dumps({"jobs": [{"id": i, "url": "https://j.example/1", "jobTitle": "T", "companyName": "C", "jobExcerpt": "e"} for i in (1, 2)]}))
     ingest.ingest(ingest.payload_files(spark, str(tmp_path / "in")), *args).awaitTermination()
     assert sorted(r.external_id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["1", "2"]
+
+
+@pytest.mark.parametrize(("text", "want"), [("Berlin, Germany", "DE"), ("Berlin, DE", "US"), ("Austin, TX", "US"), ("Remote", "US"), ("Remote - EMEA", "INTL"), ("Greater San Francisco Area", "US"), ("Nowhere", "Unknown"), ("", "Unknown"), (None, "Unknown"), ("Paris; Remote", "FR")])
+def test_country(spark, text, want):
+    from feedloom.functions import places
+
+    df = spark.createDataFrame([(text,)], "l string")
+    assert df.select(places.country_of(F.col("l")).alias("c")).first().c == want
+
+
+def test_company_facts(spark):
+    from feedloom.functions import companies
+
+    text = "Acme raised $863M over 6 rounds. Rated 4.2 out of 5. 1,000-5,000 employees. Industry: health care/pharma"
+    r = spark.createDataFrame([(text,), ("nothing",)], "t string").select(companies.facts(F.col("t")).alias("f")).collect()
+    assert (r[0].f.funding, r[0].f.rating, r[0].f.size, r[0].f.industry) == ("$863M (6 rounds)", "4.2", "1,000-5,000", "Health Care/Pharma")
+    assert set(r[1].f.asDict().values()) == {"Unknown"}
