@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, covertree, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
+from feedloom.llm import chat, covertree, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
 from feedloom.llm.common import read
 from feedloom.llm.tokens import BYTE_BPE, vocabulary_path
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
