@@ -45,11 +45,17 @@ def upsert(stored: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(delta.select(*keys), keys, "left_anti").unionByName(delta, allowMissingColumns=True)
 
 
-def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id) where any pair of expressions is equal, as a union of equality joins instead of one with OR."""
+def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], left_id: str, right_id: str, most: int | None = None) -> DataFrame:
+    """(left_id, right_id) where any pair of expressions is equal, as a union of equality joins instead of one with OR.
+
+    With `most`, a left row meets of each key's right rows only that many with the smallest ids, so a common value does
+    not give all pairs; the others are dropped before the shuffle."""
     out = None
     for a, b in pairs:
-        l, r = left.select(left_id, a.alias("_a")), right.select(right_id, b.alias("_b"))  # noqa: E741
+        l, r = left.select(left_id, a.alias("_a")), right.select(right_id, b.alias("_b")).filter(F.col("_b").isNotNull())  # noqa: E741
+        if most is not None:
+            w = Window.partitionBy("_b").orderBy(right_id)
+            r = r.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k")
         found = l.join(r, F.col("_a") == F.col("_b")).select(left_id, right_id)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
@@ -58,7 +64,8 @@ def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, C
 def fingerprint_merges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows with their most confident stored candidate and a disposition: merged, similar or new.
 
-    Candidates share a fingerprint, company or title (lower case); confidence fuses fingerprint, company, location
+    Candidates share a fingerprint, company or title (lower case), at most CANDIDATES of each key, by id: the listing
+    feature's own limit, here in a defined order, which keeps a hot name such as Unknown linear. Confidence fuses fingerprint, company, location
     and salary ranks; ties go to the smaller stored id. An auto-merge needs equal fingerprints, so an equality join on
     these three keys finds every pair that can matter. Names repeat, so Jaro-Winkler runs on distinct pairs only."""
     from feedloom.functions.money import overlap
@@ -67,7 +74,7 @@ def fingerprint_merges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     a = incoming.select(F.col("id").alias("in_id"), *(F.col(c).alias(f"a_{c}") for c in cols))
     b = stored.select(F.col("id").alias("cand_id"), *(F.col(c).alias(f"b_{c}") for c in cols))
     keys = [(F.col("a_fingerprint"), F.col("b_fingerprint")), (F.lower("a_company"), F.lower("b_company")), (F.lower("a_title"), F.lower("b_title"))]
-    pairs = or_candidates(a, b, keys, "in_id", "cand_id").join(a, "in_id").join(b, "cand_id")
+    pairs = or_candidates(a, b, keys, "in_id", "cand_id", CANDIDATES).join(a, "in_id").join(b, "cand_id")
     names = pairs.select(F.lower("a_company").alias("x"), F.lower("b_company").alias("y")).distinct()
     likeness = names.withColumn("company_sim", sim.jaro_winkler("x", "y"))
     both = pairs.join(likeness, (F.lower("a_company") == F.col("x")) & (F.lower("b_company") == F.col("y")), "left")
