@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RANGE = r"(?i)(\d+(?:\.\d+)?)(k)?(?:-|–|—|to)[^\d]?(\d+(?:\.\d+)?)(k)?"
-_ONE = r"(?i)(\d+(?:\.\d+)?)(k)?"
+_RANGE = r"(?i)\$?([\d.]+)(k)?(?:[-–—]|to)\$?([\d.]+)(k)?"
+_ONE = r"(?i)\$?([\d.]+)(k)?"
+#: Hours of a full-time year.
+YEAR_HOURS = 2080
 
 
 def half_up(c: Column) -> Column:
@@ -14,20 +16,63 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def parse_salary(c: Column) -> Column:
-    """struct<min,max> of a salary text: a range with a k on either side, else its first number as min. Null if none."""
-    text = F.regexp_replace(c, r"[,\s]", "")
+def leading_number(c: Column) -> Column:
+    """The number at a text's start; null without one."""
+    return F.regexp_extract(c, r"^(\d+\.?\d*|\.\d+)", 1).try_cast("double")
+
 
-    def amount(pattern: str, group: int) -> Column:
-        number = F.regexp_extract(text, pattern, group).try_cast("double")
-        return F.when(F.regexp_extract(text, pattern, group + 1) != "", number * 1000).otherwise(number)
+def _amount(text: Column, pattern: str, group: int) -> Column:
+    """The number of a group, times 1000 if the next group, a k, is there."""
+    number = leading_number(F.regexp_extract(text, pattern, group))
+    return F.when(F.regexp_extract(text, pattern, group + 1) != "", number * 1000).otherwise(number)
 
+
+def parse_salary(c: Column) -> Column:
+    """struct<min,max> of a salary text: a range with a k on either side, else its first number as min. Null if none."""
+    text = F.regexp_replace(c, r"(?U)[,\s]", "")
     ranged = F.regexp_like(text, F.lit(_RANGE))
-    low = F.when(ranged, amount(_RANGE, 1)).otherwise(amount(_ONE, 1))
-    high = F.when(ranged, amount(_RANGE, 3))
+    low = F.when(ranged, _amount(text, _RANGE, 1)).otherwise(_amount(text, _ONE, 1))
+    high = F.when(ranged, _amount(text, _RANGE, 3))
     return F.when(low.isNotNull(), F.struct(low.alias("min"), high.alias("max")))
 
 
+def shown_range(text: Column) -> Column:
+    """struct<min,max> of the first '$a - $b' in a feed item's text; null if none."""
+    return parse_salary(F.nullif(F.regexp_extract(text, r"\$[\d,.]+[kK]?\s*[-–—to]+\s*\$[\d,.]+[kK]?", 0), F.lit("")))
+
+
+def labelled_range(text: Column) -> Column:
+    """struct<min,max> of a range after salary, compensation or pay; a k after either number is not read."""
+    pattern = r"(?i)(?:salary|compensation|pay)\s*(?:range)?[:\s]*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
+    found = F.concat(F.regexp_extract(text, pattern, 1), F.lit("-"), F.regexp_extract(text, pattern, 2))
+    return parse_salary(F.when(F.regexp_like(text, F.lit(pattern)), found))
+
+
+def summary_range(summary: Column) -> Column:
+    """struct<min,max> of a compensation summary: a number under 1000 counts thousands if a k is anywhere in it."""
+    pattern = r"(?i)\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
+
+    def amount(group: int) -> Column:
+        n = leading_number(F.regexp_replace(F.regexp_extract(summary, pattern, group), ",", ""))
+        return F.when((n < 1000) & F.contains(F.lower(summary), F.lit("k")), n * 1000).otherwise(n)
+
+    return F.when(F.regexp_like(summary, F.lit(pattern)), F.struct(amount(1).alias("min"), amount(2).alias("max")))
+
+
+def snippet_salary(text: Column) -> Column:
+    """struct<min,max> of a search snippet: an hourly rate as a year's minimum, else '$a - $b' of two or three leading
+    digits; null if neither."""
+    hourly = F.regexp_extract(text, r"(?i)\$(\d+(?:\.\d+)?)\s*(?:an?\s+hour|/\s*hr|/\s*hour)", 1).try_cast("double")
+    pattern = r"(?i)\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?\s*[-–—]+\s*\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?"
+
+    def amount(group: int) -> Column:
+        n = F.regexp_replace(F.regexp_extract(text, pattern, group), ",", "").try_cast("double")
+        return F.when(F.regexp_extract(text, pattern, group + 1) != "", n * 1000).otherwise(n)
+
+    yearly = F.struct(half_up(hourly * YEAR_HOURS).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
+    return F.when(hourly.isNotNull(), yearly).when(F.regexp_like(text, F.lit(pattern)), F.struct(amount(1).alias("min"), amount(3).alias("max")))
+
+
 def cap(c: Column, most: float) -> Column:
     """Null above the cap; the cap itself stays."""
     return F.when(c <= most, c)
@@ -42,17 +87,20 @@ def overlap(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Colum
 
 
 def salary_axis(target: Column, low: Column, high: Column) -> Column:
-    """struct<score,label> of an offer against a target: 50 if either is unset (0 counts as unset), 100 inside the
-    range, outside falling by twice the relative gap to 0."""
-    lo, hi = F.nullif(low, F.lit(0)), F.nullif(high, F.lit(0))
+    """struct<score,label> of an offer against a target: 50 if either is unset (0 counts as unset), 100 inside the range.
+    Outside, 100 falls by twice the gap relative to the offer's low end (target below it) or to the target (above)."""
+    lo, hi = F.when(low > 0, low), F.when(high > 0, high)
     bottom, top = F.coalesce(lo, hi), F.coalesce(hi, lo)
-    gap = F.when(target > top, (target - top) / target).when(target < bottom, (bottom - target) / target)
-    score = F.when(gap.isNull(), F.lit(100)).otherwise(half_up(F.greatest(F.lit(0.0), 1 - 2 * gap) * 100)).cast("int")
-    label = F.when(target > top, "below target").when(target < bottom, "above target").otherwise("in range")
+    inside = target.between(bottom, top)
+    gap = F.when(target < bottom, (bottom - target) / bottom).otherwise((target - top) / target)
+    score = F.when(inside, F.lit(100)).otherwise(F.greatest(F.lit(0), half_up((1 - gap * 2) * 100))).cast("int")
+    label = F.when(inside, "in range").when(target < bottom, "target below").otherwise("target above")
     none = target.isNull() | (target == 0)
     return F.struct(F.when(none | top.isNull(), F.lit(50)).otherwise(score).alias("score"), F.when(none, "no target").when(top.isNull(), "not posted").otherwise(label).alias("label"))
 
 
 def format_salary(low: Column, high: Column) -> Column:
+    """'$120k – $150k', '$120k+', 'Up to $150k', or empty; amounts of 0 count as unset."""
     k = lambda c: F.concat(F.lit("$"), half_up(c / 1000).cast("string"), F.lit("k"))
-    return F.when(low.isNotNull() & high.isNotNull(), F.concat(k(low), F.lit(" – "), k(high))).when(low.isNotNull(), F.concat(k(low), F.lit("+"))).when(high.isNotNull(), F.concat(F.lit("Up to "), k(high)))
+    lo, hi = F.when(low > 0, low), F.when(high > 0, high)
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.concat(k(lo), F.lit(" – "), k(hi))).when(lo.isNotNull(), F.concat(k(lo), F.lit("+"))).when(hi.isNotNull(), F.concat(F.lit("Up to "), k(hi))).otherwise("")

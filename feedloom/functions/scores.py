@@ -38,6 +38,41 @@ def badge(score: Column) -> Column:
     return F.when(score >= 80, "high").when(score >= 50, "medium").otherwise("low")
 
 
+def ring_color(score: Column) -> Column:
+    """The colors of five bands."""
+    return F.when(score < 30, "#ef4444").when(score < 50, "#f97316").when(score < 70, "#eab308").when(score < 85, "#22c55e").otherwise("#10b981")
+
+
+def partial_score(title_sim: Column) -> Column:
+    """struct<experience,domain,score> of a listing known by its title alone: no skills, no salary, and the title's
+    similarity gates its own axis."""
+    sim = F.greatest(F.lit(0.0), title_sim)
+    experience, domain = scale(sim, *AXIS_BOUNDS), scale(sim, *DOMAIN_BOUNDS)
+    return F.struct(experience.alias("experience"), domain.alias("domain"), F.least(F.lit(100), half_up(experience * WEIGHTS[1] * (domain / 100))).cast("int").alias("score"))
+
+
+PROFILE = "struct<title string, domain string, seniorityLevel string, yearsExperience string, hardSkills array<string>, softSkills array<string>, certifications array<string>>"
+
+
+def profile_of(raw: Column) -> Column:
+    """The profile in a model's answer: its outermost braces as JSON, missing texts empty, years a number of at least 0,
+    empty strings dropped from lists; null if it is not JSON."""
+    found = F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+    p = F.from_json(found, PROFILE)
+    years = F.coalesce(F.greatest(F.lit(0.0), F.nanvl(p["yearsExperience"].try_cast("double"), F.lit(0.0))), F.lit(0.0))
+    texts = [F.coalesce(p[n], F.lit("")).alias(n) for n in ("title", "domain", "seniorityLevel")]
+    lists = [F.coalesce(F.filter(p[n], lambda x: F.length(x) > 0), F.array().cast("array<string>")).alias(n) for n in ("hardSkills", "softSkills", "certifications")]
+    return F.when(F.try_parse_json(found).isNotNull(), F.struct(*texts, years.alias("yearsExperience"), *lists))
+
+
 def work_style(is_remote: Column, location: Column) -> Column:
-    place = F.lower(F.coalesce(location, F.lit("")))
-    return F.when(is_remote | F.contains(place, F.lit("remote")), "Remote").when(F.contains(place, F.lit("hybrid")), "Hybrid").otherwise("On-site")
+    """'Remote', 'Hybrid', the place, both, or 'On-site' if nothing is known."""
+    place = F.trim(F.coalesce(location, F.lit("")))
+    rest = F.trim(F.regexp_replace(place, r"(?i)^(.*?)\s*\(?\bhybrid\b\)?[,\s-]*", "$1"))
+    joined = lambda word, text: F.when(text != "", F.concat(F.lit(f"{word} · "), text)).otherwise(word)
+    return (
+        F.when(is_remote, joined("Remote", F.regexp_replace(place, "(?i)^remote$", "")))
+        .when(F.contains(F.lower(place), F.lit("hybrid")), joined("Hybrid", rest))
+        .when(place != "", place)
+        .otherwise("On-site")
+    )

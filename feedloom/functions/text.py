@@ -31,10 +31,10 @@ def title_case(c: Column, after: str = r"\s") -> Column:
 
 def sanitize_html(c: Column) -> Column:
     """Without script elements, event attributes and javascript: addresses."""
-    c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>", "")
-    c = F.regexp_replace(c, r"""(?i)\s+on\w+\s*=\s*("[^"]*"|'[^']*')""", "")
-    c = F.regexp_replace(c, r"(?i)\s+on\w+\s*=\s*[^\s>]+", "")
-    return F.regexp_replace(c, r"(?i)javascript\s*:", "")
+    c = F.regexp_replace(c, r"(?is)<script\b.*?</script>", "")
+    c = F.regexp_replace(c, r"""(?i)on\w+\s*=\s*["'][^"']*["']""", "")
+    c = F.regexp_replace(c, r"(?i)on\w+\s*=\s*\S+", "")
+    return F.regexp_replace(c, r"(?i)javascript:", "")
 
 
 def sanitize_text(c: Column) -> Column:
@@ -44,10 +44,10 @@ def sanitize_text(c: Column) -> Column:
 
 def sanitize_lines(c: Column) -> Column:
     """Sanitised text that keeps line structure: breaks and block ends to line feeds, list items to dashes."""
-    c = F.regexp_replace(sanitize_html(c), r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|ul|ol|tr|section)>", "\n")
+    c = F.regexp_replace(sanitize_html(c), r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<li[^>]*>", "- "), r"<[^>]*>", " ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return trim_all(F.regexp_replace(c, r"\n\s*\n+", "\n\n"))
+    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
+    return trim_all(F.regexp_replace(c, r"\n\s*\n", "\n"))
 
 
 def strip_html(c: Column) -> Column:
@@ -58,6 +58,34 @@ def strip_html(c: Column) -> Column:
     return collapse(c)
 
 
+def _from_codes(c: Column, pattern: str, base: int) -> Column:
+    """Numeric entities of UTF-16 code units to characters; halves of surrogate pairs become U+FFFD."""
+    pieces = F.split(c, f"(?={pattern})|(?<={pattern})")
+
+    def plain(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, f"^{pattern}$", 1)
+        unit = F.conv(digits, base, 10).cast("bigint").bitwiseAND(F.lit(0xFFFF))
+        shown = F.when(unit.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(unit), 4, "0")), "UTF-16BE"))
+        return F.when(digits != "", shown).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, plain), "")
+
+
+def decode_entities(c: Column, hexadecimal: bool = True) -> Column:
+    """Named entities of markup, then decimal and hexadecimal ones of up to seven digits."""
+    for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")):
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    c = _from_codes(c, r"&#([0-9]{1,7});", 10)
+    return _from_codes(c, r"&#x([0-9a-fA-F]{1,7});", 16) if hexadecimal else c
+
+
+def strip_html_lines(c: Column) -> Column:
+    """Block tags to line feeds, other tags to nothing, entities decoded, at most one empty line between lines."""
+    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6])[^>]*>", "\n")
+    c = decode_entities(F.regexp_replace(c, r"<[^>]+>", ""))
+    return trim_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
 def escape_html(c: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(plain), F.lit(entity))
@@ -77,54 +105,121 @@ def skill_matches(text: Column, skills: Column) -> Column:
     """The skills (an array) that a text names: those with special characters as case-blind substrings, others as whole
     words, case-sensitive if of three characters or fewer."""
 
-    def named(s: Column) -> Column:
-        special = F.regexp_like(s, F.lit(r"[^A-Za-z0-9\s]"))
+    def named(skill: Column) -> Column:
+        s = trim_all(skill)
+        special = F.regexp_like(F.lower(s), F.lit(r"[^a-z0-9\s]"))
         word = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), s, F.lit(r"(?![A-Za-z0-9_])"))
-        return F.when(special, F.contains(F.lower(text), F.lower(s))).when(F.length(s) <= 3, F.regexp_like(text, word)).otherwise(F.regexp_like(text, F.concat(F.lit("(?i)"), word)))
+        return F.when(s == "", False).when(special, F.contains(F.lower(text), F.lower(s))).when(F.length(s) <= 3, F.regexp_like(text, word)).otherwise(F.regexp_like(text, F.concat(F.lit("(?i)"), word)))
 
     return F.filter(skills, named)
 
 
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", ""))
-
-
-#: Sources by a part of the host.
-HOSTS = (("linkedin", "linkedin"), ("indeed", "indeed"), ("glassdoor", "glassdoor"), ("greenhouse", "greenhouse"), ("lever.co", "lever"), ("ashbyhq", "ashby"))
+#: Parts of hosts that name a source.
+HOSTS = {"linkedin.com": "linkedin", "indeed.com": "indeed", "glassdoor.com": "glassdoor", "ziprecruiter.com": "ziprecruiter", "builtin": "builtin"}
 
 
 def source_of(url: Column) -> Column:
-    """The source named by a URL's host, else the host without www, else 'web'."""
-    h = host(url)
-    chain = F.when(h.isNull() | (h == ""), F.lit("web"))
-    for part, name in HOSTS:
-        chain = chain.when(F.contains(h, F.lit(part)), F.lit(name))
-    return chain.otherwise(h)
+    """The source a URL's host names: a known site, the label after jobs. or careers., else its first label; 'web' if the
+    address has no host."""
+    h = F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^(.*?)www\.", "$1"))
+    labels = F.split(h, r"\.")
+    chain = F.when(h.isNull() | (h == ""), "web")
+    for part, name in HOSTS.items():
+        chain = chain.when(F.contains(h, F.lit(part)), name)
+    first = F.get(labels, F.lit(0))
+    return chain.when(first.isin("jobs", "careers"), F.coalesce(F.get(labels, F.lit(1)), h)).otherwise(first)
 
 
 def url_id(url: Column) -> Column:
-    """A LinkedIn job number, else the 31-multiplier 32-bit hash of host and path, absolute, in base 36."""
-    path = F.concat(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    number = F.regexp_extract(url, r"(?i)linkedin\.com/jobs/view/(?:[^/?#]*-)?(\d+)", 1)
+    """A job's number on two known sites, else the 31-multiplier 32-bit hash of the address without scheme, query and
+    fragment, absolute, in base 36."""
+    linkedin = F.regexp_extract(url, r"linkedin\.com/jobs/view/(?:.*[-/])?(\d{5,})", 1)
+    apple = F.regexp_extract(url, r"jobs\.apple\.com/.+/details/(\d+)", 1)
+    path = F.regexp_replace(F.regexp_replace(url, r"^(.*?)https?://", "$1"), r"(?s)[?#].*", "")
     hashed = F.call_function("reflect", F.lit("java.util.Objects"), F.lit("hashCode"), path)
-    return F.when(number != "", number).otherwise(F.lower(F.conv(F.abs(hashed.cast("bigint")).cast("string"), 10, 36)))
-
-
-#: Benefit categories and what names them; the first that matches counts.
-BENEFITS = (
-    ("Health", r"health|medical|dental|vision"),
-    ("Retirement", r"401|retirement|pension"),
-    ("Time off", r"pto|vacation|time off|holiday"),
-    ("Equity", r"equity|stock|rsu"),
-    ("Remote", r"remote|work from home|hybrid"),
-    ("Learning", r"learning|training|education"),
-    ("Family", r"parental|maternity|family"),
-    ("Bonus", r"bonus|commission"),
-)
+    short = F.lower(F.conv(F.abs(hashed.cast("bigint")).cast("string"), 10, 36))
+    return F.when(linkedin != "", F.concat(F.lit("searxng-li-"), linkedin)).when(apple != "", F.concat(F.lit("searxng-apple-"), apple)).otherwise(F.concat(F.lit("searxng-"), short))
+
+
+#: Benefit categories and what names them; the first that matches counts.
+BENEFITS = {
+    "Health": r"health|medical|dental|vision|wellness",
+    "Unlimited PTO": r"unlimited\s+(?:pto|vacation|time.off)",
+    "PTO": r"\bpto\b|vacation|time.off|paid.leave|holiday",
+    "401k": r"401k|retirement|pension",
+    "Equity": r"equity|stock|\brsu\b|option",
+    "Bonus": r"bonus|incentive|commission",
+    "Parental": r"parental|maternity|paternity|family.leave",
+    "Pet": r"\bpet\b|dog.friendly",
+}
 
 
 def benefit_category(c: Column) -> Column:
+    """The first category that a benefit's text names, else null."""
     chain = F.when(c.isNull(), F.lit(None))
-    for name, pattern in BENEFITS:
-        chain = chain.when(F.lower(c).rlike(pattern), F.lit(name))
+    for name, pattern in BENEFITS.items():
+        chain = chain.when(c.rlike(f"(?i){pattern}"), F.lit(name))
     return chain
+
+
+def condensed_benefits(benefits: Column) -> Column:
+    """array<struct<category,originals>> of an array of benefits, in order of first mention; those of no category drop."""
+    tagged = F.filter(F.transform(benefits, lambda b: F.struct(benefit_category(b).alias("category"), b.alias("text"))), lambda x: x["category"].isNotNull())
+    names = F.array_distinct(F.transform(tagged, lambda x: x["category"]))
+    return F.transform(names, lambda n: F.struct(n.alias("category"), F.transform(F.filter(tagged, lambda x: x["category"] == n), lambda x: x["text"]).alias("originals")))
+
+
+_BENEFITS_HEADER = r"(?i)\b(?:benefits|what we offer|perks|compensation\s*(?:&|and)\s*benefits|our benefits|employee benefits|why join us|why work here)\b"
+
+
+def benefits_section(html: Column, text: Column) -> Column:
+    """The lines of 5 to 199 characters, without bullets, below the first short line that names benefits; null if none.
+
+    They end at a short line in capitals, or, once there is one, at a short line of five words or fewer that starts like
+    a title and has neither bullet nor colon. HTML comes before text."""
+    source = F.when(F.length(html) > 0, sanitize_lines(html)).otherwise(text)
+    lines = F.filter(F.transform(F.split(source, "\n"), trim_all), lambda x: x != "")
+    short = lambda x: F.length(x) < 60
+    first = lambda rows, test: F.array_position(F.transform(rows, lambda x: F.coalesce(test(x), F.lit(False))), True)
+    start = first(lines, lambda x: short(x) & x.rlike(_BENEFITS_HEADER)).cast("int")
+    below = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+    plain = lambda x: trim_all(F.regexp_replace(x, r"^[\s\-–—*•●◦▪·]+", ""))
+    fits = lambda x: F.length(plain(x)).between(5, 199)
+    capitals = first(below, lambda x: short(x) & x.rlike(r"^[A-Z][A-Z\s]{3,}$"))
+    item = first(below, fits)
+    title = lambda x: short(x) & ~x.rlike(r"^[-•*]") & x.rlike(r"^[A-Z][a-z]") & ~F.contains(x, F.lit(":")) & (F.size(F.split(x, r"\s+")) <= 5)
+    heading = F.array_position(F.transform(below, lambda x, i: title(x) & (item > 0) & (i + 1 > item)), True)
+    end = F.least(F.coalesce(F.nullif(capitals, F.lit(0)), F.size(below) + 1), F.coalesce(F.nullif(heading, F.lit(0)), F.size(below) + 1)).cast("int")
+    items = F.transform(F.filter(F.slice(below, 1, end - 1), fits), plain)
+    return F.when((F.length(source) >= 10) & (start > 0) & (F.size(items) > 0), items)
+
+
+#: Headers at which a listing's own text starts, most specific first, and sentences that say nothing of it.
+SECTIONS = (
+    r"what you'?ll do|what you'?ll bring|what you'?ll need|what we'?re looking for",
+    r"key responsibilities|responsibilities|requirements|qualifications",
+    r"about the role|about this (?:role|job|position|opportunity)|(?:role|position|job) (?:overview|description|summary)",
+    r"an overview of this role|the opportunity|your role|the role",
+)
+JUNK = (
+    r"^about us\b", r"^about the company\b", r"^who we are\b", r"^our mission is", r"equal opportunity employer", r"we do not discriminate",
+    r"^are you looking for", r"^do you love the challenge", r"^if you'?re passionate about", r"we'?d love to meet you",
+)
+
+
+def strip_boilerplate(text: Column) -> Column:
+    """From the first section header on that starts in the first 70 % of the text; without one, the sentences that are
+    not boilerplate."""
+    chain = F.when(text.isNull(), F.lit(None))
+    for pattern in SECTIONS:
+        at = F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})"))
+        chain = chain.when((at > 0) & (at - 1 < F.length(text) * 0.7), trim_all(F.substring(text, at, F.length(text))))
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])"), lambda s: s)
+    own = F.filter(sentences, lambda s: (trim_all(s) != "") & ~trim_all(s).rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
+    return chain.otherwise(trim_all(F.array_join(own, " ")))
+
+
+def relative_date(day: Column, as_of: Column) -> Column:
+    """Today, Yesterday, '3d ago', else 'Mar 5'; a dash without a date."""
+    days = F.floor((as_of.cast("timestamp").cast("double") - day.cast("timestamp").cast("double")) / 86400)
+    return F.when(day.isNull(), "—").when(days == 0, "Today").when(days == 1, "Yesterday").when(days < 7, F.concat(days.cast("string"), F.lit("d ago"))).otherwise(F.date_format(day, "MMM d"))

@@ -59,11 +59,16 @@ def title_only(description: Column, title: Column) -> Column:
     return (d == "") | (d == t) | ((F.length(d) < 50) & F.contains(d, t))
 
 
-def due_for_enrichment(as_of: Column, cooldown_seconds: int = 3600) -> Transform:
-    """Partial rows never attempted, or not within the cooldown, that have a title or a company."""
+def is_due(as_of: Column, cooldown_seconds: int = 3600) -> Column:
+    """A partial row never tried, or not within the cooldown."""
     waited = F.col("enrichment_attempted_at").isNull() | (as_of.cast("double") - F.col("enrichment_attempted_at").cast("timestamp").cast("double") >= cooldown_seconds)
+    return F.col("partial") & waited
+
+
+def due_for_enrichment(as_of: Column, cooldown_seconds: int = 3600) -> Transform:
+    """Due rows that have a title or a company."""
     named = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("company", F.lit("")) != "")
-    return lambda df: df.filter(F.col("partial") & waited & named)
+    return lambda df: df.filter(is_due(as_of, cooldown_seconds) & named)
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -12,7 +12,7 @@ from feedloom.functions import similarity as sim
 Transform = Callable[[DataFrame], DataFrame]
 KEYS = ["source_name", "external_id"]
 MERGE_OVER, SIMILAR_FROM, CANDIDATES = 0.90, 0.70, 50
-BACKFILLED = ["title", "company", "location", "salary_min", "salary_max", "description", "apply_url"]
+BACKFILLED = ["salary_min", "salary_max", "location", "is_remote", "description_html", "description_text", "apply_url"]
 
 
 def unknown_listings(stored: DataFrame, keys: list[str] = KEYS, closed_at: str | None = "closed_at", reopen_closed: bool = True) -> Transform:
@@ -69,6 +69,7 @@ def fingerprint_merges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     and salary ranks; ties go to the smaller stored id. An auto-merge needs equal fingerprints, so an equality join on
     these three keys finds every pair that can matter. Names repeat, so Jaro-Winkler runs on distinct pairs only."""
     from feedloom.functions.money import overlap
+    from feedloom.functions.places import normal_place
 
     cols = ["fingerprint", "company", "title", "location", "salary_min", "salary_max"]
     a = incoming.select(F.col("id").alias("in_id"), *(F.col(c).alias(f"a_{c}") for c in cols))
@@ -77,11 +78,14 @@ def fingerprint_merges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     pairs = or_candidates(a, b, keys, "in_id", "cand_id", CANDIDATES).join(a, "in_id").join(b, "cand_id")
     names = pairs.select(F.lower("a_company").alias("x"), F.lower("b_company").alias("y")).distinct()
     likeness = names.withColumn("company_sim", sim.jaro_winkler("x", "y"))
-    both = pairs.join(likeness, (F.lower("a_company") == F.col("x")) & (F.lower("b_company") == F.col("y")), "left")
+    both = pairs.join(likeness, (F.lower("a_company") == F.col("x")) & (F.lower("b_company") == F.col("y")), "left").drop("x", "y")
+    place = lambda side: F.lower(normal_place(F.nullif(F.col(f"{side}_location"), F.lit(""))))
+    spots = pairs.select(place("a").alias("x"), place("b").alias("y")).distinct().withColumn("place_sim", sim.jaro_winkler("x", "y"))
+    both = both.join(spots, (place("a") == F.col("x")) & (place("b") == F.col("y")), "left")
     ranks = [
         F.when(F.col("a_fingerprint") == F.col("b_fingerprint"), 1).otherwise(100),
         sim.to_rank(F.col("company_sim")),
-        F.when(F.col("a_location").isNotNull() & F.col("b_location").isNotNull(), F.when(F.lower("a_location") == F.lower("b_location"), 1).otherwise(100)),
+        sim.to_rank(F.col("place_sim")),
         sim.to_rank(overlap(F.col("a_salary_min"), F.col("a_salary_max"), F.col("b_salary_min"), F.col("b_salary_max"))),
     ]
     scored = both.select("in_id", "cand_id", sim.fuse(ranks).alias("confidence"))
@@ -100,3 +104,13 @@ def merge_attributions(own: Column, new: Column) -> Column:
 def backfilled(old: str, new: str, columns: list[str] = BACKFILLED) -> list[Column]:
     """Each column from the old row where it has a value, else from the new one."""
     return [F.coalesce(F.col(f"{old}.{c}"), F.col(f"{new}.{c}")).alias(c) for c in columns]
+
+
+def refreshed(stored: DataFrame, incoming: DataFrame, position: str, keys: list[str] = KEYS, columns: list[str] = BACKFILLED) -> DataFrame:
+    """stored with what the same source says anew: null columns take the first incoming value by position, closed rows
+    reopen, other columns stay; _needs_score marks matched rows without a score. Rows without a match stay as they are."""
+    said = incoming.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_{c}") for c in columns), F.lit(True).alias("_seen"))
+    joined = stored.join(said, keys, "left")
+    seen = F.coalesce("_seen", F.lit(False))
+    filled = {c: F.coalesce(c, f"_{c}") for c in columns} | {"closed_at": F.when(~seen, F.col("closed_at")), "_needs_score": seen & F.col("match_score").isNull()}
+    return joined.withColumns(filled).select(*stored.columns, "_needs_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -15,13 +15,20 @@ def counters(key: str, kind: str, kinds: list[str]) -> Transform:
     return lambda df: df.groupBy(key).agg(*(F.count_if(F.col(kind) == k).alias(k) for k in kinds))
 
 
-def status(completed: str, counts: list[str], errors: str) -> Transform:
-    """running, failed (errors and nothing found), partial (errors too) or completed; nulls count as 0."""
+STALE_SECONDS = 900
+
+
+def status(as_of: Column, started: str = "started_at", completed: str = "completed_at", attempted: str = "sources_attempted", succeeded: str = "sources_succeeded", failed: str = "sources_failed", stale_seconds: int = STALE_SECONDS) -> Transform:
+    """fetching, scoring (all sources done), completed or failed; an unfinished run past stale_seconds counts as ended,
+    completed if any source succeeded; an ended one failed if none did and some failed. Null counts are 0."""
 
     def run(df: DataFrame) -> DataFrame:
-        found = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts), F.lit(0))
-        bad = F.coalesce(F.col(errors), F.lit(0))
-        return df.withColumn("status", F.when(~F.col(completed), "running").when((bad > 0) & (found == 0), "failed").when(bad > 0, "partial").otherwise("completed"))
+        n = {c: F.coalesce(F.col(c), F.lit(0)) for c in (attempted, succeeded, failed)}
+        done = n[succeeded] + n[failed]
+        stale = as_of.cast("double") - F.col(started).cast("timestamp").cast("double") > stale_seconds
+        running = F.when(stale, F.when(n[succeeded] > 0, "completed").otherwise("failed")).when((n[attempted] > 0) & (done >= n[attempted]), "scoring").otherwise("fetching")
+        ended = F.when((n[succeeded] == 0) & (n[failed] > 0), "failed").otherwise("completed")
+        return df.withColumns({"status": F.when(F.col(completed).isNull(), running).otherwise(ended), "sources_completed": done, "sources_total": n[attempted]})
 
     return run
 

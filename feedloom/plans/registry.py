@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import feed, scalars, stored
+from feedloom.plans import details, feed, scalars, stored
 
-MODULES = [feed, stored, scalars]
+MODULES = [feed, stored, scalars, details]
 _SHIPPED: set[str] = set()
 
 

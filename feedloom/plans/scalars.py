@@ -61,9 +61,10 @@ def skill_match(spark, sf_dir):
 
 
 def title_only(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("d"), F.substring("text", 1, 45).alias("t"))
-    shown = F.when(F.col("doc_id") % 3 == 0, F.col("t")).when(F.col("doc_id") % 3 == 1, F.substring("d", 1, 48)).otherwise(F.col("d"))
-    return docs.select("doc_id", filters.title_only(shown, F.col("t")).alias("title_only"))
+    """Each text with its first line as title; every third has only the title for text."""
+    title = F.get(F.split("text", "\n"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", title.alias("t"))
+    return docs.select("doc_id", filters.title_only(F.when(F.col("doc_id") % 3 == 0, F.col("t")).otherwise(F.col("text")), F.col("t")).alias("title_only"))
 
 
 def benefit_tags(spark, sf_dir):
@@ -98,24 +99,26 @@ _K = "CAST(floor({} / 1000.0 + 0.5) AS BIGINT)"
 SQL = {
     "fingerprints": "SELECT p_partkey, substr(sha256(regexp_replace(lower(p_name || p_brand || p_type), '[^a-z0-9]', '', 'g')), 1, 16) AS fingerprint FROM part",
     "html_strip": r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '[\s\x{00A0}]+', ' ', 'g'))) AS digest FROM pages""",
-    "html_sanitize": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?i)\s+on\w+\s*=\s*("[^"]*"|''[^'']*'')', '', 'g'), '(?i)\s+on\w+\s*=\s*[^\s>]+', '', 'g'), '(?i)javascript\s*:', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'))) AS digest FROM pages""",
-    "host_source": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS source FROM pages",
+    "html_sanitize": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?i)on\w+\s*=\s*["''][^"'']*["'']', '', 'g'), '(?i)on\w+\s*=\s*\S+', '', 'g'), '(?i)javascript:', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'))) AS digest FROM pages""",
+    "host_source": """WITH h AS (SELECT page_id, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), 'www.', '') AS h FROM pages)
+ SELECT page_id, CASE WHEN h = '' THEN 'web' WHEN h LIKE '%linkedin.com%' THEN 'linkedin' WHEN h LIKE '%indeed.com%' THEN 'indeed' WHEN h LIKE '%glassdoor.com%' THEN 'glassdoor'
+ WHEN h LIKE '%ziprecruiter.com%' THEN 'ziprecruiter' WHEN h LIKE '%builtin%' THEN 'builtin' WHEN split_part(h, '.', 1) IN ('jobs', 'careers') THEN split_part(h, '.', 2) ELSE split_part(h, '.', 1) END AS source FROM h""",
     "salary_parse": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(p / 1000.0) * 1000 WHEN 1 THEN p::DOUBLE END AS salary_min,
  CASE WHEN o_orderkey % 4 = 0 THEN floor(p / 500.0) * 1000 END AS salary_max FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders)""",
     "salary_overlap": """WITH v AS (SELECT o_orderkey, o_totalprice AS a, o_totalprice * 1.2::DOUBLE AS a_top, nullif(o_orderkey % 300 * 1000.0::DOUBLE, 0) AS b, o_orderkey % 300 * 1000.0::DOUBLE * 1.5::DOUBLE AS b_top FROM orders)
  SELECT o_orderkey, round(CASE WHEN b IS NULL THEN NULL WHEN least(a_top, b_top) < greatest(a, b) THEN 0 WHEN greatest(a_top, b_top) = least(a, b) THEN 1 ELSE (least(a_top, b_top) - greatest(a, b)) / (greatest(a_top, b_top) - least(a, b)) END, 6) AS overlap FROM v""",
     "salary_axis": """WITH v AS (SELECT o_orderkey, CAST(o_orderkey % 7 * 50000 AS DOUBLE) AS t, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice) END AS lo, CASE WHEN o_orderkey % 5 > 1 THEN floor(o_totalprice) + 20000 END AS hi FROM orders),
  w AS (SELECT o_orderkey, t, lo, coalesce(hi, lo) AS hi FROM v)
- SELECT o_orderkey, CAST(CASE WHEN t = 0 OR lo IS NULL THEN 50 WHEN t > hi THEN floor(greatest(0, 1 - 2 * ((t - hi) / t)) * 100 + 0.5) WHEN t < lo THEN floor(greatest(0, 1 - 2 * ((lo - t) / t)) * 100 + 0.5) ELSE 100 END AS INT) AS score,
- CASE WHEN t = 0 THEN 'no target' WHEN lo IS NULL THEN 'not posted' WHEN t > hi THEN 'below target' WHEN t < lo THEN 'above target' ELSE 'in range' END AS label FROM w""",
+ SELECT o_orderkey, CAST(CASE WHEN t = 0 OR lo IS NULL THEN 50 WHEN t > hi THEN greatest(0, floor((1 - (t - hi) / t * 2) * 100 + 0.5)) WHEN t < lo THEN greatest(0, floor((1 - (lo - t) / lo * 2) * 100 + 0.5)) ELSE 100 END AS INT) AS score,
+ CASE WHEN t = 0 THEN 'no target' WHEN lo IS NULL THEN 'not posted' WHEN t > hi THEN 'target above' WHEN t < lo THEN 'target below' ELSE 'in range' END AS label FROM w""",
     "score_rows": """WITH v AS (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE / 96 AS s, (o_custkey % 89)::DOUBLE / 88 AS t, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 50 END AS INT) AS salary FROM orders),
  x AS (SELECT *, CAST(floor(greatest(0, least(1, (s - 0.25) / 0.5)) * 100 + 0.5) AS INT) AS skills, CAST(floor(greatest(0, least(1, (t - 0.25) / 0.5)) * 100 + 0.5) AS INT) AS experience, CAST(floor(greatest(0, least(1, (s - 0.30::DOUBLE) / (0.85::DOUBLE - 0.30::DOUBLE))) * 100 + 0.5) AS INT) AS domain FROM v)
  SELECT o_orderkey, skills, experience, salary, domain, CAST(least(100, floor((0.4::DOUBLE * skills + 0.3::DOUBLE * experience + 0.3::DOUBLE * salary) * CASE WHEN salary = 100 THEN 1.15::DOUBLE ELSE 1 END * domain / 100 + 0.5)) AS INT) AS score FROM x""",
     "skill_match": r"""SELECT doc_id, CAST(len(m) AS INT) AS n, array_to_string(m, ',') AS skills FROM (SELECT doc_id, list_filter(['the', 'of', 'tion', 'C++', 'que', 'Th', 'und', '%%%'], lambda s:
  CASE WHEN regexp_matches(s, '[^A-Za-z0-9\s]') THEN contains(lower(text), lower(s)) WHEN len(s) <= 3 THEN regexp_matches(text, '(^|[^A-Za-z0-9_])' || s || '($|[^A-Za-z0-9_])') ELSE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || s || '($|[^A-Za-z0-9_])') END) AS m FROM documents)""",
-    "title_only": """WITH v AS (SELECT doc_id, substr(text, 1, 60) AS d, lower(trim(substr(text, 1, 45))) AS t FROM documents), w AS (SELECT doc_id, t, lower(trim(CASE doc_id % 3 WHEN 0 THEN substr(d, 1, 45) WHEN 1 THEN substr(d, 1, 48) ELSE d END)) AS d FROM v)
+    "title_only": """WITH w AS (SELECT doc_id, lower(trim(split_part(text, chr(10), 1))) AS t, lower(trim(CASE doc_id % 3 WHEN 0 THEN split_part(text, chr(10), 1) ELSE text END)) AS d FROM documents)
  SELECT doc_id, d = '' OR d = t OR (len(d) < 50 AND contains(d, t)) AS title_only FROM w""",
-    "benefit_tags": """SELECT CASE doc_id % 5 WHEN 0 THEN 'Retirement' WHEN 1 THEN 'Health' WHEN 2 THEN 'Remote' ELSE 'Bonus' END AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE doc_id % 5 <> 3 GROUP BY 1""",
+    "benefit_tags": """SELECT CASE doc_id % 5 WHEN 0 THEN '401k' WHEN 1 THEN 'Health' ELSE 'Bonus' END AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE doc_id % 5 NOT IN (2, 3) GROUP BY 1""",
     "salary_clean": "SELECT o_orderkey, round(CASE WHEN o_totalprice <= 300000 THEN o_totalprice END, 2) AS salary_min FROM orders",
     "salary_shown": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 1 THEN '$' || {_K.format('p')} || 'k+' WHEN 2 THEN '$' || {_K.format('p')} || 'k – $' || {_K.format('(p + 1000)')} || 'k' ELSE 'Up to $' || {_K.format('(p + 1000)')} || 'k' END AS shown FROM (SELECT o_orderkey, floor(o_totalprice) AS p FROM orders)",
     "title_filter": "SELECT p_partkey, p_name AS title FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'blue') OR contains(p_name, '1')",
@@ -134,4 +137,4 @@ def country_extract(spark, sf_dir):
 
 
 QUERIES["country_extract"] = country_extract
-SQL["country_extract"] = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 2 THEN 'INTL' WHEN 3 THEN 'Unknown' ELSE coalesce(map {'united states': 'US', 'united kingdom': 'GB', 'canada': 'CA', 'germany': 'DE', 'france': 'FR', 'india': 'IN', 'china': 'CN', 'japan': 'JP', 'brazil': 'BR', 'argentina': 'AR'}[lower(n_name)], 'Unknown') END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+SQL["country_extract"] = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 2 THEN 'INTL' WHEN 3 THEN 'Unknown' ELSE coalesce(map {'united states': 'US', 'united kingdom': 'GB', 'canada': 'CA', 'germany': 'DE', 'france': 'FR', 'india': 'IN', 'china': 'CN', 'japan': 'JP', 'brazil': 'BR', 'argentina': 'AR', 'egypt': 'EG', 'indonesia': 'ID', 'kenya': 'KE', 'peru': 'PE', 'romania': 'RO', 'saudi arabia': 'SA', 'vietnam': 'VN', 'russia': 'RU'}[lower(n_name)], 'Unknown') END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey"""

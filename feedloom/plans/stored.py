@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import similarity as sim
 from feedloom.functions import text as X
-from feedloom.operators import merging, ranking, runs
+from feedloom.operators import merging, neighbours, ranking, runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def closed_anti(spark, sf_dir):
 
 
 def batch_keep_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.lower(F.substring("text", 1, 40)), 256).alias("fp"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.lower("text"), 256).alias("fp"))
     return docs.transform(merging.keep_first(["source", "fp"], "doc_id"))
 
 
@@ -69,8 +69,10 @@ def counters_fold(spark, sf_dir):
 
 
 def run_status(spark, sf_dir):
-    folded = events(spark, sf_dir).groupBy("user_id").agg(F.max(F.col("value") > 1).alias("done"), F.count_if(F.col("event_type") == "view").alias("found"), F.nullif(F.count_if(F.col("event_type") == "error"), F.lit(0)).alias("errors"))
-    return folded.transform(runs.status("done", ["found"], "errors")).select("user_id", "found", "status")
+    """Each user's events as a run: it began with the first, views are sources that succeeded, errors those that failed."""
+    kind = lambda *names: F.count_if(F.col("event_type").isin(*names))
+    folded = events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("completed_at"), kind("view", "error", "signup").alias("sources_attempted"), F.nullif(kind("view"), F.lit(0)).alias("sources_succeeded"), kind("error").alias("sources_failed"))
+    return folded.transform(runs.status(F.to_timestamp(F.lit("2024-01-20 00:00:00")), stale_seconds=15 * 86400)).select("user_id", "status", "sources_completed", "sources_total")
 
 
 def source_health(spark, sf_dir):
@@ -80,7 +82,7 @@ def source_health(spark, sf_dir):
 
 def errors_append(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("item", F.when(F.col("event_id") % 4 == 0, F.col("event_id")))
-    out = rows.filter("user_id < 50").transform(runs.appended("user_id", ["ts", "event_id"], "item", "items"))
+    out = rows.transform(runs.appended("user_id", ["ts", "event_id"], "item", "items"))
     return out.select("user_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
@@ -96,9 +98,7 @@ def scored_in_run(spark, sf_dir):
 
 def vector_radius(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    a = rows.filter("vec_id < 40").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    pairs = rows.join(F.broadcast(a), F.col("vec_id") > F.col("a"))
-    return pairs.withColumn("distance", F.round(1 - sim.cosine(F.col("va"), F.col("embedding")), 6)).filter("distance < 0.8").select("a", F.col("vec_id").alias("b"), "distance")
+    return neighbours.within(rows.filter("vec_id % 50 = 0"), rows, 0.8)
 
 
 def rrf(spark, sf_dir):
@@ -128,7 +128,7 @@ QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, in
 SQL = {
     "known_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)",
     "closed_anti": "SELECT source AS source_name, doc_id AS external_id FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 3 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 3 <> 0)",
-    "batch_keep_first": "SELECT doc_id, source, fp FROM (SELECT doc_id, source, sha256(lower(substr(text, 1, 40))) AS fp FROM documents) QUALIFY row_number() OVER (PARTITION BY source, fp ORDER BY doc_id) = 1",
+    "batch_keep_first": "SELECT doc_id, source, fp FROM (SELECT doc_id, source, sha256(lower(text)) AS fp FROM documents) QUALIFY row_number() OVER (PARTITION BY source, fp ORDER BY doc_id) = 1",
     "insert_new": """WITH o AS (SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM orders),
  s AS (SELECT o_custkey, min(price) AS price FROM o WHERE o_orderkey % 2 = 0 GROUP BY 1)
  SELECT * FROM s UNION ALL SELECT o_custkey, arg_min(price, o_orderkey) FROM o WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM s) GROUP BY 1""",
@@ -137,17 +137,20 @@ SQL = {
     "or_candidates": "SELECT DISTINCT s_suppkey AS in_id, n_nationkey AS cand_id FROM supplier, nation WHERE s_nationkey = n_nationkey OR s_nationkey = n_regionkey",
     "merge_sources": "SELECT doc_id, CAST(3 AS INT) AS n, source || ':' || doc_id || ',' || lang || ':' || doc_id || ',' || source || ':' || (doc_id + 1) AS sources FROM documents",
     "counters_fold": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY 1",
-    "run_status": """SELECT user_id, found, CASE WHEN NOT done THEN 'running' WHEN errors > 0 AND found = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'completed' END AS status
- FROM (SELECT user_id, bool_or(value > 1) AS done, count(*) FILTER (WHERE event_type = 'view') AS found, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1)""",
+    "run_status": """WITH r AS (SELECT user_id, min(ts) AS started, max(ts) FILTER (WHERE event_type = 'purchase') AS ended, count(*) FILTER (WHERE event_type IN ('view', 'error', 'signup')) AS total,
+ count(*) FILTER (WHERE event_type = 'view') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1)
+ SELECT user_id, CASE WHEN ended IS NULL AND TIMESTAMP '2024-01-20 00:00:00' - started > INTERVAL 15 DAY THEN CASE WHEN good > 0 THEN 'completed' ELSE 'failed' END
+ WHEN ended IS NULL AND total > 0 AND good + bad >= total THEN 'scoring' WHEN ended IS NULL THEN 'fetching' WHEN good = 0 AND bad > 0 THEN 'failed' ELSE 'completed' END AS status,
+ good + bad AS sources_completed, total AS sources_total FROM r""",
     "source_health": """WITH e AS (SELECT user_id, ts, event_id, (event_id * 7) % 5 < 2 AS failed FROM events),
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e),
  l AS (SELECT user_id, coalesce(max(k) FILTER (WHERE NOT failed), 0) AS ok, count(*) FILTER (WHERE failed) AS error_count FROM r GROUP BY 1)
  SELECT l.user_id, max(error_count) AS error_count, count(*) FILTER (WHERE k > ok) AS consecutive_errors, CASE WHEN count(*) FILTER (WHERE k > ok) > 0 THEN 'error' ELSE 'healthy' END AS health_status FROM l JOIN r USING (user_id) GROUP BY 1""",
-    "errors_append": "SELECT user_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (WHERE event_id % 4 = 0), '') AS items FROM events WHERE user_id < 50 GROUP BY 1",
+    "errors_append": "SELECT user_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (WHERE event_id % 4 = 0), '') AS items FROM events GROUP BY 1",
     "active_run": "SELECT event_id AS id FROM (SELECT * FROM events WHERE event_id % 3 = 0 ORDER BY ts DESC LIMIT 1) WHERE TIMESTAMP '2024-01-31 00:00:00' - ts <= INTERVAL 40 DAY",
     "scored_in_run": "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND value >= 0",
     "vector_radius": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
- FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id WHERE a.vec_id < 40 AND round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) < 0.8""",
+ FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0 AND round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) < 0.8""",
     "rrf": """WITH v AS (SELECT o_orderkey, o_orderkey % 100 / 100.0 AS s1, nullif(o_custkey % 50 / 50.0, 0.0) AS s2 FROM orders),
  r AS (SELECT o_orderkey, CAST(greatest(1, floor((1 - s1::DOUBLE) * 100 + 0.5)) AS INT) AS r1, CASE WHEN s2 IS NOT NULL THEN CAST(greatest(1, floor((1 - s2::DOUBLE) * 100 + 0.5)) AS INT) END AS r2 FROM v)
  SELECT o_orderkey, r1, r2, round(CASE WHEN r2 IS NULL THEN 61.0::DOUBLE / (60 + r1) ELSE (61.0::DOUBLE / (60 + r1) + 61.0::DOUBLE / (60 + r2)) / 2 END, 6) AS confidence FROM r""",

@@ -16,7 +16,7 @@ def rows(spark, parser, payload):
 
 def test_remoteok_skips_the_notice(spark):
     got = rows(spark, P.remoteok(), [{"legal": "x"}, {"id": "7", "position": "Nurse", "company": "Acme", "description": "<p>Care&nbsp;well</p>", "location": "", "url": "https://a.example/7", "salary_min": 5}])
-    assert [(r["external_id"], r["description_text"], r["location"], r["is_remote"], r["salary_min"]) for r in got] == [("7", "Care well", None, True, 5.0)]
+    assert [(r["external_id"], r["description_text"], r["location"], r["is_remote"], r["salary_min"]) for r in got] == [("remoteok-7", "Care well", "", None, 5.0)]
 
 
 def test_jobicy_remote_rule(spark):
@@ -26,7 +26,7 @@ def test_jobicy_remote_rule(spark):
 
 def test_himalayas_salary_text_only_without_numbers(spark):
     jobs = [{"id": "1", "guid": "g", "title": "T", "salary": "$120k-$150k"}, {"id": "2", "title": "T", "maxSalary": 9, "salary": "$1 - $2"}]
-    assert [(r["external_id"], r["salary_min"], r["salary_max"]) for r in rows(spark, P.himalayas(), {"jobs": jobs})] == [("g", 120000.0, 150000.0), ("2", None, 9.0)]
+    assert [(r["external_id"], r["salary_min"], r["salary_max"]) for r in rows(spark, P.himalayas(), {"jobs": jobs})] == [("himalayas-g", 120000.0, 150000.0), ("himalayas-2", None, 9.0)]
 
 
 def test_boards(spark):
@@ -34,10 +34,10 @@ def test_boards(spark):
     assert (got["external_id"], got["salary_min"], got["location"]) == ("gh-s-1", 120.0, "Berlin")
     got = rows(spark, P.lever("s", "S"), [{"id": "1", "text": "T", "description": "a", "additional": "b", "workplaceType": "remote", "salaryRange": {"min": 1, "max": 2}}])[0]
     assert (got["description_text"], got["is_remote"], got["salary_max"]) == ("a b", True, 2.0)
-    got = rows(spark, P.ashby("s", "S"), {"jobs": [{"id": "1", "title": "T", "compensation": {"compensationTierSummary": "$100K – 150"}}]})[0]
+    got = rows(spark, P.ashby("s", "S"), {"jobs": [{"id": "1", "title": "T", "compensationTierSummary": "$100K – 150"}]})[0]
     assert (got["salary_min"], got["salary_max"]) == (100000.0, 150000.0)
-    got = rows(spark, P.smartrecruiters("s", "S"), {"content": [{"id": "1", "name": "T", "location": {"city": "Bonn", "country": "de"}}]})[0]
-    assert (got["location"], got["description_text"]) == ("Bonn, de", "T")
+    got = rows(spark, P.smartrecruiters("s", "S"), {"content": [{"id": "1", "uuid": "u", "name": "T", "location": {"city": "Bonn", "country": "de"}}]})[0]
+    assert (got["location"], got["description_text"], got["external_id"], got["source_url"]) == ("Bonn, de", "T", "sr-s-u", "https://jobs.smartrecruiters.com/s/1")
     got = rows(spark, P.themuse(), {"results": [{"id": 5, "name": "T", "company": {"name": "C"}, "locations": [{"name": "Rome"}, {"name": "Flexible / Remote"}]}]})[0]
     assert (got["source_url"], got["is_remote"]) == ("https://www.themuse.com/jobs/5", True)
     got = rows(spark, P.serply(), {"jobs": [{"job_id": "1", "title": "T", "snippet": "s", "detected_extensions": {"salary": "Competitive"}}]})[0]
@@ -45,14 +45,21 @@ def test_boards(spark):
 
 
 def test_rss(spark):
-    xml = '<rss><channel><item><title>Dev at Acme</title><link>https://x.example/1</link><guid isPermaLink="false">g1</guid><description>Pay $100k - $120k</description></item><item><title>No link</title></item></channel></rss>'
+    xml = '<rss><channel><item><title>Dev at Acme</title><link>https://x.example/1</link><guid isPermaLink="false">g1</guid><description>Located in Austin, TX. Pay $100k - $120k</description></item><item><title>No link</title></item></channel></rss>'
     got = rows(spark, P.rss(), xml)
-    assert [(r["company"], r["salary_min"], len(r["external_id"])) for r in got] == [("Acme", 100000.0, 24)]
+    assert [(r["title"], r["company"], r["location"], r["salary_min"], r["is_remote"], len(r["external_id"])) for r in got] == [("Dev", "Acme", "Austin, TX", 100000.0, False, 24)]
+
+
+def test_atom(spark):
+    xml = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">Acme is hiring Dev</title><link href="https://x.example/1"/><id>i1</id><summary>work from home</summary></entry><entry><title>Nurse at Care</title><link>https://x.example/2</link><id>i2</id><content type="html">remote</content></entry><entry><title>No link</title></entry></feed>'
+    assert [(r["title"], r["company"], r["source_url"], r["description_text"], r["is_remote"]) for r in rows(spark, P.atom(), xml)] == [("Dev", "Acme", "https://x.example/1", "work from home", False), ("Nurse", "Care", "https://x.example/2", "remote", True)]
 
 
 def test_web_search_keeps_the_first(spark):
-    df = spark.createDataFrame([(1, json.dumps({"results": [{"title": "Dev | Site", "url": "https://a.example/jobs/1", "content": "x"}, {"title": "S", "url": "https://a.example/jobs/search?q=1", "content": "x"}]})), (2, json.dumps({"results": [{"title": "Other", "url": "https://a.example/jobs/1", "content": "y"}]}))], "page int, payload string")
-    assert [(r["title"], r["source_name"]) for r in P.web_search()(df).collect()] == [("Dev", "a.example")]
+    first = {"results": [{"title": "Acme hiring Dev in Rome | LinkedIn", "url": "https://www.linkedin.com/jobs/view/dev-123456", "content": "x"}, {"title": "S", "url": "https://www.indeed.com/jobs?q=1", "content": "x"}, {"title": "Noise", "url": "https://www.reddit.com/jobs/123456", "content": "x"}]}
+    second = {"results": [{"title": "Other", "url": "https://www.linkedin.com/jobs/view/other-123456", "content": "y"}, {"title": "Nurse - Care Inc", "url": "https://careers.care.example/jobs/99999", "content": "in Boise, ID 83701"}]}
+    df = spark.createDataFrame([(1, json.dumps(first)), (2, json.dumps(second))], "page int, payload string")
+    assert sorted((r["title"], r["company"], r["location"], r["source_name"]) for r in P.web_search()(df).collect()) == [("Dev", "Acme", "Rome", "linkedin"), ("Nurse", "Care Inc", "Boise, ID", "care")]
 
 
 def test_broken_payload_gives_no_rows(spark):
@@ -80,8 +87,8 @@ def test_salary_overlap(spark):
 
 
 def test_title_case_and_url_id(spark):
-    r = spark.range(1).select(X.title_case(F.lit("hELLO wORLD/x")).alias("t"), X.url_id(F.lit("https://www.linkedin.com/jobs/view/dev-at-acme-123?x=1")).alias("u")).first()
-    assert (r.t, r.u) == ("Hello World/x", "123")
+    r = spark.range(1).select(X.title_case(F.lit("hELLO wORLD/x")).alias("t"), X.url_id(F.lit("https://www.linkedin.com/jobs/view/dev-at-acme-12345?x=1")).alias("u")).first()
+    assert (r.t, r.u) == ("Hello World/x", "searxng-li-12345")
 
 
 def test_stream_adds_each_listing_once(spark, tmp_path):
@@ -91,10 +98,10 @@ def test_stream_adds_each_listing_once(spark, tmp_path):
     ingest.ingest(ingest.payload_files(spark, str(tmp_path / "in")), *args).awaitTermination()
     (tmp_path / "in/b.json").write_text(json.dumps({"jobs": [{"id": i, "url": "https://j.example/1", "jobTitle": "T", "companyName": "C", "jobExcerpt": "e"} for i in (1, 2)]}))
     ingest.ingest(ingest.payload_files(spark, str(tmp_path / "in")), *args).awaitTermination()
-    assert sorted(r.external_id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["1", "2"]
+    assert sorted(r.external_id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["jobicy-1", "jobicy-2"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("Berlin, Germany", "DE"), ("Berlin, DE", "US"), ("Austin, TX", "US"), ("Remote", "US"), ("Remote - EMEA", "INTL"), ("Greater San Francisco Area", "US"), ("Nowhere", "Unknown"), ("", "Unknown"), (None, "Unknown"), ("Paris; Remote", "FR")])
+@pytest.mark.parametrize(("text", "want"), [("Berlin, Germany", "DE"), ("Berlin, DE", "US"), ("Austin, TX", "US"), ("Remote", "US"), ("Remote - EMEA", "INTL"), ("Greater San Francisco Area", "Unknown"), ("Greater Mexico City", "MX"), ("APAC-C1", "INTL"), ("São Paulo", "BR"), ("Nowhere", "Unknown"), ("", "Unknown"), (None, "Unknown"), ("Paris; Remote", "FR")])
 def test_country(spark, text, want):
     from feedloom.functions import places
 
@@ -105,7 +112,9 @@ def test_country(spark, text, want):
 def test_company_facts(spark):
     from feedloom.functions import companies
 
-    text = "Acme raised $863M over 6 rounds. Rated 4.2 out of 5. 1,000-5,000 employees. Industry: health care/pharma"
-    r = spark.createDataFrame([(text,), ("nothing",)], "t string").select(companies.facts(F.col("t")).alias("f")).collect()
-    assert (r[0].f.funding, r[0].f.rating, r[0].f.size, r[0].f.industry) == ("$863M (6 rounds)", "4.2", "1,000-5,000", "Health Care/Pharma")
-    assert set(r[1].f.asDict().values()) == {"Unknown"}
+    text = "Acme is a leading health care/pharma company. Total funding of $863M over 6 rounds. Rated 4.2 out of 5. 1,000-5,000 employees. Revenue grew from $10M to $20M. It launched a new line of products today."
+    series, public = "Series C funding round of $40 million", "listed on the NYSE; 300 people work here"
+    r = spark.createDataFrame([(text,), (series,), (public,), ("nothing",)], "t string").select(companies.facts(F.col("t")).alias("f")).collect()
+    assert tuple(r[0].f) == ("4.2 / 5.0", "1,000-5,000 employees", "$863M (6 rounds)", "$10M to $20M", "launched a new line of products today", "Health Care/Pharma")
+    assert (r[1].f.funding, r[2].f.funding, r[2].f.size) == ("Series C ($40M)", "Public", "300 employees")
+    assert set(r[3].f.asDict().values()) == {"Unknown"}
