@@ -85,16 +85,23 @@ class BkTree:
                 stack.extend(children[key] for key in range(max(1, d - radius), d + radius + 1) if key in children)
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard similarity from the smallest `size` hashes of two sets: exact if both sets are that small."""
+def sketches_agree(a: np.ndarray, b: np.ndarray, size: int, similarity: float, margin: float) -> bool:
+    """Whether two sets of hashes, known by their smallest `size`, have a Jaccard similarity of at least `similarity`.
+
+    Sets below that size are known whole and judged exactly; else the estimate may fall short by margin."""
+    if len(a) < size and len(b) < size:
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared >= similarity * (len(a) + len(b) - shared)
     both = np.union1d(a, b)[:size]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / len(both) if len(both) else 1.0
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) >= (similarity - margin) * len(both)
 
 
 Member = tuple[int, int, "np.ndarray | None"]  # id, fingerprint, sketch
 
 
-def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float, size: int) -> dict[int, int]:
+def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float, size: int, margin: float) -> dict[int, int]:
     """A star for each local component: id to the smallest id of its component. own fills the tree and, if there are no
     others, is searched as well; else only others are searched."""
     tree, parent = BkTree(), {}
@@ -109,7 +116,7 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
         for items in tree.within(fp, radius):
             for j, other in items:
                 a, b = find(i), find(j)
-                if a != b and (sketch is None or sketch_similarity(sketch, other, size) >= similarity):
+                if a != b and (sketch is None or sketches_agree(sketch, other, size, similarity, margin)):
                     parent[max(a, b)] = min(a, b)
 
     for i, fp, sketch in own:
@@ -123,7 +130,7 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
     return {x: r for x in parent if (r := find(x)) != x}
 
 
-def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, sketch_size: int = 0, tree_size: int = TREE_SIZE) -> DataFrame:
+def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, sketch_size: int = 0, margin: float = 0.0, tree_size: int = TREE_SIZE) -> DataFrame:
     """(a, b): edges between ids whose closure is that of all pairs that share a route, have fingerprints within radius,
     and, if members have sketches, an estimated similarity.
 
@@ -146,7 +153,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
 
         def flush() -> None:
             if len(own) + len(others) > 1:
-                for x, y in _local_links(own, others, radius, similarity, sketch_size).items():
+                for x, y in _local_links(own, others, radius, similarity, sketch_size, margin).items():
                     a.append(x)
                     b.append(y)
 
@@ -226,8 +233,8 @@ def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, i
 def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): for each id that is not the smallest of its group of near copies, that smallest id.
 
-    Copies within `radius` bits of SimHash whose word shingles have an estimated Jaccard similarity of `similarity` (less
-    a standard error of the sketch) are linked. At that similarity fingerprints differ in ten bits, give or take three, so
+    Copies within `radius` bits of SimHash whose word shingles have a Jaccard similarity of `similarity` are linked: exact
+    for texts of fewer than SKETCH shingles, else estimated, less a standard error of the sketch. At that similarity fingerprints differ in ten bits, give or take three, so
     the radius passes all but one pair in 6,000, and unrelated texts (32 bits) stay out. No band of bits is sure to
     survive that; so shards are the texts that share one of six smallest shingle hashes, each with its BK-tree. Texts with
     equal fingerprint and sketch are one member, however many. Texts without words form one group; null ids are in no
@@ -238,6 +245,6 @@ def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, simila
     members = classes.select("id", "fp", "sketch")
     routes = classes.select("id", F.posexplode("routes").alias("band", "value"))
     error = MARGIN * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    roots = connected_components(links(members, routes, radius=radius, similarity=similarity - error, sketch_size=SKETCH))
+    roots = connected_components(links(members, routes, radius=radius, similarity=similarity, sketch_size=SKETCH, margin=error))
     named = classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "sketch", F.coalesce("root", "id").alias("group"))
     return signed.select("id", "fp", "sketch").join(named, ["fp", "sketch"]).filter("id <> group").select(F.col("id").alias(id_col), "group").distinct()

@@ -208,3 +208,34 @@ def test_pipeline(spark, sf):
     for r in rows:
         whole.setdefault(r.doc_id, [0, r.doc_tokens])[0] += r.length
     assert whole and all(a == b for a, b in whole.values()) and whole.keys() < docs.keys()
+
+
+def test_short_near_copies_exactly(spark):
+    """Texts of 30 to 90 words around the similarity of 0.8: groups are those of exact five-word shingle sets."""
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for base in range(60):
+        words = [f"w{base}x{rng.randrange(10_000)}" for _ in range(rng.randrange(30, 90))]
+        texts.append(words)
+        for cut in range(1, 13, 2):
+            texts.append(words[: len(words) - cut] + [f"v{base}y{cut}z{i}" for i in range(cut // 2)])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i // 7 * 7, i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(texts)) if find(i) != i}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.group for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == want
+    assert 100 < len(want) < len(texts) - 60
