@@ -15,6 +15,8 @@ from feedloom.llm.components import connected_components
 
 #: Fingerprints of one band value that meet in one tree at most (in expectation); larger groups are cut into chunks.
 TREE_SIZE = 1024
+#: Bytes of their shingle sets, likewise; one larger set makes a chunk of its own.
+TREE_BYTES = 16 << 20
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int, seed: int) -> np.ndarray:
@@ -85,23 +87,18 @@ class BkTree:
                 stack.extend(children[key] for key in range(max(1, d - radius), d + radius + 1) if key in children)
 
 
-def sketches_agree(a: np.ndarray, b: np.ndarray, size: int, similarity: float, margin: float) -> bool:
-    """Whether two sets of hashes, known by their smallest `size`, have a Jaccard similarity of at least `similarity`.
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two whole sets of hashes have a Jaccard similarity of at least `similarity`."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
 
-    Sets below that size are known whole and judged exactly; else the estimate may fall short by margin."""
-    if len(a) < size and len(b) < size:
-        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-            return False
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared >= similarity * (len(a) + len(b) - shared)
-    both = np.union1d(a, b)[:size]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) >= (similarity - margin) * len(both)
 
+Member = tuple[int, int, "np.ndarray | None"]  # id, fingerprint, set of shingle hashes
 
-Member = tuple[int, int, "np.ndarray | None"]  # id, fingerprint, sketch
 
-
-def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float, size: int, margin: float) -> dict[int, int]:
+def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float) -> dict[int, int]:
     """A star for each local component: id to the smallest id of its component. own fills the tree and, if there are no
     others, is searched as well; else only others are searched."""
     tree, parent = BkTree(), {}
@@ -116,7 +113,7 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
         for items in tree.within(fp, radius):
             for j, other in items:
                 a, b = find(i), find(j)
-                if a != b and (sketch is None or sketches_agree(sketch, other, size, similarity, margin)):
+                if a != b and (sketch is None or similar(sketch, other, similarity)):
                     parent[max(a, b)] = min(a, b)
 
     for i, fp, sketch in own:
@@ -130,18 +127,20 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
     return {x: r for x in parent if (r := find(x)) != x}
 
 
-def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, sketch_size: int = 0, margin: float = 0.0, tree_size: int = TREE_SIZE) -> DataFrame:
+def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, tree_size: int = TREE_SIZE, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """(a, b): edges between ids whose closure is that of all pairs that share a route, have fingerprints within radius,
-    and, if members have sketches, an estimated similarity.
+    and, if members have sketches, at least that similarity.
 
-    members: (id, fp, sketch); routes: (id, band, value). A shard is all members of one route. Each shard gets a
-    BK-tree; a shard above tree_size is cut into chunks by a hash, and each pair of chunks meets in a group of its own
+    members: (id, fp, sketch), the sketch being a whole set of shingle hashes or null; routes: (id, band, value), and
+    bytes if there are sketches. A shard is all members of one route. Each shard gets a BK-tree; a shard above
+    tree_size members or tree_bytes is cut into chunks by a hash, and each pair of chunks meets in a group of its own
     (one chunk's tree, the other's queries), so no tree or group grows with a hot value. Trees go to their queries
     through the shuffle: broadcasting them would bring the fingerprints of all documents to the driver. Each group
     gives a star for each local component instead of its pairs.
     """
-    sizes = routes.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1")
-    placed = routes.join(sizes, ["band", "value"]).withColumn("_chunks", F.ceil(F.col("_n") / tree_size).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
+    sizes = routes.groupBy("band", "value").agg(F.count("*").alias("_n"), F.sum("bytes" if "bytes" in routes.columns else F.lit(0)).alias("_bytes")).filter("_n > 1")
+    chunks = F.greatest(F.ceil(F.col("_n") / tree_size), F.least(F.col("_n"), F.ceil(F.col("_bytes") / tree_bytes))).cast("int")
+    placed = routes.join(sizes, ["band", "value"]).withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
     # Each chunk with itself, and each two chunks once: the lower one's tree, the higher one's queries.
     pairs = placed.select("id", "band", "value", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_with"))
     keyed = pairs.select("id", "band", "value", F.least("_own", "_with").alias("_tree"), F.greatest("_own", "_with").alias("_query"), "_own").join(members, "id")
@@ -153,7 +152,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
 
         def flush() -> None:
             if len(own) + len(others) > 1:
-                for x, y in _local_links(own, others, radius, similarity, sketch_size, margin).items():
+                for x, y in _local_links(own, others, radius, similarity).items():
                     a.append(x)
                     b.append(y)
 
@@ -169,7 +168,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
                 if (now := (band, value, tree, query)) != key:
                     flush()
                     key, own, others = now, [], []
-                (own if mine == tree else others).append((i, fp & 0xFFFFFFFFFFFFFFFF, None if sketch is None else np.frombuffer(sketch, dtype="<u4")))
+                (own if mine == tree else others).append((i, fp & 0xFFFFFFFFFFFFFFFF, None if sketch is None else np.frombuffer(sketch, dtype="<u8")))
             if len(a) > 20_000:
                 yield out()
         flush()
@@ -207,44 +206,57 @@ def near_duplicate_components(docs: DataFrame, *, radius: int = 2, words_per_shi
 #: Salts of the minima by which likely copies find each other: of sets with similarity 0.8, two of six minima agree but
 #: for one pair in 600, and one of six but for one in 15,000.
 ROUTES = np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: Smallest hashes kept of a text's shingles, and the standard errors that an estimate may fall below the similarity.
-SKETCH, MARGIN = 128, 1.0
 
 
-def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, sketch, routes) of each whole text; null texts count as empty."""
+def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, key, bytes, routes) of each whole text, or (key, sketch) if whole; null texts count as empty. key names
+    the distinct shingles by a 64-bit hash; the sketch is their whole set, bytes its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text", 4 << 20):
-            fps, sketches, routes = [], [], []
+            fps, keys, sizes, routes, sketches = [], [], [], [], []
             for text in texts_of(batch.column(1)):
                 hashes = shingle_hashes(text, words_per_shingle, seed)
-                fps.append(simhash(hashes))
                 distinct = np.unique(hashes)
-                low = np.unique((mix64(distinct) >> np.uint64(32)).astype("<u4"))[:SKETCH]
-                sketches.append(low.tobytes())
+                data = distinct.astype("<u8").tobytes()
+                keys.append(xxhash.xxh3_64_intdigest(data))
+                if whole:
+                    sketches.append(data)
+                    continue
+                fps.append(simhash(hashes))
+                sizes.append(len(data))
                 routes.append([int(mix64(distinct ^ salt).min().view(np.int64)) for salt in ROUTES] if len(distinct) else [0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(routes, pa.list_(pa.int64()))], ["id", "fp", "sketch", "routes"])
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            if whole:
+                yield pa.RecordBatch.from_arrays([signed(keys), pa.array(sketches, pa.binary())], ["key", "sketch"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(keys), pa.array(sizes, pa.int64()), pa.array(routes, pa.list_(pa.int64()))], ["id", "fp", "key", "bytes", "routes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "id long, fp long, sketch binary, routes array<long>")
+    return rows.mapInArrow(run, "key long, sketch binary" if whole else "id long, fp long, key long, bytes long, routes array<long>")
 
 
 def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): for each id that is not the smallest of its group of near copies, that smallest id.
 
-    Copies within `radius` bits of SimHash whose word shingles have a Jaccard similarity of `similarity` are linked: exact
-    for texts of fewer than SKETCH shingles, else estimated, less a standard error of the sketch. At that similarity fingerprints differ in ten bits, give or take three, so
+    Copies within `radius` bits of SimHash whose word shingles have a Jaccard similarity of `similarity` are linked, judged
+    by their whole sets of shingles at any length. At that similarity fingerprints differ in ten bits, give or take three, so
     the radius passes all but one pair in 6,000, and unrelated texts (32 bits) stay out. No band of bits is sure to
     survive that; so shards are the texts that share one of six smallest shingle hashes, each with its BK-tree. Texts with
-    equal fingerprint and sketch are one member, however many. Texts without words form one group; null ids are in no
-    group; an empty table gives no rows. Each id with more than one row is judged as one text only if its rows agree.
+    equal sets are one member, however many; only sets that share a hash with another are made again and sent. Texts
+    without words form one group; null ids are in no group; an empty table gives no rows. Each id with more than one row
+    is judged as one text only if its rows agree.
     """
-    signed = saved(signatures(docs.filter(F.col(id_col).isNotNull()), words_per_shingle=words_per_shingle, id_col=id_col, text_col=text_col), "signatures")
-    classes = checkpointed(signed.groupBy("fp", "sketch").agg(F.min("id").alias("id"), F.first("routes").alias("routes")))
-    members = classes.select("id", "fp", "sketch")
-    routes = classes.select("id", F.posexplode("routes").alias("band", "value"))
-    error = MARGIN * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    roots = connected_components(links(members, routes, radius=radius, similarity=similarity, sketch_size=SKETCH, margin=error))
-    named = classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "sketch", F.coalesce("root", "id").alias("group"))
-    return signed.select("id", "fp", "sketch").join(named, ["fp", "sketch"]).filter("id <> group").select(F.col("id").alias(id_col), "group").distinct()
+    docs = docs.filter(F.col(id_col).isNotNull())
+    named = {"words_per_shingle": words_per_shingle, "id_col": id_col, "text_col": text_col}
+    signed = saved(signatures(docs, **named), "signatures")
+    classes = checkpointed(signed.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"), F.first("routes").alias("routes")))
+    routes = classes.select("id", "key", "bytes", F.posexplode("routes").alias("band", "value"))
+    shared = routes.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1")
+    met = checkpointed(routes.join(shared.drop("_n"), ["band", "value"], "left_semi"))
+    again = docs.join(met.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    sets = signatures(again, whole=True, **named).dropDuplicates(["key"])
+    members = saved(classes.select("id", "fp", "key").join(sets, "key").select("id", "fp", "sketch"), "members")
+    roots = connected_components(links(members, met, radius=radius, similarity=similarity))
+    rooted = classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("group"))
+    return signed.select("id", "fp", "key").join(rooted, ["fp", "key"]).filter("id <> group").select(F.col("id").alias(id_col), "group").distinct()
