@@ -27,3 +27,12 @@ def test_long_near_copies_exactly(spark, length):
         texts += [words, copy]
     assert 15 < len(want) < 45
     assert groups(spark, texts) == want
+
+
+@pytest.mark.parametrize(("length", "line", "times"), [(300, 12, 15), (1000, 15, 20), (1000, 15, 40)])
+def test_copies_with_a_repeated_line(spark, length, line, times):
+    rng, texts = random.Random(times), []
+    for base in range(30):
+        words = [f"w{base}x{rng.randrange(10**6)}" for _ in range(length)]
+        texts += [words, words + words[-line:] * times]
+    assert groups(spark, texts) == {i: i - 1 for i in range(1, 60, 2)}
