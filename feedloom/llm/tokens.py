@@ -30,7 +30,8 @@ class PieceEncoder:
     A byte-level BPE first cuts a text into pre-tokens. Between two visible characters a lone space begins one and a
     lone line feed is one, so texts are cut there, and the tokenizer sees each distinct piece once while the cache
     holds it. New pieces are encoded in one text, joined by line feeds, whose id marks the ends. A text with any other
-    white space beside a space or line feed is cut at fewer places, by a pattern.
+    white space beside a space or line feed is cut at fewer places, by a pattern. A text that holds an added token's
+    content goes to the library whole.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
@@ -38,7 +39,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._alone("\n")
         self.tails = {x: self._alone(x) for x in ",."}
         self.cache_pieces = cache_pieces
@@ -73,6 +74,9 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if whole := {i for i, text in enumerate(texts) if any(x in text for x in self.added)}:
+            rest = iter(self.encode([text for i, text in enumerate(texts) if i not in whole]))
+            return [self._alone(text) if i in whole else next(rest) for i, text in enumerate(texts)]
         lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
         heads = {line[0] for text in lines for line in text}
         spaced = set(chain.from_iterable(line[1:] for text in lines for line in text))
