@@ -243,7 +243,8 @@ def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, simila
     by their whole sets of shingles at any length. At that similarity fingerprints differ in ten bits, give or take three, so
     the radius passes all but some 6 in 12,000 simulated pairs, and unrelated texts (32 bits) stay out. No band of bits is sure to
     survive that; so shards are the texts that share one of six smallest shingle hashes, each with its BK-tree. Texts with
-    equal sets are one member, however many; only sets that share a hash with another are made again and sent. Texts
+    equal sets are one member, however many. A first search links by radius alone; only texts that it links make their
+    sets again and send them once, to meet all others of their component in a second search that judges them. Texts
     without words form one group; null ids are in no group; an empty table gives no rows. Each id with more than one row
     is judged as one text only if its rows agree.
     """
@@ -251,12 +252,15 @@ def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, simila
     named = {"words_per_shingle": words_per_shingle, "id_col": id_col, "text_col": text_col}
     signed = saved(signatures(docs, **named), "signatures")
     classes = checkpointed(signed.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"), F.first("routes").alias("routes")))
-    routes = classes.select("id", "key", "bytes", F.posexplode("routes").alias("band", "value"))
+    routes = classes.select("id", F.posexplode("routes").alias("band", "value"))
     shared = routes.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1")
     met = checkpointed(routes.join(shared.drop("_n"), ["band", "value"], "left_semi"))
-    again = docs.join(met.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    likely = connected_components(links(classes.select("id", "fp", F.lit(None).cast("binary").alias("sketch")), met.select("id", "band", "value"), radius=radius))
+    placed = checkpointed(likely.select(F.col("node").alias("id"), "root").unionByName(likely.select(F.col("root").alias("id"), "root")).distinct())
+    again = docs.join(placed.select(F.col("id").alias(id_col)), id_col, "left_semi")
     sets = signatures(again, whole=True, **named).dropDuplicates(["key"])
-    members = saved(classes.select("id", "fp", "key").join(sets, "key").select("id", "fp", "sketch"), "members")
-    roots = connected_components(links(members, met, radius=radius, similarity=similarity))
+    members = classes.select("id", "fp", "key").join(sets, "key").select("id", "fp", "sketch")
+    together = classes.join(placed, "id").select("id", "bytes", F.lit(0).alias("band"), F.col("root").alias("value"))
+    roots = connected_components(links(members, together, radius=radius, similarity=similarity))
     rooted = classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("group"))
     return signed.select("id", "fp", "key").join(rooted, ["fp", "key"]).filter("id <> group").select(F.col("id").alias(id_col), "group").distinct()
