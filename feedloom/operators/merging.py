@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from feedloom.functions import similarity as sim
 
 Transform = Callable[[DataFrame], DataFrame]
 KEYS = ["source_name", "external_id"]
-MERGE_OVER, SIMILAR_FROM, CANDIDATES = 0.90, 0.70, 50
+MERGE_OVER, SIMILAR_FROM = 0.90, 0.70
+#: Distinct features of one key on either side of a block, in expectation.
+BLOCK = 1024
 BACKFILLED = ["salary_min", "salary_max", "location", "is_remote", "description_html", "description_text", "apply_url"]
 
 
@@ -61,38 +66,71 @@ def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, C
     return out.distinct()
 
 
-def fingerprint_merges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming rows with their most confident stored candidate and a disposition: merged, similar or new.
-
-    Candidates share a fingerprint, company or title (lower case), at most CANDIDATES of each key, by id: the listing
-    feature's own limit, here in a defined order, which keeps a hot name such as Unknown linear. Confidence fuses fingerprint, company, location
-    and salary ranks; ties go to the smaller stored id. An auto-merge needs equal fingerprints, so an equality join on
-    these three keys finds every pair that can matter. Names repeat, so Jaro-Winkler runs on distinct pairs only."""
-    from feedloom.functions.money import overlap
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(id, kind, key, feature): a row for each key that is not null: 0 fingerprint, 1 company, 2 title (lower case)."""
     from feedloom.functions.places import normal_place
 
-    cols = ["fingerprint", "company", "title", "location", "salary_min", "salary_max"]
-    a = incoming.select(F.col("id").alias("in_id"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = stored.select(F.col("id").alias("cand_id"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    keys = [(F.col("a_fingerprint"), F.col("b_fingerprint")), (F.lower("a_company"), F.lower("b_company")), (F.lower("a_title"), F.lower("b_title"))]
-    pairs = or_candidates(a, b, keys, "in_id", "cand_id", CANDIDATES).join(a, "in_id").join(b, "cand_id")
-    names = pairs.select(F.lower("a_company").alias("x"), F.lower("b_company").alias("y")).distinct()
-    likeness = names.withColumn("company_sim", sim.jaro_winkler("x", "y"))
-    both = pairs.join(likeness, (F.lower("a_company") == F.col("x")) & (F.lower("b_company") == F.col("y")), "left").drop("x", "y")
-    place = lambda side: F.lower(normal_place(F.nullif(F.col(f"{side}_location"), F.lit(""))))
-    spots = pairs.select(place("a").alias("x"), place("b").alias("y")).distinct().withColumn("place_sim", sim.jaro_winkler("x", "y"))
-    both = both.join(spots, (place("a") == F.col("x")) & (place("b") == F.col("y")), "left")
-    ranks = [
-        F.when(F.col("a_fingerprint") == F.col("b_fingerprint"), 1).otherwise(100),
-        sim.to_rank(F.col("company_sim")),
-        sim.to_rank(F.col("place_sim")),
-        sim.to_rank(overlap(F.col("a_salary_min"), F.col("a_salary_max"), F.col("b_salary_min"), F.col("b_salary_max"))),
-    ]
-    scored = both.select("in_id", "cand_id", sim.fuse(ranks).alias("confidence"))
-    best = Window.partitionBy("in_id").orderBy(F.desc("confidence"), "cand_id")
-    top = scored.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
+    place = F.lower(normal_place(F.nullif(F.col("location"), F.lit(""))))
+    feature = F.struct(F.lower("company").alias("company"), place.alias("place"), F.col("salary_min").cast("double").alias("low"), F.col("salary_max").cast("double").alias("high"))
+    keys = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate([F.col("fingerprint"), F.lower("company"), F.lower("title")])))
+    return rows.select("id", feature.alias("feature"), F.explode(keys).alias("_k")).select("id", "_k.kind", "_k.key", "feature").filter("key is not null")
+
+
+def _pair_ranks(a: list, b: list) -> np.ndarray:
+    """Jaro-Winkler ranks of all pairs, computed once for each distinct pair; 0 if either is null."""
+    x, y = ({v: i for i, v in enumerate(dict.fromkeys(side))} for side in (a, b))
+    ranks = np.array([[0 if u is None or v is None else max(1, math.floor((1 - sim.jaro_winkler_pair(u, v)) * 100 + 0.5)) for v in y] for u in x])
+    return ranks[np.ix_([x[u] for u in a], [y[v] for v in b])]
+
+
+def _best_of_block(stored: pa.Table, incoming: pa.Table) -> pa.Table:
+    """Each incoming feature's highest confidence in the block, and the smallest stored id that gives it."""
+    stored = stored.sort_by("least")
+    a, b = incoming.column("feature").to_pylist(), stored.column("feature").to_pylist()
+    if not a or not b:
+        return incoming.select(["kind", "key", "feature"]).slice(0, 0).append_column("confidence", pa.array([], pa.float64())).append_column("cand_id", pa.array([], pa.int64()))
+    ranks = [np.full((len(a), len(b)), 100 if incoming.column("kind")[0].as_py() else 1)]
+    ranks += [_pair_ranks([f[c] for f in a], [f[c] for f in b]) for c in ("company", "place")]
+    number = lambda rows, c: np.array([np.nan if f[c] is None else f[c] for f in rows], dtype=np.float64)
+    a_low, b_low = number(a, "low")[:, None], number(b, "low")[None, :]
+    a_top, b_top = (np.where(np.isnan(t := number(rows, "high")), number(rows, "low"), t) for rows in (a, b))
+    a_top, b_top = a_top[:, None], b_top[None, :]
+    low, high, union = np.maximum(a_low, b_low), np.minimum(a_top, b_top), np.maximum(a_top, b_top) - np.minimum(a_low, b_low)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        shared = np.where(high < low, 0.0, np.where(union == 0, 1.0, (high - low) / union))
+    ranks.append(np.where(np.isnan(shared), 0, np.maximum(1, np.floor((1 - np.nan_to_num(shared)) * 100 + 0.5))))
+    total = sum(np.where(r > 0, (sim.RRF_K + 1.0) / (sim.RRF_K + r), 0.0) for r in ranks) / sum((r > 0).astype(int) for r in ranks)
+    best = total.argmax(axis=1)
+    out = incoming.select(["kind", "key", "feature"]).append_column("confidence", pa.array(total[np.arange(len(a)), best]))
+    return out.append_column("cand_id", stored.column("least").take(pa.array(best)))
+
+
+def fingerprint_merges(incoming: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Incoming rows with their most confident stored candidate and a disposition: merged, similar or new.
+
+    Candidates share a fingerprint, company or title (lower case), all of them; the reference's feature stops at 50 in
+    no order. Confidence fuses fingerprint, company, location and salary ranks; ties go to the smaller stored id. Both
+    sides are reduced to the distinct features of each key, a stored one with its smallest id; they meet in blocks of
+    bounded size, each of which gives the best of each incoming feature, so no pairs are kept and no task grows with a
+    hot key. Companies and titles count as unequal fingerprints: a pair of equal ones has its higher value under its
+    fingerprint."""
+    mine, theirs = _keyed(incoming), _keyed(stored)
+    key, each = ["kind", "key"], ["kind", "key", "feature"]
+    a, b = mine.select(*each).distinct(), theirs.groupBy(*each).agg(F.min("id").cast("long").alias("least"))
+    cuts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = cuts(a, "_na").join(cuts(b, "_nb"), key)
+    part = lambda n: F.pmod(F.xxhash64("feature"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(sizes, key).select(*each, part("_na").alias("_a"), every("_nb").alias("_b"))
+    right = b.join(sizes, key).select(*each, "least", part("_nb").alias("_b"), every("_na").alias("_a"))
+    group = [*key, "_a", "_b"]
+    kept = "kind int, key string, feature struct<company:string,place:string,low:double,high:double>, confidence double, cand_id long"
+    found = right.groupBy(*group).cogroup(left.groupBy(*group)).applyInArrow(_best_of_block, kept)
+    order = F.struct("confidence", (-F.col("cand_id")).alias("_less"))
+    best = found.groupBy(*each).agg(F.max(order).alias("_top"))
+    top = mine.join(best, each).groupBy(F.col("id").alias("in_id")).agg(F.max("_top").alias("_top")).select("in_id", (-F.col("_top._less")).alias("cand_id"), F.col("_top.confidence").alias("confidence"))
     c = F.col("confidence")
-    return a.select("in_id").join(top, "in_id", "left").withColumn("disposition", F.when(c > MERGE_OVER, "merged").when(c >= SIMILAR_FROM, "similar").otherwise("new"))
+    return incoming.select(F.col("id").alias("in_id")).join(top, "in_id", "left").withColumn("disposition", F.when(c > MERGE_OVER, "merged").when(c >= SIMILAR_FROM, "similar").otherwise("new"))
 
 
 def merge_attributions(own: Column, new: Column) -> Column:
