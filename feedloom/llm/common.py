@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: bytes.split() with no argument cuts at exactly these characters: \x20 and \x09-\x0D.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+T = TypeVar("T")
+
+_RESIDENT: list = [None, None]
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: the last one asked for. Workers outlive a stage, so keeping each
+    operator's models and caches would add up."""
+    if _RESIDENT[0] != key:
+        _RESIDENT[:] = [None, None]
+        _RESIDENT[:] = [key, make()]
+    return _RESIDENT[1]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is named and all run in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="feedloom-shared-")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import sliced
-from feedloom.llm.tokens import encoder
+from feedloom.llm.tokens import encoder, with_end
 
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
@@ -31,19 +31,20 @@ def pack(docs: DataFrame, vocabulary: str, *, longest: int = 1024, end_id: int =
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in sliced(batches, "_text", 2 << 20):
+        encode = encoder(vocabulary).encode_column
+        for batch in sliced(batches, "_text", 8 << 20):
+            ids, ends = with_end(*encode(batch.column(1)), end_id)
+            data, begin = memoryview(ids.tobytes()), 0
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += end
-                total, start = len(ids) // 4, 0
+            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                total, start = end - begin, 0
                 for length in binary_lengths(total, longest):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, piece if with_ids else None, zlib.crc32(piece), total))
+                    piece = data[4 * (begin + start) : 4 * (begin + start + length)]
+                    rows.append((doc, start, length, bytes(piece) if with_ids else None, zlib.crc32(piece), total))
                     start += length
+                begin = end
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import sliced
+from feedloom.llm.common import resident, sliced
 from feedloom.llm.tokens import vocabulary_path
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -201,14 +201,9 @@ class PieceModel:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    """One model for each file in a Python worker."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    """One model in a Python worker."""
+    return resident(("pieces", path), lambda: PieceModel(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:

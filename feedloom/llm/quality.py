@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import sliced
+from feedloom.llm.common import resident, sliced
 from feedloom.llm.tokens import vocabulary_path
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -133,14 +133,9 @@ class Fertility:
         return chars / n, chars / sum(map(self.tokens.__getitem__, words)), float(self.is_byte[ids].sum()) / n, entropy / math.log2(n) if n > 1 else 0.0
 
 
-_FERTILITY: dict[tuple[str, str], Fertility] = {}
-
-
 def fertility(piece_path: str, bpe_path: str) -> Fertility:
-    """One for each pair of files in a Python worker."""
-    if (piece_path, bpe_path) not in _FERTILITY:
-        _FERTILITY[piece_path, bpe_path] = Fertility(piece_path, bpe_path)
-    return _FERTILITY[piece_path, bpe_path]
+    """One in a Python worker."""
+    return resident(("fertility", piece_path, bpe_path), lambda: Fertility(piece_path, bpe_path))
 
 
 FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("chars_per_piece", pa.float64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("entropy", pa.float64()), ("kept", pa.bool_())]

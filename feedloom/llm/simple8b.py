@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import fresh_path, shared_dir, sliced
-from feedloom.llm.tokens import encoder
+from feedloom.llm.tokens import encoder, with_end
 
 #: Fixed values of the format: selector s packs COUNTS[s] ids of BITS[s] bits in the 60 bits below it; the last selector
 #: is the escape, whose whole next word is one id of up to 64 bits.
@@ -24,22 +24,40 @@ BLOCK_IDS = 1 << 16
 MAGIC = b"S8B1"
 
 
+#: The bits of the narrowest packed selector that holds an id of so many bits; 255 if none does.
+_WIDTH_OF = np.array([min((int(c) for c in BITS[:ESCAPE] if c >= b), default=255) for b in range(66)], dtype=np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that a packed selector needs for each id; 255 for those over 30 bits."""
+    return _WIDTH_OF[np.frexp(ids.astype(np.float64))[1]]  # below 2**53 the exponent is the length in bits
+
+
+def _widest(width: np.ndarray, n: int) -> np.ndarray:
+    """The largest width of the n ids from each place on; past the end nothing fits."""
+    out, done = width, 1
+    while done < n:
+        step = min(done, n - done)
+        out = np.maximum(out, np.append(out[step:], np.full(min(step, len(out)), 255, dtype=np.uint8)))
+        done += step
+    return out
+
+
 def encode_words(ids: np.ndarray) -> np.ndarray:
-    """64-bit words holding ids. Selectors 0-1 hold runs of zeros, 2-14 packed ids, 15 escapes one id over 30 bits."""
+    """64-bit words holding ids. Selectors 0-1 hold runs of zeros, 2-14 packed ids, 15 escapes one id over 30 bits.
+
+    A selector fits where the widest of as many ids from there on is no wider than its bits; the first that fits at a
+    place packs most, so it is taken."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.empty(0, dtype="<u8")
-    jump = np.ones(n, dtype=np.int64)
-    which = np.full(n, ESCAPE, dtype=np.int64)
-    at = np.arange(n)
-    for s in range(ESCAPE - 1, -1, -1):
-        big = ids >= np.uint64(1 << int(BITS[s]))
-        if big.all():
-            continue
-        reach = np.minimum.accumulate(np.where(big, at, n)[::-1])[::-1] - at
-        fits = reach >= COUNTS[s]
-        jump[fits], which[fits] = COUNTS[s], s
+    width = _widths(ids)
+    which = np.full(n, ESCAPE, dtype=np.uint8)
+    for s in range(ESCAPE):
+        wide = _widest(width, int(COUNTS[s])) > BITS[s].astype(np.uint8)
+        np.minimum(which, wide * np.uint8(ESCAPE) + np.uint8(s), out=which)
+    jump = COUNTS.astype(np.uint8)[which]
     # A tail too short for any full word is filled up with zeros; the id count in the block's header ends it.
     filled = np.append(ids, np.zeros(COUNTS[2], dtype=np.uint64))
     for i in range(n - 1, max(-1, n - 1 - COUNTS[2]), -1):
@@ -62,9 +80,11 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     for s in range(2, ESCAPE):
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            block = filled[first[mine, None] + np.arange(COUNTS[s])]
             # Beyond a tail's end lie zeros; a full word holds ids of its own only.
-            words[place[mine]] |= np.bitwise_or.reduce(block << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])), axis=1)
+            packed = filled[first[mine]]
+            for j in range(1, int(COUNTS[s])):
+                packed |= filled[first[mine] + j] << np.uint64(j * int(BITS[s]))
+            words[place[mine]] |= packed
     return words.astype("<u8")
 
 
@@ -89,20 +109,19 @@ def decode_words(words: np.ndarray, n: int) -> np.ndarray:
     for s in range(2, ESCAPE):
         mine = np.flatnonzero(selector[heads] == s)
         if len(mine):
-            shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])
-            out[begins[mine, None] + np.arange(COUNTS[s])] = (words[heads[mine], None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
+            word, mask = words[heads[mine]], np.uint64((1 << int(BITS[s])) - 1)
+            for j in range(int(COUNTS[s])):
+                out[begins[mine] + j] = (word >> np.uint64(j * int(BITS[s]))) & mask
     mine = np.flatnonzero(selector[heads] == ESCAPE)
     out[begins[mine]] = words[heads[mine] + 1]
     return out[:n]
 
 
-def encode_block(docs: list[tuple[int | None, bytes]]) -> bytes:
+def encode_block(docs: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
     """A block: magic, number of documents, ids and words; doc ids; the end of each document in ids; words; CRC-32."""
-    ids = np.frombuffer(b"".join(x for _, x in docs), dtype="<u4")
-    ends = np.cumsum([len(x) // 4 for _, x in docs], dtype="<i8")
     words = encode_words(ids)
-    nulls = np.array([d is None for d, _ in docs], dtype=np.uint8)
-    body = MAGIC + struct.pack("<qqq", len(docs), len(ids), len(words)) + np.array([d or 0 for d, _ in docs], dtype="<i8").tobytes() + nulls.tobytes() + ends.tobytes() + words.tobytes()
+    nulls = np.array([d is None for d in docs], dtype=np.uint8)
+    body = MAGIC + struct.pack("<qqq", len(docs), len(ids), len(words)) + np.array([d or 0 for d in docs], dtype="<i8").tobytes() + nulls.tobytes() + ends.astype("<i8").tobytes() + words.tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -129,29 +148,37 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int = 0
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        held: list[tuple[int | None, bytes]] = []
+        encode = encoder(vocabulary).encode_column
+        docs: list[int | None] = []
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
         number = before = size = 0
         part = None
 
         def block() -> pa.RecordBatch:
             nonlocal number, before, size
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([encode_block(held)], pa.binary())], ["part", "block", "before", "n_ids", "data"])
+            data = encode_block(docs, np.cumsum(sizes), np.concatenate(held))
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "block", "before", "n_ids", "data"])
             number, before, size = number + 1, before + size, 0
-            held.clear()
+            for x in (docs, sizes, held):
+                x.clear()
             return out
 
-        for batch in sliced(batches, "_text", 1 << 20):
+        for batch in sliced(batches, "_text", 8 << 20):
             part = batch.column(2)[0].as_py()
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                held.append((doc, ids + end))
-                size += len(ids) // 4 + 1
+            ids, ends = with_end(*encode(batch.column(1)), end_id)
+            begin = 0
+            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                docs.append(doc)
+                sizes.append(end - begin)
+                held.append(ids[begin:end])
+                begin, size = end, size + end - begin
                 if size >= BLOCK_IDS:
                     yield block()
-        if held:
+            held = [x.copy() for x in held]
+        if docs:
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from feedloom.llm.common import resident
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Pieces kept by one Python worker; at this many the cache starts anew. Ids do not depend on it.
-CACHE_PIECES = 500_000
-#: New pieces encoded in one call.
-CALL_PIECES = 20_000
+#: Pieces in each of the cache's two generations; ids do not depend on it. Longer pieces are not kept.
+CACHE_PIECES, LONGEST_KEPT = 400_000, 64
+#: Longer texts are encoded in parts of about this many characters, cut where a pre-token begins anyway.
+PART_CHARS = 4 << 20
+#: Pieces whose ids are gathered at a time.
+_STEP = 1 << 16
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -24,85 +29,182 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+#: Spaces and line feeds that lie together in threes, or in twos at a text's end, and other white space.
+_UNUSUAL = r"[\t\x0b\x0c\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{3}|[ \n]{2}\z"
+#: Characters that count as white space to some and not to others.
+_UNSURE = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{2060}\x{feff}]"
+#: White space belongs to what follows it, so a text falls into pre-tokens at every change to white space.
+_PIECES = re.compile(r"\s*\S+|\s+")
+#: Letters of one pre-token, and ASCII punctuation, which is another behind them; an apostrophe may begin a third kind.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
 class PieceEncoder:
     """Ids of whole texts, the same as tokenizers' encode() of each.
 
-    A byte-level BPE first cuts a text into pre-tokens. Between two visible characters a lone space begins one and a
-    lone line feed is one, so texts are cut there, and the tokenizer sees each distinct piece once while the cache
-    holds it. New pieces are encoded in one text, joined by line feeds, whose id marks the ends. A text with any other
-    white space beside a space or line feed is cut at fewer places, by a pattern. A text that holds an added token's
-    content goes to the library whole.
+    A byte-level BPE first cuts a text into pre-tokens: where white space begins, before a lone space in front of a
+    visible character, and around a line feed there. So Arrow splits a batch of texts at spaces and before line feeds
+    and numbers the distinct pieces; each is encoded once while the cache holds it, and the ids are gathered by number.
+    A piece without white space in front has an implied space. Texts with unusual white space are cut by a pattern
+    into pieces of the same kind; those with an added token's content go to the library whole.
+
+    The cache has two generations: what is used moves to the young one, and when that is full it becomes the old one,
+    so frequent pieces stay and memory is bounded.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer or self.tokenizer.post_processor:
+            raise ValueError("the cuts hold for a plain byte-level BPE only")
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = f"{_UNSURE}|{added}" if added else _UNSURE
+        self.unusual = f"{_UNUSUAL}|{self.whole}"
+        self.model = self.tokenizer.model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: shown(chr(c))[0][0] for c in range(0xC0, 0x250)}
+        self.space = shown(" ")[0][0]
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.feed = self._alone("\n")
-        self.tails = {x: self._alone(x) for x in ",."}
         self.cache_pieces = cache_pieces
-        self.spaced: dict[str, bytes] = {}  # ids of the piece after a space
-        self.heads: dict[str, bytes] = {}  # ids of the piece at the beginning of a line
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes], before: str) -> None:
-        """Pieces with white space at an end stay unknown; texts that hold one are cut by the pattern."""
-        pieces = {p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()}
-        tailed = {p for p in pieces if p[-1] in self.tails and len(p) > 1 and p[-2].isalpha()}
-        todo = list((pieces - tailed) | {p[:-1] for p in tailed if p[:-1] not in known})
-        mark = np.frombuffer(self.feed, dtype="<u4")[0]
-        for at in range(0, len(todo), CALL_PIECES):
-            part = todo[at : at + CALL_PIECES]
-            (encoded,) = self.tokenizer.encode_batch_fast([before + f"\n{before}".join(part)], add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids))
-            if len(ends) != len(part):
-                known.update((p, self._alone(before + p)) for p in part)
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces. Words of letters are one pre-token, punctuation behind them another, whatever follows."""
+        out: dict[str, bytes] = {}
+        young, old, tails, bytes_of, tokenize, space = self.young, self.old, self.tails, self.bytes_of, self.model.tokenize, self.space
+        rest = []
+        for p in pieces:
+            core = p.rstrip(_PUNCTUATION)
+            word = core[1:] if core[:1] == "\n" else core
+            if word.isascii():
+                if not word.isalpha():
+                    rest.append(p)
+                    continue
+                mapped = word
+            elif _LETTERS.fullmatch(word):
+                mapped = word.translate(self.letters)
+            else:
+                rest.append(p)
                 continue
-            data, begin = ids.tobytes(), 0
-            for piece, end in zip(part, (4 * ends).tolist(), strict=True):
-                known[piece] = data[begin:end]
-                begin = end + 4
-        known.update((p, known[p[:-1]] + self.tails[p[-1]]) for p in tailed)
+            ids = (young.get(core) or old.get(core) or out.get(core)) if core != p else None
+            if ids is None:
+                ids = out[core] = b"".join([bytes_of[t.id] for t in tokenize(space + mapped)]) if word is core else self.feed + b"".join([bytes_of[t.id] for t in tokenize(mapped)])
+            if core != p:
+                tail = p[len(core) :]
+                if (end := tails.get(tail)) is None:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    end = tails[tail] = b"".join([bytes_of[t.id] for t in tokenize(tail)])
+                out[p] = ids + end
+        shown = [p if p[:1].isspace() else " " + p for p in rest]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            if (x := old.get(pieces[i])) is None:
+                new.append(pieces[i])
+            else:
+                young[pieces[i]] = out[i] = x
+        learnt = self._learn(new)
+        for i in missing:
+            if out[i] is None:
+                out[i] = learnt[pieces[i]]
+        young.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST_KEPT)
+        if len(young) > self.cache_pieces:
+            self.old, self.young = young, {}
+        return out
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without anything unusual, and where each text's end. A line feed in front of each is left out
+        again: its piece is the text's first, which has no implied space."""
+        text = lambda x: pa.scalar(x, pa.large_string())
+        marked = pc.replace_substring(pc.binary_join_element_wise(text("\n"), texts, text("")), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        known = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        n = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        begin, heads, at, ids = np.cumsum(n) - n, bounds[:-1] - bounds[0], 0, []
+        ends = np.empty(len(which), dtype=np.int64)
+        for lo in range(0, len(which), _STEP):
+            source, counts = begin[which[lo : lo + _STEP]], n[which[lo : lo + _STEP]]
+            own = heads[np.searchsorted(heads, lo) : np.searchsorted(heads, lo + _STEP)] - lo
+            counts[own] = 0
+            mark = heads[np.searchsorted(heads, lo - 1) : np.searchsorted(heads, lo + _STEP - 1)] + 1 - lo
+            source[mark] += 1
+            counts[mark] -= 1
+            upto = np.cumsum(counts)
+            ids.append(flat[np.repeat(source - (upto - counts), counts) + np.arange(upto[-1])])
+            ends[lo : lo + _STEP] = upto + at
+            at += int(upto[-1])
+        return np.concatenate(ids), ends[bounds[1:] - bounds[0] - 1]
 
     def _odd(self, text: str) -> bytes:
-        return b"".join(map(self._alone, _SAFE_CUT.split(text)))
+        """Ids of a text with unusual white space; a piece keeps the white space in front of it, but for a lone space."""
+        pieces = _PIECES.findall(text)
+        keys = [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p for p in pieces]
+        first = b""
+        if not keys[0][0].isspace() and pieces[0][0] != " ":
+            first, keys = self._alone(keys[0]), keys[1:]
+        distinct = list(dict.fromkeys(keys))
+        return first + b"".join(map(dict(zip(distinct, self._ids(distinct), strict=True)).__getitem__, keys))
+
+    def encode_column(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, end of each text's); null texts have none."""
+        texts = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "").cast(pa.large_string())
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        odd = pc.or_(pc.match_substring_regex(texts, self.unusual), pc.greater(pc.utf8_length(texts), PART_CHARS))
+        if not pc.any(odd).as_py():
+            return self._regular(texts)
+        plain = pc.filter(texts, pc.invert(odd))
+        ids, ends = self._regular(plain) if len(plain) else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        rest = iter(np.split(ids, ends[:-1]))
+        each = [self._one(texts[i].as_py()) if strange else next(rest) for i, strange in enumerate(odd.to_pylist())]
+        return np.concatenate(each), np.cumsum([len(x) for x in each])
+
+    def _one(self, text: str) -> np.ndarray:
+        if pc.match_substring_regex(pa.array([text], pa.large_string()), self.whole)[0].as_py():
+            return np.frombuffer(self._alone(text), dtype="<u4")
+        parts, at = [], 0
+        while at < len(text):
+            m = _CUT.search(text, at + PART_CHARS)
+            end = m.start() if m else len(text)
+            part = pa.array([text[at:end]], pa.large_string())
+            at = end
+            parts.append(np.frombuffer(self._odd(part[0].as_py()), dtype="<u4") if pc.match_substring_regex(part, self.unusual)[0].as_py() else self._regular(part)[0])
+        return np.concatenate(parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if whole := {i for i, text in enumerate(texts) if any(x in text for x in self.added)}:
-            rest = iter(self.encode([text for i, text in enumerate(texts) if i not in whole]))
-            return [self._alone(text) if i in whole else next(rest) for i, text in enumerate(texts)]
-        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        heads = {line[0] for text in lines for line in text}
-        spaced = set(chain.from_iterable(line[1:] for text in lines for line in text))
-        if len(self.spaced) + len(self.heads) > self.cache_pieces:
-            self.spaced.clear()
-            self.heads.clear()
-        self._learn({p for p in heads if p not in self.heads}, self.heads, "")
-        self._learn({p for p in spaced if p not in self.spaced}, self.spaced, " ")
-        after, head, out = self.spaced.__getitem__, self.heads.__getitem__, []
-        for text, cut in zip(texts, lines, strict=True):
-            try:
-                out.append(self.feed.join([head(line[0]) + b"".join(map(after, line[1:])) for line in cut]))
-            except KeyError:
-                out.append(self._odd(text) if text else b"")
-        return out
-
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])] if len(texts) else []
 
-#: Before a lone space between two visible characters; such a place is a pre-token's beginning whatever else is there.
-_SAFE_CUT = re.compile(r"(?<=\S)(?= [^\s\x1c-\x1f\x85])(?<![\x1c-\x1f\x85])")
 
-
-_ENCODERS: dict[str, PieceEncoder] = {}
+def encoder(path: str) -> PieceEncoder:
+    """One encoder in a Python worker."""
+    return resident(("ids", path), lambda: PieceEncoder(path))
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file in a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and ends as encode_column() gives them, with end_id behind each text."""
+    return np.insert(ids, ends, end_id).astype("<u4"), ends + np.arange(1, len(ends) + 1)
