@@ -193,7 +193,8 @@ def test_warc(spark, tmp_path):
 def test_missing_segment_is_seen(spark, tmp_path):
     records = list(warc.page_records(1, 0, "u", b"x" * 5000, None, 1000))
     assert len(records) > 4
-    spark.createDataFrame([(0, r) for i, r in enumerate(records) if i != 2], warc.RECORDS).write.parquet(str(tmp_path / "w"))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0.txt").write_bytes(warc.SEPARATOR.join(r for i, r in enumerate(records) if i != 2))
     (r,) = warc.read_archives(spark, str(tmp_path / "w")).collect()
     assert not r.whole and r.payload is None
     assert warc.unchunked(b"3;a=b\r\nabc\r\n0\r\nT: x\r\n\r\n") == b"abc"
