@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import details, feed, scalars, stored
+from feedloom.plans import details, feed, feeds, scalars, stored
 
-MODULES = [feed, stored, scalars, details]
+MODULES = [feed, stored, scalars, details, feeds]
 _SHIPPED: set[str] = set()
 
 

@@ -247,3 +247,13 @@ def normalized(df: DataFrame, position: str | None = None) -> DataFrame:
     )
     out = out.withColumns({"country": places.country_of(F.col("location")), "benefits": X.benefits_section(F.col("description_html"), F.col("description_text")), "search_text": F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("title", "company", "description_text"))), "fingerprint": X.fingerprint(F.col("title"), F.col("company"), F.col("location"))})
     return out.transform(keep_first(["source_name", "fingerprint"], position)) if position else out
+
+
+def normalized_counts(df: DataFrame) -> DataFrame:
+    """One row: listings, those that are not valid, and valid ones that repeat a fingerprint of their source. Counted by
+    fingerprint first, so a common one is a single row."""
+    title, company, location = (X.trim_all(F.col(c)) for c in ("title", "company", "location"))
+    rows = df.select("source_name", F.when(is_valid(), X.fingerprint(X.title_case(title), company, location)).alias("_f"))
+    kinds = rows.groupBy("source_name", "_f").agg(F.count("*").alias("_n"))
+    known = F.col("_f").isNotNull()
+    return kinds.agg(F.sum("_n").alias("listings"), F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("invalid"), F.coalesce(F.sum(F.when(known, F.col("_n") - 1)), F.lit(0)).alias("repeated"))
