@@ -51,6 +51,29 @@ def partial_score(title_sim: Column) -> Column:
     return F.struct(experience.alias("experience"), domain.alias("domain"), F.least(F.lit(100), half_up(experience * WEIGHTS[1] * (domain / 100))).cast("int").alias("score"))
 
 
+def score_job(title_only: Column, profiled: Column, skills_sim: Column, title_sim: Column, salary: Column) -> Column:
+    """struct<path,skills,experience,salary,domain,score>: a listing known by its title alone; one with a profile, whose
+    skills similarity is the domain's too; or, without a profile, the title's axis alone, whose domain of 0 gives 0."""
+    partial, whole, zero = partial_score(title_sim), breakdown(skills_sim, title_sim, salary), F.lit(0)
+    named = lambda path, *values: F.struct(F.lit(path).alias("path"), *(v.cast("int").alias(n) for n, v in zip(("skills", "experience", "salary", "domain", "score"), values, strict=True)))
+    return (
+        F.when(title_only, named("title", zero, partial["experience"], zero, partial["domain"], partial["score"]))
+        .when(profiled, named("profile", whole["skills"], whole["experience"], salary, whole["domain"], whole["score"]))
+        .otherwise(named("fallback", zero, whole["experience"], salary, zero, zero))
+    )
+
+
+def embedding_text(title: Column, company: Column, description: Column) -> Column:
+    """The text to embed of a listing: title, company and the first 500 characters of its description."""
+    return F.concat(title, F.lit(" "), company, F.lit(" "), F.coalesce(F.substring(description, 1, 500), F.lit("")))
+
+
+def profile_texts(profile: Column) -> Column:
+    """struct<hardSkills,title>: the texts to embed of a profile."""
+    skills = F.when(F.size(profile["hardSkills"]) > 0, F.array_join(profile["hardSkills"], ", ")).otherwise("none")
+    return F.struct(skills.alias("hardSkills"), F.concat(profile["seniorityLevel"], F.lit(" "), profile["title"]).alias("title"))
+
+
 PROFILE = "struct<title string, domain string, seniorityLevel string, yearsExperience string, hardSkills array<string>, softSkills array<string>, certifications array<string>>"
 
 

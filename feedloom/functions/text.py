@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,6 +116,18 @@ def skill_matches(text: Column, skills: Column) -> Column:
     return F.filter(skills, named)
 
 
+def named_skills(text: Column, skills: list[str]) -> Column:
+    """skill_matches() for a list that is known: each skill is a constant pattern, compiled once."""
+
+    def named(skill: str) -> Column:
+        if re.search(r"[^a-z0-9\s]", skill.lower()):
+            return F.contains(F.lower(text), F.lit(skill.lower()))
+        return text.rlike(("" if len(skill) <= 3 else "(?i)") + rf"(?<![A-Za-z0-9_]){re.escape(skill)}(?![A-Za-z0-9_])")
+
+    own = [s for s in (x.strip() for x in skills) if s]
+    return F.filter(F.array(*(F.when(named(s), F.lit(s)) for s in own)), lambda x: x.isNotNull()) if own else F.array().cast("array<string>")
+
+
 #: Parts of hosts that name a source.
 HOSTS = {"linkedin.com": "linkedin", "indeed.com": "indeed", "glassdoor.com": "glassdoor", "ziprecruiter.com": "ziprecruiter", "builtin": "builtin"}
 
@@ -169,6 +183,12 @@ def condensed_benefits(benefits: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("category"), F.transform(F.filter(tagged, lambda x: x["category"] == n), lambda x: x["text"]).alias("originals")))
 
 
+def shown_benefits(benefits: Column, most: int = 6) -> Column:
+    """struct<shown,more>: the first groups of condensed benefits, and how many there are beyond."""
+    groups = F.transform(F.array(condensed_benefits(benefits)), lambda g: F.struct(F.slice(g, 1, most).alias("shown"), F.greatest(F.size(g) - most, F.lit(0)).alias("more")))
+    return F.get(groups, F.lit(0))
+
+
 _BENEFITS_HEADER = r"(?i)\b(?:benefits|what we offer|perks|compensation\s*(?:&|and)\s*benefits|our benefits|employee benefits|why join us|why work here)\b"
 
 
@@ -214,7 +234,7 @@ def strip_boilerplate(text: Column) -> Column:
     for pattern in SECTIONS:
         at = F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})"))
         chain = chain.when((at > 0) & (at - 1 < F.length(text) * 0.7), trim_all(F.substring(text, at, F.length(text))))
-    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])"), lambda s: s)
+    sentences = F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])")
     own = F.filter(sentences, lambda s: (trim_all(s) != "") & ~trim_all(s).rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
     return chain.otherwise(trim_all(F.array_join(own, " ")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -58,6 +58,8 @@ def appended(key: str, order: list[str], item: str, name: str) -> Transform:
     return run
 
 
-def running_totals(key: str, order: list[str], value: str) -> Transform:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lambda df: df.withColumn("running", F.sum(value).over(w))
+def last_errors(source: str, order: list[str], failed: str, message: str) -> Transform:
+    """For each source: last_error and last_error_at, which later successes keep, and last_fetch_at, the last success."""
+    bad = lambda c: F.when(F.col(failed), c)
+    at = F.col(order[0])
+    return lambda df: df.groupBy(source).agg(F.max_by(message, bad(F.struct(*order))).alias("last_error"), F.max(bad(at)).alias("last_error_at"), F.max(F.when(~F.col(failed), at)).alias("last_fetch_at"))

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import details, feed, feeds, scalars, stored
+from feedloom.plans import details, feed, feeds, profiles, scalars, stored
 
-MODULES = [feed, stored, scalars, details, feeds]
+MODULES = [feed, stored, scalars, details, feeds, profiles]
 _SHIPPED: set[str] = set()
 
 

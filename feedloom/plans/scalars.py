@@ -55,8 +55,7 @@ def score_rows(spark, sf_dir):
 
 
 def skill_match(spark, sf_dir):
-    skills = F.array(*map(F.lit, ["the", "of", "tion", "C++", "que", "Th", "und", "%%%"]))
-    got = table(spark, sf_dir, "documents").select("doc_id", X.skill_matches(F.col("text"), skills).alias("m"))
+    got = table(spark, sf_dir, "documents").select("doc_id", X.named_skills(F.col("text"), ["the", "of", "tion", "C++", "que", "Th", "und", "%%%"]).alias("m"))
     return got.select("doc_id", F.size("m").alias("n"), F.array_join("m", ",").alias("skills"))
 
 

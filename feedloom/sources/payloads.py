@@ -249,6 +249,14 @@ def normalized(df: DataFrame, position: str | None = None) -> DataFrame:
     return out.transform(keep_first(["source_name", "fingerprint"], position)) if position else out
 
 
+def restored(df: DataFrame) -> DataFrame:
+    """Stored rows as normalised listings: nulls of texts become empty, of country Unknown; fingerprint and search text
+    are made again, title and company as they are."""
+    empty = F.lit("")
+    out = df.withColumns({c: F.coalesce(c, empty) for c in ("title", "company", "description_text", "source_url") if c in df.columns} | {"country": F.coalesce("country", F.lit("Unknown"))})
+    return out.withColumns({"search_text": F.concat_ws(" ", *(F.nullif(c, empty) for c in ("title", "company", "description_text"))), "fingerprint": X.fingerprint(F.col("title"), F.col("company"), F.col("location"))})
+
+
 def normalized_counts(df: DataFrame) -> DataFrame:
     """One row: listings, those that are not valid, and valid ones that repeat a fingerprint of their source. Counted by
     fingerprint first, so a common one is a single row."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,24 @@ NOISE_PAGES = (
 def is_job_page(url: Column) -> Column:
     """Whether an address is that of one job: not noise, not a search, and like a known job page."""
     return ~url.rlike("|".join(NOISE_PAGES)) & ~url.rlike("|".join(SEARCH_PAGES)) & url.rlike("|".join(JOB_PAGES))
+
+
+def encoded(c: Column) -> Column:
+    """A text as one component of an address: letters, digits and -_.!~*'() stay."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def rsshub_feed(query: Column, base: Column, geo: Column | None = None, job_types: str = "all", levels: str = "all") -> Column:
+    """The address of a feed of a job search; null for a blank query."""
+    text = F.nullif(F.trim(query), F.lit(""))
+    url = F.concat(F.regexp_replace(base, r"/+$", ""), F.lit(f"/linkedin/jobs/{job_types}/{levels}/"), encoded(text))
+    return url if geo is None else F.concat(url, F.coalesce(F.concat(F.lit("?geoId="), encoded(F.nullif(geo, F.lit("")))), F.lit("")))
+
+
+def search_feeds(query: Column, routes: dict[str, Callable[[Column], Column]]) -> Column:
+    """map<name,address> of the routes (name to a function of the query) that give one."""
+    entries = F.array(*(F.struct(F.lit(n).alias("key"), f(query).alias("value")) for n, f in routes.items()))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
