@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,10 @@ from feedloom.llm.common import mix64, shared_dir, texts_of
 SHARD_BYTES = 4 << 20
 #: Words of an anchor; every window is known by the smallest hash of the anchors in it.
 ANCHOR_WORDS = 5
+#: Windows that begin in one part of a document; parts are quoted whole, with the words up to their last window's end.
+PART_WINDOWS = 116
+#: Bytes of passages in one automaton, about; a shard with more gets several, one after the other.
+AUTOMATON_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -96,16 +100,18 @@ class Windows:
         return least[self.at]
 
 
-def _least_and_most(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the smallest and largest id of each."""
+def _least(keys: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the smallest id of each, whether there is another id, and the smallest place with that id."""
     if not len(keys):
-        return keys, ids, ids
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-    keys, ids = keys[fresh], ids[fresh]
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
+        return keys, ids, np.empty(0, dtype=bool), ids
+    if at is None:
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        keys, ids, at = keys[fresh], ids[fresh], np.zeros(int(fresh.sum()), dtype=np.int64)
+    order = np.lexsort((at, ids, keys))
+    keys, ids, at = keys[order], ids[order], at[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+    last = np.append(first[1:], len(keys)) - 1
+    return keys[first], ids[first], ids[first] < ids[last], at[first]
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -129,52 +135,84 @@ def _shard(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), texts_of(table.column("_text"))
 
 
-def _passages(removable: np.ndarray, windows: Windows) -> Iterable[tuple[int, int, int, int]]:
-    """Runs of neighbouring removable windows of one document: (document, first word, words, first place in windows)."""
-    at, doc = windows.at[removable], windows.doc[removable]
-    if not len(at):
-        return []
-    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])))
-    last = np.append(first[1:], len(at)) - 1
-    return zip(doc[first].tolist(), at[first].tolist(), (at[last] - at[first] + windows.window).tolist(), first.tolist(), last.tolist(), strict=True)
+def quotes(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, owners: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(owner, part, words joined by spaces) of the asked parts of the shard's own documents."""
+    order = np.lexsort((parts, owners))
+    owners, parts = owners[order], parts[order]
+    for doc in np.flatnonzero(np.isin(ids, owners) & ~null).tolist():
+        lo, hi = np.searchsorted(owners, [ids[doc], ids[doc] + 1])
+        words = texts[doc].split()
+        for part in parts[lo:hi].tolist():
+            said = words[part * PART_WINDOWS : (part + 1) * PART_WINDOWS + window - 1]
+            if len(said) >= window:
+                yield int(ids[doc]), part, b" ".join(said)
 
 
-def _removed(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, anchor: int, keys: np.ndarray, owners: np.ndarray) -> dict[int, np.ndarray]:
-    """A mask of removed words for each document of the shard that loses any.
-
-    keys, owners: confirmed window hashes, sorted, and the smallest id of a document that holds each. A document's
-    passages whose windows all have smaller owners become patterns with the largest of their owners; one automaton of
-    the shard's patterns is compiled, and each document that holds confirmed windows streams through it."""
+def _matches(streams: list[str], starts: list[np.ndarray], passages: list[str], window: int) -> list[np.ndarray]:
+    """For each document (its words, each with one space around, and the place of each word's space) the words at
+    which a piece of a passage begins. Every window of a passage holds one of its pieces, which follow each other."""
     import ahocorasick
 
-    windows = Windows(texts, window, anchor)
-    place = _among(windows.hashes(), keys)
-    own = np.where(place >= 0, owners[place] if len(owners) else 0, 0)
-    hit = (place >= 0) & (own < ids[windows.doc]) & ~null[windows.doc]
-    removable = np.flatnonzero(hit)
-    automaton, streamed, split = ahocorasick.Automaton(), set(), {}
-    owned = own[removable]
-    for doc, word, n, first, last in _passages(removable, windows):
-        if doc not in split:
-            split[doc] = texts[doc].decode("utf-8", "surrogateescape")
-            split[doc] = _ascii_split(split[doc])
-        begin = word - int(windows.first_word[doc])
-        streamed.add(doc)
-        automaton.add_word(f" {' '.join(split[doc][begin : begin + n])} ", (n, int(owned[first : last + 1].max())))
+    piece = (window + 1) // 2
+    automaton = ahocorasick.Automaton()
+    for passage in passages:
+        words = passage.split(" ")
+        for i in range(0, len(words) - piece + 1, piece):
+            automaton.add_word(f" {' '.join(words[i : i + piece])} ", 0)
+    if not len(automaton):
+        return [np.empty(0, np.int64) for _ in streams]
+    automaton.make_automaton()
+    return [np.searchsorted(spaces, np.fromiter((end for end, _ in automaton.iter(stream)), dtype=np.int64)) - piece for stream, spaces in zip(streams, starts, strict=True)]
+
+
+def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, passages: list[bytes], owners: np.ndarray) -> dict[int, np.ndarray]:
+    """A mask of removed words for each document of the shard that loses any.
+
+    An automaton of the passages' pieces is compiled, and every document streams through it. Around each occurrence the
+    document's windows are looked up among those of the passages by hash, and each is removed if its words are the
+    passage's, compared as text, and the passage's owner is smaller."""
     out: dict[int, np.ndarray] = {}
-    if not streamed:
+    if not passages:
         return out
-    automaton.make_automaton()
-    for doc in sorted(streamed):
-        words = split[doc]
-        ends = np.cumsum([len(w) + 1 for w in words])
-        cover = np.zeros(len(words) + 1, dtype=np.int64)
-        found = [(end, n) for end, (n, owner) in automaton.iter(f" {' '.join(words)} ") if owner < ids[doc]]
-        if found:
-            last = np.searchsorted(ends, [e for e, _ in found])
-            np.add.at(cover, last - np.array([n for _, n in found]) + 1, 1)
-            np.add.at(cover, last + 1, -1)
-        out[doc] = np.cumsum(cover[:-1]) > 0
+    quoted = Windows(passages, window, window)
+    keys = quoted.hashes()
+    by_key = np.argsort(keys, kind="stable")
+    keys = keys[by_key]
+    split = [_ascii_split(t.decode()) for t in texts]
+    streams = [f" {' '.join(w)} " for w in split]
+    starts = [np.cumsum([0, *(len(x) + 1 for x in w)]) for w in split]
+    windows = Windows(texts, window, window)
+    near = np.zeros(len(windows.words) + 1, dtype=bool)
+    plain = [p.decode() for p in passages]
+    sizes, lo = np.cumsum([len(p) for p in passages]), 0
+    while lo < len(plain):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + AUTOMATON_BYTES, side="right")))
+        for doc, hits in enumerate(_matches(streams, starts, plain[lo:hi], window)):
+            near[hits + windows.first_word[doc]] = True
+        lo = hi
+    # A window is looked at if a piece begins in it early enough to lie in it.
+    piece = (window + 1) // 2
+    upto = np.cumsum(np.append(0, near))
+    looked = np.flatnonzero(upto[np.minimum(windows.at + window - piece + 1, len(near))] > upto[windows.at])
+    place = _among(windows.hashes()[looked], keys)
+    hit = place >= 0
+    looked, place = looked[hit], by_key[place[hit]]
+    smaller = (owners[quoted.doc[place]] < ids[windows.doc[looked]]) & ~null[windows.doc[looked]]
+    looked, place = looked[smaller], place[smaller]
+    if not len(looked):
+        return out
+    said = [p.split(" ") for p in plain]
+    doc, passage = windows.doc[looked], quoted.doc[place]
+    at, there = windows.at[looked] - windows.first_word[doc], quoted.at[place] - quoted.first_word[passage]
+    fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(passage) != 0) | (np.diff(at) != 1) | (np.diff(there) != 1))
+    run = np.flatnonzero(fresh)
+    for lo, hi in zip(run.tolist(), np.append(run[1:], len(looked)).tolist(), strict=True):
+        d, words, other = int(doc[lo]), split[int(doc[lo])], said[int(passage[lo])]
+        a, b, n = int(at[lo]), int(there[lo]), hi - lo
+        same = [range(n)] if words[a : a + n + window - 1] == other[b : b + n + window - 1] else [range(i, i + 1) for i in range(n) if words[a + i : a + i + window] == other[b + i : b + i + window]]
+        for part in same:
+            mask = out.setdefault(d, np.zeros(len(words), dtype=bool))
+            mask[a + part.start : a + part.stop + window - 1] = True
     return out
 
 
@@ -193,14 +231,20 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     A word is removed if a window of that many words covers it whose words also start somewhere in a document with a
     smaller id; windows are judged on the input.
 
-    Documents are dealt once into shards of bounded bytes by a hash of the id; all passes read that one shuffle.
+    Documents are dealt once into shards of bounded bytes by a hash of the id and the row's number, so that a hot id has
+    no shard of its own; all passes read that one shuffle.
     1. Anchors. Each window is known by the smallest hash of its word 5-grams; neighbouring windows mostly share it, so
        a shard sends each of its distinct anchors once, a fifth of the windows. Anchors seen in two shards, or in two
        documents of one, recur.
-    2. Confirmation. Windows with recurring anchors send their own hash, once for each shard, with the smallest and
-       largest id there; the smallest id of all shards is the owner. A very common passage costs a row for each shard.
-    3. Location. Each shard gets its confirmed windows, compiles its passages into an Aho-Corasick automaton and
-       streams its documents through it; occurrences, compared word for word, are removed where the owner is smaller.
+    2. Confirmation. Windows with recurring anchors send their hash, once for each shard, with the smallest id there
+       and its place in that document. Those with two ids are confirmed; the smallest id of all shards is the owner.
+    3. Quotation. Documents fall into parts of PART_WINDOWS windows. Each owner's shard quotes a part that holds confirmed
+       windows once, in words, and it goes to the shards that sent one of these, each of which gets it once.
+    4. Location. Each shard compiles the passages it got into an Aho-Corasick automaton and streams all its documents
+       through it; occurrences are compared with the passage's words, and removed where the owner is smaller.
+    Hashes choose what is quoted and where it goes; words decide. A hash that two sequences share can only hide a
+    repeat. Anchors and windows are combined within a shard first, so a passage that all documents share has a row for
+    each shard of that shuffle, and the passes over such rows stream.
 
     Null texts have no words; texts shorter than a window keep all; rows with a null id lose nothing and own nothing;
     rows with the same id do not remove each other's words; an empty table gives no rows; other columns are not read.
@@ -210,29 +254,35 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    dealt = rows.select(F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("shard"), "*")
+    dealt = rows.select(F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), "*")
 
     def name_anchors(table: pa.Table) -> pa.Table:
         ids, null, texts = _shard(table)
         w = Windows(texts, window, anchor)
         fine = ~null[w.doc]
-        keys, least, most = _least_and_most(w.anchors()[fine], ids[w.doc[fine]])
-        return pa.table({"a": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int64()), "many": pa.array(least < most)})
+        keys, _, many, _ = _least(w.anchors()[fine], ids[w.doc[fine]])
+        return pa.table({"a": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int32()), "many": pa.array(many)})
 
     def name_windows(table: pa.Table, recurring: pa.Table) -> pa.Table:
         if not table.num_rows or not recurring.num_rows:
-            return pa.table({"w": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "most": pa.array([], pa.int64())})
+            return pa.table({"w": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "least": pa.array([], pa.int64()), "at": pa.array([], pa.int32())})
         ids, null, texts = _shard(table)
         w = Windows(texts, window, anchor)
         fine = (_among(w.anchors(), np.sort(_unsigned(recurring.column("a")))) >= 0) & ~null[w.doc]
-        keys, least, most = _least_and_most(w.hashes()[fine], ids[w.doc[fine]])
-        return pa.table({"w": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int64()), "least": pa.array(least), "most": pa.array(most)})
-
-    def locate(table: pa.Table, confirmed: pa.Table) -> pa.Table:
+        doc = w.doc[fine]
+        keys, least, many, at = _least(w.hashes()[fine], ids[doc], w.at[fine] - w.first_word[doc])
+        # A place below zero tells that another document of the shard has the window as well.
+        return pa.table({"w": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int32()), "least": pa.array(least), "at": pa.array(np.where(many, ~at, at).astype(np.int32))})
+
+    def quote(table: pa.Table, asked: pa.Table) -> pa.Table:
+        found = list(quotes(*_shard(table), window, asked.column("owner").to_numpy(), asked.column("part").to_numpy())) if table.num_rows and asked.num_rows else []
+        owners, parts, words = zip(*found, strict=True) if found else ((), (), ())
+        of = table.column("shard")[0].as_py() if table.num_rows else 0
+        return pa.table({"owner": pa.array(owners, pa.int64()), "of": pa.array([of] * len(found), pa.int32()), "part": pa.array(parts, pa.int32()), "words": pa.array(words, pa.binary())})
+
+    def locate(table: pa.Table, passages: pa.Table) -> pa.Table:
         ids, null, texts = _shard(table) if table.num_rows else (np.empty(0, np.int64), np.empty(0, bool), [])
-        keys, owners = _unsigned(confirmed.column("w")), confirmed.column("owner").to_numpy()
-        order = np.argsort(keys)
-        masks = _removed(ids, null, texts, window, anchor, keys[order], owners[order]) if len(keys) else {}
+        masks = located(ids, null, texts, window, passages.column("words").to_pylist(), passages.column("owner").to_numpy()) if len(texts) else {}
         out: list[tuple] = []
         for doc, text in enumerate(texts):
             words = text.split()
@@ -248,10 +298,16 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table(made | {f"_c{i}": table.column(f"_c{i}") for i in range(len(carry))})
 
     by_shard = dealt.groupBy("shard")
-    anchors = by_shard.applyInArrow(name_anchors, "a long, shard long, many boolean")
+    anchors = by_shard.applyInArrow(name_anchors, "a long, shard int, many boolean")
     recurring = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("a"))).filter("many or _n > 1").select("shard", "a")
-    windows = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(name_windows, "w long, shard long, least long, most long")
-    confirmed = windows.withColumn("owner", F.min("least").over(Window.partitionBy("w"))).filter("owner < most").select("shard", "w", "owner")
-    result = by_shard.cogroup(confirmed.groupBy("shard")).applyInArrow(locate, ", ".join(["_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", *(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))]))
+    windows = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(name_windows, "w long, shard int, least long, at int").filter("w is not null")
+    # Read twice, for what is quoted and for who needs it, but alike down to the shuffle by w, so that this runs once.
+    same = Window.partitionBy("w")
+    owned = windows.withColumns({"owner": F.min("least").over(same), "of": F.min_by("shard", "least").over(same), "_at": F.min_by("at", "least").over(same)})
+    part = F.floor(F.when(F.col("_at") < 0, -1 - F.col("_at")).otherwise(F.col("_at")) / PART_WINDOWS).cast("int")
+    asked = owned.filter("least > owner or at < 0").select("owner", "of", part.alias("part"), "shard").distinct()
+    quoted = by_shard.cogroup(asked.select("owner", "of", "part").distinct().groupBy("of")).applyInArrow(quote, "owner long, of int, part int, words binary")
+    passages = asked.join(quoted, ["owner", "of", "part"]).select("shard", "owner", "words")
+    result = by_shard.cogroup(passages.groupBy("shard")).applyInArrow(locate, ", ".join(["_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", *(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))]))
     names = [F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
     return result.select(*names, *(["kept_text"] if with_text else []), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
