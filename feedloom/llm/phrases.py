@@ -261,18 +261,22 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         w = Windows(texts, window, anchor)
         fine = ~null[w.doc]
         keys, _, many, _ = _least(w.anchors()[fine], ids[w.doc[fine]])
-        return pa.table({"a": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int32()), "many": pa.array(many)})
+        # The last bit tells that two documents of the shard have the anchor. Packed rows take fewer bytes in a shuffle.
+        return pa.table({"a": _signed(keys), "place": pa.array(table.column("shard")[0].as_py() * 2 + many)})
 
     def name_windows(table: pa.Table, recurring: pa.Table) -> pa.Table:
         if not table.num_rows or not recurring.num_rows:
-            return pa.table({"w": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "least": pa.array([], pa.int64()), "at": pa.array([], pa.int32())})
+            return pa.table({"w": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
         ids, null, texts = _shard(table)
         w = Windows(texts, window, anchor)
         fine = (_among(w.anchors(), np.sort(_unsigned(recurring.column("a")))) >= 0) & ~null[w.doc]
         doc = w.doc[fine]
         keys, least, many, at = _least(w.hashes()[fine], ids[doc], w.at[fine] - w.first_word[doc])
-        # A place below zero tells that another document of the shard has the window as well.
-        return pa.table({"w": _signed(keys), "shard": pa.array(np.full(len(keys), table.column("shard")[0].as_py()), pa.int32()), "least": pa.array(least), "at": pa.array(np.where(many, ~at, at).astype(np.int32))})
+        order = np.lexsort((at, least))  # neighbours are alike, so they take fewer bytes in the shuffle
+        keys, least, many, at = keys[order], least[order], many[order], at[order]
+        # Shard, whether another document of the shard has the window as well, and the first one's place in its document.
+        place = (table.column("shard")[0].as_py() << 32) | (many.astype(np.int64) << 31) | at
+        return pa.table({"w": _signed(keys), "place": pa.array(place), "least": pa.array(least)})
 
     def quote(table: pa.Table, asked: pa.Table) -> pa.Table:
         found = list(quotes(*_shard(table), window, asked.column("owner").to_numpy(), asked.column("part").to_numpy())) if table.num_rows and asked.num_rows else []
@@ -298,14 +302,15 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table(made | {f"_c{i}": table.column(f"_c{i}") for i in range(len(carry))})
 
     by_shard = dealt.groupBy("shard")
-    anchors = by_shard.applyInArrow(name_anchors, "a long, shard int, many boolean")
-    recurring = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("a"))).filter("many or _n > 1").select("shard", "a")
-    windows = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(name_windows, "w long, shard int, least long, at int").filter("w is not null")
+    anchors = by_shard.applyInArrow(name_anchors, "a long, place long")
+    recurring = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("a"))).filter("place % 2 = 1 or _n > 1").select(F.shiftright("place", 1).cast("int").alias("shard"), "a")
+    windows = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(name_windows, "w long, place long, least long").filter("w is not null")
     # Read twice, for what is quoted and for who needs it, but alike down to the shuffle by w, so that this runs once.
     same = Window.partitionBy("w")
-    owned = windows.withColumns({"owner": F.min("least").over(same), "of": F.min_by("shard", "least").over(same), "_at": F.min_by("at", "least").over(same)})
-    part = F.floor(F.when(F.col("_at") < 0, -1 - F.col("_at")).otherwise(F.col("_at")) / PART_WINDOWS).cast("int")
-    asked = owned.filter("least > owner or at < 0").select("owner", "of", part.alias("part"), "shard").distinct()
+    owned = windows.withColumns({"owner": F.min("least").over(same), "_first": F.min_by("place", "least").over(same)})
+    shard_of = lambda c: F.shiftright(c, 32).cast("int")
+    part = F.floor(F.col("_first").bitwiseAND(F.lit((1 << 31) - 1)) / PART_WINDOWS).cast("int")
+    asked = owned.filter((F.col("least") > F.col("owner")) | (F.col("place").bitwiseAND(F.lit(1 << 31)) != 0)).select("owner", shard_of("_first").alias("of"), part.alias("part"), shard_of("place").alias("shard")).distinct()
     quoted = by_shard.cogroup(asked.select("owner", "of", "part").distinct().groupBy("of")).applyInArrow(quote, "owner long, of int, part int, words binary")
     passages = asked.join(quoted, ["owner", "of", "part"]).select("shard", "owner", "words")
     result = by_shard.cogroup(passages.groupBy("shard")).applyInArrow(locate, ", ".join(["_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", *(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))]))
