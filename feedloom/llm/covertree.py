@@ -70,9 +70,10 @@ class Indexed:
         squares = (points**2).sum(axis=1)
         alive, parts = np.ones(len(points), dtype=bool), []
         small: list[np.ndarray] = []
-        held = 0
+        held, step = 0, 8  # a net is often small, so the first looks are few
         while alive.any():
-            some = np.flatnonzero(alive)[:256]
+            some = np.flatnonzero(alive)[:step]
+            step = min(256, 2 * step)
             far = np.maximum(squares[None, :] + squares[some][:, None] - 2 * (points[some] @ points.T), 0)
             for row, c in zip(far, some.tolist(), strict=True):
                 if not alive[c]:
