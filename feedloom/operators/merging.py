@@ -14,7 +14,7 @@ from feedloom.functions import similarity as sim
 
 Transform = Callable[[DataFrame], DataFrame]
 KEYS = ["source_name", "external_id"]
-MERGE_OVER, SIMILAR_FROM = 0.90, 0.70
+MERGE_OVER, SIMILAR_FROM, NEAR = 0.90, 0.70, 0.5
 #: Distinct features of one key on either side of a block, in expectation.
 BLOCK = 1024
 BACKFILLED = ["salary_min", "salary_max", "location", "is_remote", "description_html", "description_text", "apply_url"]
@@ -66,14 +66,19 @@ def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, C
     return out.distinct()
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """(id, kind, key, feature): a row for each key that is not null: 0 fingerprint, 1 company, 2 title (lower case)."""
+def _keyed(rows: DataFrame, incoming: bool) -> DataFrame:
+    """(id, kind, key, feature): a row for each way in which a row may meet candidates: 0 fingerprint, 1 company,
+    2 title (lower case), 3 vector. Incoming rows with a vector look for near ones only; stored rows are found by all that they have."""
     from feedloom.functions.places import normal_place
 
     place = F.lower(normal_place(F.nullif(F.col("location"), F.lit(""))))
-    feature = F.struct(F.lower("company").alias("company"), place.alias("place"), F.col("salary_min").cast("double").alias("low"), F.col("salary_max").cast("double").alias("high"))
-    keys = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate([F.col("fingerprint"), F.lower("company"), F.lower("title")])))
-    return rows.select("id", feature.alias("feature"), F.explode(keys).alias("_k")).select("id", "_k.kind", "_k.key", "feature").filter("key is not null")
+    vector = F.col("embedding").cast("array<double>") if "embedding" in rows.columns else F.lit(None).cast("array<double>")
+    feature = F.struct(F.col("fingerprint").alias("fingerprint"), F.lower("company").alias("company"), place.alias("place"), F.col("salary_min").cast("double").alias("low"), F.col("salary_max").cast("double").alias("high"))
+    known = F.when(vector.isNotNull(), F.lit("vector"))
+    texts = [F.when(vector.isNull(), c) if incoming else c for c in (F.col("fingerprint"), F.lower("company"), F.lower("title"))]
+    keys = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate([*texts, known])))
+    out = rows.select("id", feature.alias("feature"), vector.alias("_v"), F.explode(keys).alias("_k")).filter("_k.key is not null")
+    return out.select("id", "_k.kind", "_k.key", "feature", F.when(F.col("_k.kind") == 3, F.col("_v")).alias("vector"))
 
 
 def _pair_ranks(a: list, b: list) -> np.ndarray:
@@ -83,13 +88,23 @@ def _pair_ranks(a: list, b: list) -> np.ndarray:
     return ranks[np.ix_([x[u] for u in a], [y[v] for v in b])]
 
 
-def _best_of_block(stored: pa.Table, incoming: pa.Table) -> pa.Table:
+def _cosines(a: list, b: list) -> np.ndarray:
+    """Of all pairs; 0 for a vector without length. Vectors of another dimension than the first are far from all."""
+    width = len(a[0])
+    unit = lambda vs: np.array([np.array(v) / (np.linalg.norm(v) or 1.0) if len(v) == width else np.zeros(width) for v in vs])
+    return unit(a) @ unit(b).T
+
+
+def _best_of_block(stored: pa.Table, incoming: pa.Table, distance: float) -> pa.Table:
     """Each incoming feature's highest confidence in the block, and the smallest stored id that gives it."""
     stored = stored.sort_by("least")
     a, b = incoming.column("feature").to_pylist(), stored.column("feature").to_pylist()
+    own = incoming.select(["kind", "key", "feature", "vector"])
     if not a or not b:
-        return incoming.select(["kind", "key", "feature"]).slice(0, 0).append_column("confidence", pa.array([], pa.float64())).append_column("cand_id", pa.array([], pa.int64()))
-    ranks = [np.full((len(a), len(b)), 100 if incoming.column("kind")[0].as_py() else 1)]
+        return own.slice(0, 0).append_column("confidence", pa.array([], pa.float64())).append_column("cand_id", pa.array([], pa.int64()))
+    x, y = ({v: i for i, v in enumerate(dict.fromkeys(f["fingerprint"] for f in rows if f["fingerprint"] is not None))} for rows in (a, b))
+    prints = np.array([-1 if f["fingerprint"] is None else y.get(f["fingerprint"], -1) for f in a])[:, None], np.array([-2 if f["fingerprint"] is None else y[f["fingerprint"]] for f in b])[None, :]
+    ranks = [np.where(prints[0] == prints[1], 1, 100)]
     ranks += [_pair_ranks([f[c] for f in a], [f[c] for f in b]) for c in ("company", "place")]
     number = lambda rows, c: np.array([np.nan if f[c] is None else f[c] for f in rows], dtype=np.float64)
     a_low, b_low = number(a, "low")[:, None], number(b, "low")[None, :]
@@ -99,36 +114,44 @@ def _best_of_block(stored: pa.Table, incoming: pa.Table) -> pa.Table:
     with np.errstate(invalid="ignore", divide="ignore"):
         shared = np.where(high < low, 0.0, np.where(union == 0, 1.0, (high - low) / union))
     ranks.append(np.where(np.isnan(shared), 0, np.maximum(1, np.floor((1 - np.nan_to_num(shared)) * 100 + 0.5))))
+    near = np.ones((len(a), len(b)), dtype=bool)
+    if incoming.column("kind")[0].as_py() == 3:
+        alike = _cosines(incoming.column("vector").to_pylist(), stored.column("vector").to_pylist())
+        near = 1 - alike < distance
+        ranks.append(np.maximum(1, np.floor((1 - alike) * 100 + 0.5)))
     total = sum(np.where(r > 0, (sim.RRF_K + 1.0) / (sim.RRF_K + r), 0.0) for r in ranks) / sum((r > 0).astype(int) for r in ranks)
+    total = np.where(near, total, -1.0)
     best = total.argmax(axis=1)
-    out = incoming.select(["kind", "key", "feature"]).append_column("confidence", pa.array(total[np.arange(len(a)), best]))
-    return out.append_column("cand_id", stored.column("least").take(pa.array(best)))
-
-
-def fingerprint_merges(incoming: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Incoming rows with their most confident stored candidate and a disposition: merged, similar or new.
-
-    Candidates share a fingerprint, company or title (lower case), all of them; the reference's feature stops at 50 in
-    no order. Confidence fuses fingerprint, company, location and salary ranks; ties go to the smaller stored id. Both
-    sides are reduced to the distinct features of each key, a stored one with its smallest id; they meet in blocks of
-    bounded size, each of which gives the best of each incoming feature, so no pairs are kept and no task grows with a
-    hot key. Companies and titles count as unequal fingerprints: a pair of equal ones has its higher value under its
-    fingerprint."""
-    mine, theirs = _keyed(incoming), _keyed(stored)
-    key, each = ["kind", "key"], ["kind", "key", "feature"]
+    out = own.append_column("confidence", pa.array(total[np.arange(len(a)), best])).append_column("cand_id", stored.column("least").take(pa.array(best)))
+    return out.filter(pa.array(near.any(axis=1)))
+
+
+def fingerprint_merges(incoming: DataFrame, stored: DataFrame, distance: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """(in_id, cand_id, confidence, disposition): incoming rows with their most confident stored candidate, and whether
+    they are merged, similar or new.
+
+    Candidates of a row with a vector are the stored rows within a cosine distance, of another those of its
+    fingerprint, company or title (lower case), all of them: a limit in no order would let the best one go. Confidence fuses fingerprint, company,
+    place, salary and vector ranks; ties go to the smaller stored id. Both sides are reduced to the distinct features of
+    each key, a stored one with its smallest id; they meet in blocks of bounded size, each of which gives the best of each
+    incoming feature, so no pairs are kept and no task grows with a hot key. Work is the product of the features of a key,
+    and for vectors that of a batch and the stored rows."""
+    mine, theirs = _keyed(incoming, True), _keyed(stored, False)
+    key, each = ["kind", "key"], ["kind", "key", "feature", "vector"]
     a, b = mine.select(*each).distinct(), theirs.groupBy(*each).agg(F.min("id").cast("long").alias("least"))
     cuts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = cuts(a, "_na").join(cuts(b, "_nb"), key)
-    part = lambda n: F.pmod(F.xxhash64("feature"), F.col(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("feature", "vector"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = a.join(sizes, key).select(*each, part("_na").alias("_a"), every("_nb").alias("_b"))
     right = b.join(sizes, key).select(*each, "least", part("_nb").alias("_b"), every("_na").alias("_a"))
     group = [*key, "_a", "_b"]
-    kept = "kind int, key string, feature struct<company:string,place:string,low:double,high:double>, confidence double, cand_id long"
-    found = right.groupBy(*group).cogroup(left.groupBy(*group)).applyInArrow(_best_of_block, kept)
+    kept = "kind int, key string, feature struct<fingerprint:string,company:string,place:string,low:double,high:double>, vector array<double>, confidence double, cand_id long"
+    found = right.groupBy(*group).cogroup(left.groupBy(*group)).applyInArrow(lambda x, y: _best_of_block(x, y, distance), kept)
     order = F.struct("confidence", (-F.col("cand_id")).alias("_less"))
     best = found.groupBy(*each).agg(F.max(order).alias("_top"))
-    top = mine.join(best, each).groupBy(F.col("id").alias("in_id")).agg(F.max("_top").alias("_top")).select("in_id", (-F.col("_top._less")).alias("cand_id"), F.col("_top.confidence").alias("confidence"))
+    same = [mine[c].eqNullSafe(best[c]) for c in each]
+    top = mine.join(best, same).groupBy(F.col("id").alias("in_id")).agg(F.max("_top").alias("_top")).select("in_id", (-F.col("_top._less")).alias("cand_id"), F.col("_top.confidence").alias("confidence"))
     c = F.col("confidence")
     return incoming.select(F.col("id").alias("in_id")).join(top, "in_id", "left").withColumn("disposition", F.when(c > MERGE_OVER, "merged").when(c >= SIMILAR_FROM, "similar").otherwise("new"))
 
@@ -139,16 +162,36 @@ def merge_attributions(own: Column, new: Column) -> Column:
     return F.concat(own, F.filter(new, lambda y: ~F.exists(own, lambda x: same(x, y))))
 
 
-def backfilled(old: str, new: str, columns: list[str] = BACKFILLED) -> list[Column]:
-    """Each column from the old row where it has a value, else from the new one."""
-    return [F.coalesce(F.col(f"{old}.{c}"), F.col(f"{new}.{c}")).alias(c) for c in columns]
+def merged(stored: DataFrame, incoming: DataFrame, found: DataFrame, position: str, columns: list[str] = BACKFILLED) -> DataFrame:
+    """stored after the incoming rows that found (as fingerprint_merges() gives it) calls merged: null columns take the first
+    incoming value by position, sources the attributions that they lack, in order, dedup_confidence that of the last row.
+    Closed rows stay closed; _needs_score marks changed rows without a score; other rows stay as they are.
+
+    incoming has id, position (unique), sources and the columns. Attributions are made distinct before they are gathered,
+    so a row's array holds no more than the row itself will."""
+    rows = found.filter("disposition = 'merged'").select("in_id", "cand_id", "confidence").join(incoming, F.col("in_id") == F.col("id"))
+    said = rows.groupBy("cand_id").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_{c}") for c in columns), F.max_by("confidence", position).alias("_confidence"))
+    each = rows.select("cand_id", F.col(position).alias("_at"), F.posexplode("sources").alias("_i", "_s"))
+    once = each.groupBy("cand_id", "_s.name", "_s.external_id").agg(F.min(F.struct("_at", "_i", "_s")).alias("_x"))
+    new = once.groupBy("cand_id").agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_s"]).alias("_sources"))
+    joined = stored.join(said.join(new, "cand_id", "left"), F.col("id") == F.col("cand_id"), "left")
+    seen = F.col("cand_id").isNotNull()
+    none = F.array().cast(stored.schema["sources"].dataType)
+    filled = {c: F.coalesce(c, f"_{c}") for c in columns} | {"sources": F.when(seen, merge_attributions(F.coalesce("sources", none), F.coalesce("_sources", none))).otherwise(F.col("sources")), "dedup_confidence": F.coalesce("_confidence", "dedup_confidence"), "_needs_score": seen & F.col("match_score").isNull()}
+    return joined.withColumns(filled).select(*stored.columns, "_needs_score")
 
 
 def refreshed(stored: DataFrame, incoming: DataFrame, position: str, keys: list[str] = KEYS, columns: list[str] = BACKFILLED) -> DataFrame:
     """stored with what the same source says anew: null columns take the first incoming value by position, closed rows
-    reopen, other columns stay; _needs_score marks matched rows without a score. Rows without a match stay as they are."""
+    reopen, other columns stay; _needs_score marks matched rows without a score. Rows without a match stay as they are.
+    If stored has sources, a matched row's own attribution (name, external_id) is appended where it lacks it."""
     said = incoming.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_{c}") for c in columns), F.lit(True).alias("_seen"))
     joined = stored.join(said, keys, "left")
     seen = F.coalesce("_seen", F.lit(False))
     filled = {c: F.coalesce(c, f"_{c}") for c in columns} | {"closed_at": F.when(~seen, F.col("closed_at")), "_needs_score": seen & F.col("match_score").isNull()}
+    if "sources" in stored.columns:
+        kind = stored.schema["sources"].dataType
+        named = {"name": F.col(keys[0]), "external_id": F.col(keys[1])}
+        own = F.array(F.struct(*(named.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields)))
+        filled["sources"] = F.when(seen, merge_attributions(F.coalesce("sources", F.array().cast(kind)), own)).otherwise(F.col("sources"))
     return joined.withColumns(filled).select(*stored.columns, "_needs_score")

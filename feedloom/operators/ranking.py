@@ -16,34 +16,50 @@ def p75(score: str) -> Column:
     return F.coalesce(F.bround(F.percentile(F.when(F.col(score) >= 1, F.col(score)), F.lit(0.75))), F.lit(0)).cast("int")
 
 
-def threshold_of(score: str, least_above: int = LEAST_ABOVE) -> Transform:
-    """One row: p75, above (rows at or over it), threshold (p75 if positive and enough rows reach it, else null).
+def _cut(score: str, least_above: int) -> Transform:
+    """One row from one scan: p75, above (rows at or over it), threshold (p75 if positive and enough rows reach it, else
+    null) and total (rows at or over the threshold, all without one); no row without rows.
 
-    Two aggregate passes over one integer column; only counts are shuffled: scores are grouped first, so the percentile
-    reads one row per distinct score."""
+    Rows are counted by score first, so what meets in one task is a row for each score there is, and a score has few
+    values; all four numbers come from these counts."""
 
     def run(df: DataFrame) -> DataFrame:
         counts = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-        cut = counts.agg(F.coalesce(F.bround(F.percentile(F.when(F.col("_s") >= 1, F.col("_s")), F.lit(0.75), F.col("_n"))), F.lit(0)).cast("int").alias("p75"))
-        above = counts.crossJoin(F.broadcast(cut)).groupBy("p75").agg(F.coalesce(F.sum(F.when(F.col("_s") >= F.col("p75"), F.col("_n"))), F.lit(0)).alias("above"))
-        return above.withColumn("threshold", F.when((F.col("p75") > 0) & (F.col("above") >= least_above), F.col("p75")))
+        p75 = F.coalesce(F.bround(F.percentile(F.when(F.col("_s") >= 1, F.col("_s")), F.lit(0.75), F.col("_n"))), F.lit(0)).cast("int")
+        one = counts.agg(p75.alias("p75"), F.collect_list(F.struct("_s", "_n")).alias("_c")).filter(F.size("_c") > 0)
+        rows = lambda least: F.aggregate(F.filter("_c", lambda x: x["_s"] >= least), F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+        every = F.aggregate("_c", F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+        told = one.withColumn("above", rows(F.col("p75"))).withColumn("threshold", F.when((F.col("p75") > 0) & (F.col("above") >= least_above), F.col("p75")))
+        return told.select("p75", "above", "threshold", F.when(F.col("threshold").isNull(), every).otherwise(rows(F.col("threshold"))).alias("total"))
 
     return run
 
 
+def threshold_of(score: str, least_above: int = LEAST_ABOVE) -> Transform:
+    """One row: p75, above (rows at or over it), threshold (p75 if positive and enough rows reach it, else null)."""
+    return lambda df: df.transform(_cut(score, least_above)).select("p75", "above", "threshold")
+
+
+#: Columns of a feed's rows; descriptions, vectors and raw data stay behind.
+FEED_COLUMNS = ["id", "title", "company", "salary_min", "salary_max", "location", "is_remote", "source_url", "source_name", "sources", "dedup_confidence", "match_score", "match_breakdown", "pipeline_stage", "country", "partial", "discovered_at", "benefits"]
+
+
+def feed_columns(df: DataFrame) -> DataFrame:
+    """The feed's columns of stored rows; those that are missing are an error."""
+    return df.select(*FEED_COLUMNS)
+
+
 def feed(limit: int | None = None, offset: int | None = None, score: str = "match_score", tie: str = "id") -> Transform:
     """The page of rows at or over the threshold by score, nulls first, then by the tie column, with threshold and
-    total (of all pages) as columns. The one-row aggregates are broadcast; the page is a bounded top-k."""
+    total (of all pages) as columns. Two scans: one for the counts by score, whose one row is broadcast, and one for the
+    page, a bounded top-k; select few columns before, since each partition sends a page of rows."""
     rows = min(max(limit or DEFAULT_ROWS, 1), MOST_ROWS)
     skip = max(offset or 0, 0)
 
     def run(df: DataFrame) -> DataFrame:
-        cut = threshold_of(score)(df).select("threshold")
-        # Without rows there is no threshold row, and no page either.
+        cut = df.transform(_cut(score, LEAST_ABOVE)).select("threshold", "total")
         kept = df.crossJoin(F.broadcast(cut)).filter(F.col("threshold").isNull() | (F.col(score) >= F.col("threshold")))
-        total = kept.agg(F.count("*").alias("total"))
-        page = kept.orderBy(F.desc_nulls_first(score), tie).offset(skip).limit(rows)
-        return page.crossJoin(F.broadcast(total))
+        return kept.orderBy(F.desc_nulls_first(score), tie).offset(skip).limit(rows)
 
     return run
 

@@ -30,6 +30,15 @@ def feed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.transform(ranking.feed(limit=100, offset=0, score="match_score", tie="id")).select("id", "source_name", "country", "match_score", "threshold", "total")
 
 
+def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the feed in its own columns; nested ones as JSON."""
+    d = listings(spark, sf_dir).withColumn("partial", F.col("id") % 9 == 0)
+    entry = F.array(F.struct(F.col("source_name").alias("name"), F.col("id").cast("string").alias("external_id")))
+    stored = d.withColumns({"title": F.col("source_name"), "company": F.col("country"), "salary_min": F.col("id") * 10, "salary_max": F.when(F.col("id") % 2 == 0, F.col("id") * 20), "location": F.lit(None).cast("string"), "is_remote": F.col("id") % 3 == 0, "source_url": F.concat(F.lit("https://x.example/"), F.col("id").cast("string")), "sources": entry, "dedup_confidence": F.lit(None).cast("double"), "match_breakdown": F.struct(F.col("match_score").alias("score")), "pipeline_stage": F.lit("discovered"), "discovered_at": F.to_timestamp(F.lit("2024-01-01 00:00:00")), "benefits": F.array().cast("array<string>")})
+    page = stored.transform(filters.not_dismissed).transform(filters.in_countries("all")).transform(ranking.feed_columns).transform(ranking.feed(limit=500, offset=10))
+    return page.withColumns({c: F.to_json(c) for c in ("sources", "match_breakdown", "benefits")})
+
+
 def feed_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.floor(F.col("o_totalprice") / 1000) % 101).cast("int").alias("match_score"))
     return orders.transform(ranking.threshold_of("match_score"))
@@ -42,7 +51,7 @@ def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.transform(ranking.group_counts("country"))
 
 
-QUERIES = {"feed_topk": feed_topk, "feed_threshold": feed_threshold, "country_counts": country_counts}
+QUERIES = {"feed_topk": feed_topk, "feed_page": feed_page, "feed_threshold": feed_threshold, "country_counts": country_counts}
 
 THRESHOLD_SQL = "coalesce(round_even(quantile_cont(match_score, 0.75) FILTER (WHERE match_score >= 1), 0), 0)"
 SQL = {
@@ -51,6 +60,10 @@ SQL = {
  t AS (SELECT CASE WHEN max(p75) > 0 AND count(*) FILTER (WHERE match_score >= p75) >= 20 THEN max(p75) END AS threshold FROM f, p),
  k AS (SELECT f.*, threshold FROM f, t WHERE threshold IS NULL OR match_score >= threshold)
  SELECT id, source_name, country, match_score, threshold, (SELECT count(*) FROM k) AS total FROM k ORDER BY match_score DESC NULLS FIRST, id LIMIT 100""",
+    "feed_page": f"""WITH f AS (SELECT * FROM ({LISTINGS_SQL}) WHERE NOT is_dismissed), p AS (SELECT CAST({THRESHOLD_SQL} AS INT) AS p75 FROM f),
+ t AS (SELECT CASE WHEN max(p75) > 0 AND count(*) FILTER (WHERE match_score >= p75) >= 20 THEN max(p75) END AS threshold FROM f, p), k AS (SELECT f.*, threshold FROM f, t WHERE threshold IS NULL OR match_score >= threshold)
+ SELECT id, source_name AS title, country AS company, id * 10 AS salary_min, CASE WHEN id % 2 = 0 THEN id * 20 END AS salary_max, CAST(NULL AS VARCHAR) AS location, id % 3 = 0 AS is_remote, 'https://x.example/' || id AS source_url, source_name, '[{{"name":"' || source_name || '","external_id":"' || id || '"}}]' AS sources, CAST(NULL AS DOUBLE) AS dedup_confidence, match_score,
+ CASE WHEN match_score IS NULL THEN '{{}}' ELSE '{{"score":' || match_score || '}}' END AS match_breakdown, 'discovered' AS pipeline_stage, country, id % 9 = 0 AS partial, TIMESTAMP '2024-01-01 00:00:00' AS discovered_at, '[]' AS benefits, threshold, (SELECT count(*) FROM k) AS total FROM k ORDER BY match_score DESC NULLS FIRST, id LIMIT 200 OFFSET 10""",
     "feed_threshold": f"""WITH s AS (SELECT CAST(floor(o_totalprice / 1000) % 101 AS INT) AS match_score FROM orders),
  p AS (SELECT CAST({THRESHOLD_SQL} AS INT) AS p75 FROM s)
  SELECT max(p75) AS p75, count(*) FILTER (WHERE match_score >= p75) AS above,

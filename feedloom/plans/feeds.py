@@ -10,14 +10,39 @@ from feedloom.functions import text as X
 from feedloom.plans.stored import table
 from feedloom.sources import payloads
 
-K = F.col("doc_id")
-_s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-#: Where a job is, by the document's number: a word for remote, a city, anywhere, an empty text, or nothing.
-PLACE = F.when(K % 5 == 0, "Remote, US").when(K % 5 == 1, "Berlin, Germany").when(K % 5 == 2, "Anywhere").when(K % 5 == 3, "")
+
+def key() -> Column:
+    """The number of a document."""
+    return F.col("doc_id")
+
+
+def _s(*parts: Column | str) -> Column:
+    """Parts as one text; strings are constants."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def place_of_key() -> Column:
+    """Where a job is, by the document's number: a word for remote, a city, anywhere, an empty text, or nothing."""
+    return F.when(key() % 5 == 0, "Remote, US").when(key() % 5 == 1, "Berlin, Germany").when(key() % 5 == 2, "Anywhere").when(key() % 5 == 3, "")
+
+
+def html_of_key() -> Column:
+    """A description as markup, or an empty one."""
+    return F.when(key() % 3 > 0, _s("<p>", F.col("text"), "</p><br/>a &amp; b")).otherwise("")
+
+
+def low_pay() -> Column:
+    """The lower pay, if stated."""
+    return F.when(key() % 4 > 0, key() + 50_000)
+
+
+def high_pay() -> Column:
+    """The higher pay, if stated."""
+    return F.when(key() % 4 > 1, key() + 60_000)
+
+
 PLACE_SQL = "CASE k % 5 WHEN 0 THEN 'Remote, US' WHEN 1 THEN 'Berlin, Germany' WHEN 2 THEN 'Anywhere' WHEN 3 THEN '' END"
 REMOTE_SQL = "CASE k % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE END"
-HTML = F.when(K % 3 > 0, _s("<p>", F.col("text"), "</p><br/>a &amp; b")).otherwise("")
-PAY_LOW, PAY_HIGH = F.when(K % 4 > 0, K + 50_000), F.when(K % 4 > 1, K + 60_000)
 PAY_SQL = "CASE WHEN k % 4 > 0 THEN k + 50000.0::DOUBLE END AS salary_min, CASE WHEN k % 4 > 1 THEN k + 60000.0::DOUBLE END AS salary_max"
 
 
@@ -49,62 +74,62 @@ def _sql(prefix: str, title: str, company: str, url: str, apply_url: str, pay: s
 
 def payload_remoteok(spark, sf_dir):
     """The first record is a notice; every seventh has no title."""
-    job = [_s(K).alias("id"), F.when(K % 7 > 0, _s("Role ", K)).alias("position"), F.col("source").alias("company"), HTML.alias("description"), PLACE.alias("location"), PAY_LOW.alias("salary_min"), PAY_HIGH.alias("salary_max"), _s("https://r.example/", K).alias("url"), F.when(K % 2 == 0, _s("https://a.example/", K)).alias("apply_url")]
+    job = [_s(key()).alias("id"), F.when(key() % 7 > 0, _s("Role ", key())).alias("position"), F.col("source").alias("company"), html_of_key().alias("description"), place_of_key().alias("location"), low_pay().alias("salary_min"), high_pay().alias("salary_max"), _s("https://r.example/", key()).alias("url"), F.when(key() % 2 == 0, _s("https://a.example/", key())).alias("apply_url")]
     empty = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in [("id", "string"), ("position", "string"), ("company", "string"), ("description", "string"), ("location", "string"), ("salary_min", "bigint"), ("salary_max", "bigint"), ("url", "string"), ("apply_url", "string")]))
     return _shown(_docs(spark, sf_dir).select(_payload(*job, before=empty)).transform(payloads.remoteok()))
 
 
 def payload_jobicy(spark, sf_dir):
-    job = [K.alias("id"), _s("https://j.example/", K).alias("url"), _s("Role ", K).alias("jobTitle"), F.col("source").alias("companyName"), PLACE.alias("jobGeo"), _s("In short: ", F.col("lang")).alias("jobExcerpt"), HTML.alias("jobDescription"), PAY_LOW.alias("annualSalaryMin"), PAY_HIGH.alias("annualSalaryMax")]
+    job = [key().alias("id"), _s("https://j.example/", key()).alias("url"), _s("Role ", key()).alias("jobTitle"), F.col("source").alias("companyName"), place_of_key().alias("jobGeo"), _s("In short: ", F.col("lang")).alias("jobExcerpt"), html_of_key().alias("jobDescription"), low_pay().alias("annualSalaryMin"), high_pay().alias("annualSalaryMax")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="jobs")).transform(payloads.jobicy()))
 
 
 def payload_himalayas(spark, sf_dir):
     """A guid for every second, numbers for some, a salary text for all, and two places for every third."""
-    said = F.when(K % 3 == 0, _s("$", K % 90 + 100, "k - $", K % 90 + 130, "k")).when(K % 3 == 1, _s("$", K + 100_000, " - $", K + 120_000)).otherwise("Competitive")
-    where = F.when(K % 3 == 0, F.array(F.lit("Germany"), F.lit("Remote"))).when(K % 3 == 1, F.array(F.lit("Remote"))).otherwise(F.array().cast("array<string>"))
-    job = [_s("i", K).alias("id"), F.when(K % 2 == 0, _s("g", K)).alias("guid"), _s("Role ", K).alias("title"), F.col("source").alias("companyName"), HTML.alias("description"), _s("https://h.example/", K).alias("applicationLink"), F.when(K % 4 == 3, K + 50_000).alias("minSalary"), F.when(K % 4 > 1, K + 60_000).alias("maxSalary"), said.alias("salary"), where.alias("locationRestrictions")]
+    said = F.when(key() % 3 == 0, _s("$", key() % 90 + 100, "k - $", key() % 90 + 130, "k")).when(key() % 3 == 1, _s("$", key() + 100_000, " - $", key() + 120_000)).otherwise("Competitive")
+    where = F.when(key() % 3 == 0, F.array(F.lit("Germany"), F.lit("Remote"))).when(key() % 3 == 1, F.array(F.lit("Remote"))).otherwise(F.array().cast("array<string>"))
+    job = [_s("i", key()).alias("id"), F.when(key() % 2 == 0, _s("g", key())).alias("guid"), _s("Role ", key()).alias("title"), F.col("source").alias("companyName"), html_of_key().alias("description"), _s("https://h.example/", key()).alias("applicationLink"), F.when(key() % 4 == 3, key() + 50_000).alias("minSalary"), F.when(key() % 4 > 1, key() + 60_000).alias("maxSalary"), said.alias("salary"), where.alias("locationRestrictions")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="jobs")).transform(payloads.himalayas()))
 
 
 def payload_themuse(spark, sf_dir):
     name = lambda x: F.struct(F.lit(x).alias("name"))
-    where = F.when(K % 4 == 0, F.array(name("Paris"), name("Flexible / Remote"))).when(K % 4 == 1, F.array(name("Oslo"))).otherwise(F.slice(F.array(name("x")), 1, 0))
-    page = F.struct(F.when(K % 2 == 0, _s("https://m.example/", K)).alias("landing_page"))
-    job = [K.alias("id"), _s("Role ", K).alias("name"), F.struct(F.col("source").alias("name")).alias("company"), HTML.alias("contents"), where.alias("locations"), page.alias("refs")]
+    where = F.when(key() % 4 == 0, F.array(name("Paris"), name("Flexible / Remote"))).when(key() % 4 == 1, F.array(name("Oslo"))).otherwise(F.slice(F.array(name("x")), 1, 0))
+    page = F.struct(F.when(key() % 2 == 0, _s("https://m.example/", key())).alias("landing_page"))
+    job = [key().alias("id"), _s("Role ", key()).alias("name"), F.struct(F.col("source").alias("name")).alias("company"), html_of_key().alias("contents"), where.alias("locations"), page.alias("refs")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="results")).transform(payloads.themuse()))
 
 
 def payload_serply(spark, sf_dir):
-    found = F.struct(F.when(K % 2 == 0, _s("$", K % 50 + 70, "k to $", K % 50 + 90, "k")).otherwise("Competitive").alias("salary"), F.when(K % 4 == 3, K + 50_000).alias("salary_min"), F.when(K % 4 > 1, K + 60_000).alias("salary_max"))
-    job = [_s(K).alias("job_id"), _s("Role ", K).alias("title"), F.col("source").alias("company_name"), HTML.alias("description"), F.when(K % 2 == 0, _s("A snippet of ", F.col("source"))).alias("snippet"), PLACE.alias("location"), _s("https://s.example/", K).alias("link"), F.when(K % 2 == 0, _s("https://a.example/", K)).alias("apply_link"), found.alias("detected_extensions")]
+    found = F.struct(F.when(key() % 2 == 0, _s("$", key() % 50 + 70, "k to $", key() % 50 + 90, "k")).otherwise("Competitive").alias("salary"), F.when(key() % 4 == 3, key() + 50_000).alias("salary_min"), F.when(key() % 4 > 1, key() + 60_000).alias("salary_max"))
+    job = [_s(key()).alias("job_id"), _s("Role ", key()).alias("title"), F.col("source").alias("company_name"), html_of_key().alias("description"), F.when(key() % 2 == 0, _s("A snippet of ", F.col("source"))).alias("snippet"), place_of_key().alias("location"), _s("https://s.example/", key()).alias("link"), F.when(key() % 2 == 0, _s("https://a.example/", key())).alias("apply_link"), found.alias("detected_extensions")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="jobs")).transform(payloads.serply()))
 
 
 def payload_greenhouse(spark, sf_dir):
     """A pay range in the text of some; places by name, else by the first office."""
-    html = F.when(K % 3 > 0, _s("<p>", F.col("text"), "</p> Salary range: $", K % 80 + 100, ",000 - $", K % 80 + 120, ",000")).otherwise("")
-    office = F.array(F.struct(F.lit("HQ").alias("name"), F.when(K % 4 == 1, "Remote, Spain").otherwise("").alias("location")))
-    job = [K.alias("id"), _s("Role ", K).alias("title"), html.alias("content"), _s("https://g.example/", K).alias("absolute_url"), F.struct(F.when(K % 2 == 0, "Remote - US").when(K % 4 == 1, "").alias("name")).alias("location"), office.alias("offices")]
+    html = F.when(key() % 3 > 0, _s("<p>", F.col("text"), "</p> Salary range: $", key() % 80 + 100, ",000 - $", key() % 80 + 120, ",000")).otherwise("")
+    office = F.array(F.struct(F.lit("HQ").alias("name"), F.when(key() % 4 == 1, "Remote, Spain").otherwise("").alias("location")))
+    job = [key().alias("id"), _s("Role ", key()).alias("title"), html.alias("content"), _s("https://g.example/", key()).alias("absolute_url"), F.struct(F.when(key() % 2 == 0, "Remote - US").when(key() % 4 == 1, "").alias("name")).alias("location"), office.alias("offices")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="jobs")).transform(payloads.greenhouse("acme", "Acme")))
 
 
 def payload_lever(spark, sf_dir):
-    pay = F.when(K % 4 > 1, F.struct((K + 50_000).alias("min"), F.when(K % 4 == 3, K + 60_000).alias("max")))
-    job = [_s(K).alias("id"), _s("Role ", K).alias("text"), HTML.alias("description"), F.when(K % 2 == 0, _s("plain ", F.col("source"))).alias("descriptionPlain"), F.when(K % 4 == 0, "<b>more</b>").alias("additional"), F.when(K % 8 == 4, "and more").alias("additionalPlain"), _s("https://l.example/", K).alias("hostedUrl"), _s("https://l.example/apply/", K).alias("applyUrl"), F.when(K % 6 == 1, "remote").otherwise("on-site").alias("workplaceType"), F.struct(PLACE.alias("location")).alias("categories"), pay.alias("salaryRange")]
+    pay = F.when(key() % 4 > 1, F.struct((key() + 50_000).alias("min"), F.when(key() % 4 == 3, key() + 60_000).alias("max")))
+    job = [_s(key()).alias("id"), _s("Role ", key()).alias("text"), html_of_key().alias("description"), F.when(key() % 2 == 0, _s("plain ", F.col("source"))).alias("descriptionPlain"), F.when(key() % 4 == 0, "<b>more</b>").alias("additional"), F.when(key() % 8 == 4, "and more").alias("additionalPlain"), _s("https://l.example/", key()).alias("hostedUrl"), _s("https://l.example/apply/", key()).alias("applyUrl"), F.when(key() % 6 == 1, "remote").otherwise("on-site").alias("workplaceType"), F.struct(place_of_key().alias("location")).alias("categories"), pay.alias("salaryRange")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job)).transform(payloads.lever("acme", "Acme")))
 
 
 def payload_ashby(spark, sf_dir):
     """Summaries with a k, without one, and without a range."""
-    said = F.when(K % 4 == 0, _s("$", K % 80 + 100, "K - $", K % 80 + 120, "K USD")).when(K % 4 == 1, _s("$", K % 80 + 100, ",000 to $", K % 80 + 120, ",500")).when(K % 4 == 2, _s("$", K % 80 + 100, " - $", K % 80 + 120))
-    job = [_s(K).alias("id"), _s("Role ", K).alias("title"), HTML.alias("descriptionHtml"), F.when(K % 2 == 0, F.when(K % 6 == 0, "").otherwise(_s("plain ", F.col("source")))).alias("descriptionPlain"), _s("https://b.example/", K).alias("jobUrl"), PLACE.alias("location"), F.when(K % 7 == 0, True).when(K % 7 == 1, False).alias("isRemote"), said.alias("compensationTierSummary")]
+    said = F.when(key() % 4 == 0, _s("$", key() % 80 + 100, "K - $", key() % 80 + 120, "K USD")).when(key() % 4 == 1, _s("$", key() % 80 + 100, ",000 to $", key() % 80 + 120, ",500")).when(key() % 4 == 2, _s("$", key() % 80 + 100, " - $", key() % 80 + 120))
+    job = [_s(key()).alias("id"), _s("Role ", key()).alias("title"), html_of_key().alias("descriptionHtml"), F.when(key() % 2 == 0, F.when(key() % 6 == 0, "").otherwise(_s("plain ", F.col("source")))).alias("descriptionPlain"), _s("https://b.example/", key()).alias("jobUrl"), place_of_key().alias("location"), F.when(key() % 7 == 0, True).when(key() % 7 == 1, False).alias("isRemote"), said.alias("compensationTierSummary")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="jobs")).transform(payloads.ashby("acme", "Acme")))
 
 
 def payload_smartrecruiters(spark, sf_dir):
-    place = F.struct(F.when(K % 2 == 0, "Madrid").otherwise("").alias("city"), F.when(K % 3 == 0, "MD").alias("region"), F.when(K % 5 > 0, "es").alias("country"), F.when(K % 7 == 0, True).alias("remote"))
-    job = [_s(K).alias("id"), _s("u", K).alias("uuid"), _s("Role ", K).alias("name"), place.alias("location")]
+    place = F.struct(F.when(key() % 2 == 0, "Madrid").otherwise("").alias("city"), F.when(key() % 3 == 0, "MD").alias("region"), F.when(key() % 5 > 0, "es").alias("country"), F.when(key() % 7 == 0, True).alias("remote"))
+    job = [_s(key()).alias("id"), _s("u", key()).alias("uuid"), _s("Role ", key()).alias("name"), place.alias("location")]
     return _shown(_docs(spark, sf_dir).select(_payload(*job, path="content")).transform(payloads.smartrecruiters("acme", "Acme")))
 
 
@@ -113,26 +138,31 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9 .,\n]", "")
 
 
-#: Forms of an item's title, and what is said of place and pay, by the document's number.
-ITEM = F.when(K % 4 == 0, _s("Acme ", K, " is hiring Dev")).when(K % 4 == 1, _s("Dev at Acme ", K)).when(K % 4 == 2, _s("Dev - Acme ", K)).otherwise(_s("Dev ", K))
-SAID = F.when(K % 3 == 0, _s(" based in Salt Lake City, UT. Pay $", K % 50 + 100, "k - $", K % 50 + 120, "k")).when(K % 3 == 1, " remote").otherwise("")
+def item_title() -> Column:
+    """Forms of an item's title, by the document's number."""
+    return F.when(key() % 4 == 0, _s("Acme ", key(), " is hiring Dev")).when(key() % 4 == 1, _s("Dev at Acme ", key())).when(key() % 4 == 2, _s("Dev - Acme ", key())).otherwise(_s("Dev ", key()))
+
+
+def item_said() -> Column:
+    """What an item's text says of place and pay, by the document's number."""
+    return F.when(key() % 3 == 0, _s(" based in Salt Lake City, UT. Pay $", key() % 50 + 100, "k - $", key() % 50 + 120, "k")).when(key() % 3 == 1, " remote").otherwise("")
 
 
 def payload_rss(spark, sf_dir):
     """Content before the description; a guid with and without an attribute, or none; every eleventh has no link."""
     tag = lambda name, c: _s(f"<{name}>", c, f"</{name}>")
-    guid = F.when(K % 3 == 0, _s("<guid>g", K, "</guid>")).when(K % 3 == 1, _s('<guid isPermaLink="false">p', K, "</guid>")).otherwise("")
-    body = F.concat(_plain(F.col("text")), SAID)
-    item = F.concat(F.lit("<item>"), tag("title", ITEM), F.when(K % 11 > 0, tag("link", _s("https://f.example/", K))).otherwise(""), tag("description", F.when(K % 2 == 0, "short").otherwise(body)), F.when(K % 2 == 0, tag("content:encoded", body)).otherwise(""), guid, F.lit("</item>"))
+    guid = F.when(key() % 3 == 0, _s("<guid>g", key(), "</guid>")).when(key() % 3 == 1, _s('<guid isPermaLink="false">p', key(), "</guid>")).otherwise("")
+    body = F.concat(_plain(F.col("text")), item_said())
+    item = F.concat(F.lit("<item>"), tag("title", item_title()), F.when(key() % 11 > 0, tag("link", _s("https://f.example/", key()))).otherwise(""), tag("description", F.when(key() % 2 == 0, "short").otherwise(body)), F.when(key() % 2 == 0, tag("content:encoded", body)).otherwise(""), guid, F.lit("</item>"))
     return _shown(_docs(spark, sf_dir).select(F.concat(F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'), item, F.lit("</channel></rss>")).alias("payload")).transform(payloads.rss()))
 
 
 def payload_atom(spark, sf_dir):
     """A link by attribute or as text, titles with a type, the summary before the content."""
-    body = F.concat(_plain(F.col("text")), SAID)
-    link = F.when(K % 2 == 0, _s('<link rel="alternate" href="https://f.example/', K, '"/>')).otherwise(_s("<link>https://f.example/", K, "</link>"))
-    text = F.when(K % 5 == 0, _s('<content type="text">', body, "</content>")).otherwise(_s("<summary>", body, "</summary><content>other</content>"))
-    entry = F.concat(F.lit("<entry>"), F.when(K % 3 == 0, F.lit('<title type="text">')).otherwise("<title>"), ITEM, F.lit("</title>"), link, _s("<id>e", K, "</id>"), text, F.lit("</entry>"))
+    body = F.concat(_plain(F.col("text")), item_said())
+    link = F.when(key() % 2 == 0, _s('<link rel="alternate" href="https://f.example/', key(), '"/>')).otherwise(_s("<link>https://f.example/", key(), "</link>"))
+    text = F.when(key() % 5 == 0, _s('<content type="text">', body, "</content>")).otherwise(_s("<summary>", body, "</summary><content>other</content>"))
+    entry = F.concat(F.lit("<entry>"), F.when(key() % 3 == 0, F.lit('<title type="text">')).otherwise("<title>"), item_title(), F.lit("</title>"), link, _s("<id>e", key(), "</id>"), text, F.lit("</entry>"))
     return _shown(_docs(spark, sf_dir).select(F.concat(F.lit("<feed>"), entry, F.lit("</feed>")).alias("payload")).transform(payloads.atom()))
 
 
@@ -151,15 +181,15 @@ def payload_web_search(spark, sf_dir):
 
 def listing_validity(spark, sf_dir):
     """How many listings are valid; every few lack something."""
-    rows = _docs(spark, sf_dir).select(F.when(K % 13 > 0, F.col("source")).alias("source_name"), _s(K).alias("external_id"), F.when(K % 11 > 0, "t").otherwise("").alias("title"), F.lit("c").alias("company"), F.col("text").alias("description_text"), F.when(K % 7 > 0, "https://x.example/a").otherwise("no address").alias("source_url"), F.when(K % 5 == 0, "ftp://y.example").when(K % 5 == 1, "y.example").alias("apply_url"), (K % 17 - 1).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.when(K % 19 == 0, "").when(K % 19 == 1, "Rome").alias("location"))
+    rows = _docs(spark, sf_dir).select(F.when(key() % 13 > 0, F.col("source")).alias("source_name"), _s(key()).alias("external_id"), F.when(key() % 11 > 0, "t").otherwise("").alias("title"), F.lit("c").alias("company"), F.col("text").alias("description_text"), F.when(key() % 7 > 0, "https://x.example/a").otherwise("no address").alias("source_url"), F.when(key() % 5 == 0, "ftp://y.example").when(key() % 5 == 1, "y.example").alias("apply_url"), (key() % 17 - 1).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.when(key() % 19 == 0, "").when(key() % 19 == 1, "Rome").alias("location"))
     return rows.select(payloads.is_valid().alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
 
 
 def _raw(spark, sf_dir) -> DataFrame:
     """Documents as raw listings: titles that differ in case and space only every three rows of a source."""
     d = _docs(spark, sf_dir)
-    shown = F.when(K % 2 == 0, _s("  senior dev ", F.floor(K / 3))).otherwise(_s("SENIOR\tDEV ", F.floor(K / 3)))
-    return d.select(K.alias("position"), F.lit("feed").alias("source_name"), _s(K).alias("external_id"), shown.alias("title"), F.lit(" Acme ").alias("company"), _s("https://x.example/", K).alias("source_url"), F.lit(None).cast("string").alias("apply_url"), F.when(K % 23 > 0, F.col("text")).otherwise("").alias("description_text"), F.lit(None).cast("string").alias("description_html"), (K * 1000.0).alias("salary_min"), (K * 2000.0).alias("salary_max"), F.when(K % 3 == 0, "Remote").when(K % 3 == 1, "Berlin, Germany ").otherwise("Remote").alias("location"), F.when(K % 5 == 0, False).alias("is_remote"))
+    shown = F.when(key() % 2 == 0, _s("  senior dev ", F.floor(key() / 3))).otherwise(_s("SENIOR\tDEV ", F.floor(key() / 3)))
+    return d.select(key().alias("position"), F.lit("feed").alias("source_name"), _s(key()).alias("external_id"), shown.alias("title"), F.lit(" Acme ").alias("company"), _s("https://x.example/", key()).alias("source_url"), F.lit(None).cast("string").alias("apply_url"), F.when(key() % 23 > 0, F.col("text")).otherwise("").alias("description_text"), F.lit(None).cast("string").alias("description_html"), (key() * 1000.0).alias("salary_min"), (key() * 2000.0).alias("salary_max"), F.when(key() % 3 == 0, "Remote").when(key() % 3 == 1, "Berlin, Germany ").otherwise("Remote").alias("location"), F.when(key() % 5 == 0, False).alias("is_remote"))
 
 
 def normalised(spark, sf_dir):
@@ -173,7 +203,7 @@ def normalised_counts(spark, sf_dir):
 
 def shown_ranges(spark, sf_dir):
     """Pay in texts: '$a - $b' of feed items, labelled ranges, and rates or ranges of snippets."""
-    said = F.when(K % 5 == 0, _s("Pay $", K % 90 + 100, "k - $", K % 90 + 130, "k a year")).when(K % 5 == 1, _s("at $", K % 60 + 20, ".50 an hour")).when(K % 5 == 2, _s("Compensation: ", K % 90 + 100, ",000 to ", K % 90 + 130, ",000")).when(K % 5 == 3, _s("from $", K % 90 + 100, ",000 – $", K % 90 + 130, ",500"))
+    said = F.when(key() % 5 == 0, _s("Pay $", key() % 90 + 100, "k - $", key() % 90 + 130, "k a year")).when(key() % 5 == 1, _s("at $", key() % 60 + 20, ".50 an hour")).when(key() % 5 == 2, _s("Compensation: ", key() % 90 + 100, ",000 to ", key() % 90 + 130, ",000")).when(key() % 5 == 3, _s("from $", key() % 90 + 100, ",000 – $", key() % 90 + 130, ",500"))
     d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("A job. "), said, F.lit(". Apply.")).alias("said"))
     pair = lambda c, name: [c["min"].alias(f"{name}_min"), c["max"].alias(f"{name}_max")]
     c = F.col("said")

@@ -137,3 +137,7 @@ def country_extract(spark, sf_dir):
 
 QUERIES["country_extract"] = country_extract
 SQL["country_extract"] = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 2 THEN 'INTL' WHEN 3 THEN 'Unknown' ELSE coalesce(map {'united states': 'US', 'united kingdom': 'GB', 'canada': 'CA', 'germany': 'DE', 'france': 'FR', 'india': 'IN', 'china': 'CN', 'japan': 'JP', 'brazil': 'BR', 'argentina': 'AR', 'egypt': 'EG', 'indonesia': 'ID', 'kenya': 'KE', 'peru': 'PE', 'romania': 'RO', 'saudi arabia': 'SA', 'vietnam': 'VN', 'russia': 'RU'}[lower(n_name)], 'Unknown') END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+SQL["url_ids"] = r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^(.*?)https?://', '\1'), '(?s)[?#].*', '') AS p, regexp_extract(url, 'linkedin\.com/jobs/view/(?:.*[-/])?(\d{5,})', 1) AS li, regexp_extract(url, 'jobs\.apple\.com/.+/details/(\d+)', 1) AS ap FROM pages),
+ h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM u)
+ SELECT page_id, CASE WHEN li <> '' THEN 'searxng-li-' || li WHEN ap <> '' THEN 'searxng-apple-' || ap ELSE 'searxng-' || lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) END AS external_id FROM h"""

@@ -114,16 +114,42 @@ def company_join(spark, sf_dir):
     return a.join(b, X.normalize_company(F.col("company")) == F.col("key"), "left").select("s_suppkey", "intel")
 
 
+def _listings(spark, sf_dir):
+    """Documents as listings: source and language as title and company, three places, and pay by length."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(k.alias("id"), "source", F.col("source").alias("title"), F.col("lang").alias("company"), F.when(k % 3 == 0, "Rome").when(k % 3 == 1, "Oslo").alias("location"), F.when(k % 4 > 0, F.col("n_chars") % 40 * 1000).alias("salary_min"), F.when(k % 8 > 3, F.col("n_chars") % 40 * 1000 + 20000).alias("salary_max"))
+    return rows.withColumn("fingerprint", X.fingerprint(F.col("title"), F.col("company"), F.col("location")))
+
+
 def dedup_disposition(spark, sf_dir):
-    """Documents of odd ids against those of even ids; names from their first words. Jaro-Winkler has no SQL here."""
-    words = F.split("text", r"\s+")
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("title"), F.get(words, F.lit(2)).alias("company"), "lang", (F.col("n_chars") * 10).alias("salary_min"), F.lit(None).cast("long").alias("salary_max"))
-    rows = rows.withColumnRenamed("lang", "location").withColumn("fingerprint", X.fingerprint(F.col("title"), F.col("company"), F.col("location")))
-    return merging.fingerprint_merges(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"))
+    """Documents of odd ids against those of even ids."""
+    rows = _listings(spark, sf_dir)
+    found = merging.fingerprint_merges(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"))
+    return found.select("in_id", "cand_id", F.round("confidence", 9).alias("confidence"), "disposition")
+
+
+def dedup_vectors(spark, sf_dir):
+    """Vectors of odd ids against those of even ids, as listings with a company by label and pay by number."""
+    k = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(k.alias("id"), "embedding", F.lit("t").alias("title"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("company"), F.lit(None).cast("string").alias("location"), (k % 7 * 1000).alias("salary_min"), F.when(k % 3 > 0, k % 7 * 1000 + 3000).alias("salary_max"), F.concat(F.lit("f"), F.floor(k / 4).cast("string")).alias("fingerprint"))
+    found = merging.fingerprint_merges(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), distance=0.9)
+    return found.select("in_id", "cand_id", F.round("confidence", 9).alias("confidence"), "disposition")
 
 
-QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition)}
+def merged_listings(spark, sf_dir):
+    """Stored documents after merging others into them: every third into the one before that it follows by three."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    k = F.col("doc_id")
+    sources = F.array(F.struct(F.col("source").alias("name"), k.cast("string").alias("external_id")))
+    stored = d.filter("doc_id % 3 = 0").select(k.alias("id"), F.when(k % 2 == 0, F.col("n_chars")).alias("salary_min"), F.lit(None).cast("string").alias("location"), sources.alias("sources"), F.lit(None).cast("double").alias("dedup_confidence"), F.when(k % 5 > 0, 1).alias("match_score"))
+    into = F.floor(k / 9) * 9
+    incoming = d.filter("doc_id % 3 > 0").select(k.alias("id"), k.alias("position"), (-F.col("n_chars")).alias("salary_min"), F.when(k % 4 > 0, F.col("lang")).alias("location"), F.concat(sources, F.array(F.struct(F.lit("x").alias("name"), F.lit("1").alias("external_id")))).alias("sources"))
+    found = d.filter("doc_id % 3 > 0").select(k.alias("in_id"), into.alias("cand_id"), (k % 10 / 1000.0 + 0.9).alias("confidence"), F.when(k % 7 > 0, "merged").otherwise("similar").alias("disposition"))
+    out = merging.merged(stored, incoming, found, "position", ["salary_min", "location"])
+    return out.select("id", "salary_min", "location", F.array_join(F.transform("sources", lambda x: F.concat(x["name"], F.lit(":"), x["external_id"])), ",").alias("sources"), F.round("dedup_confidence", 6).alias("dedup_confidence"), F.col("_needs_score").alias("needs_score"))
+
+
+QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition, dedup_vectors, merged_listings)}
 
 SQL = {
     "known_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)",
@@ -156,3 +182,27 @@ SQL = {
  SELECT o_orderkey, r1, r2, round(CASE WHEN r2 IS NULL THEN 61.0::DOUBLE / (60 + r1) ELSE (61.0::DOUBLE / (60 + r1) + 61.0::DOUBLE / (60 + r2)) / 2 END, 6) AS confidence FROM r""",
     "company_join": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS intel FROM supplier",
 }
+
+#: The parts of a confidence: ranks of similarities, salary overlap, and the fused ranks of a pair (null ranks are left out).
+_RANK = "greatest(1, floor((1 - ({})) * 100 + 0.5))"
+_OVER = """CASE WHEN a.low IS NULL OR b.low IS NULL THEN NULL WHEN least(a.high, b.high) < greatest(a.low, b.low) THEN 0.0::DOUBLE WHEN greatest(a.high, b.high) = least(a.low, b.low) THEN 1.0::DOUBLE ELSE (least(a.high, b.high) - greatest(a.low, b.low))::DOUBLE / (greatest(a.high, b.high) - least(a.low, b.low)) END"""
+
+
+def _fused(names: str) -> str:
+    parts = names.split()
+    return "(" + " + ".join(f"coalesce(61.0::DOUBLE / (60 + {n}), 0)" for n in parts) + ") / (" + " + ".join(f"({n} IS NOT NULL)::INT" for n in parts) + ")"
+
+
+_BEST = """ SELECT l.id AS in_id, cand_id, round(confidence, 9) AS confidence, CASE WHEN confidence > 0.9 THEN 'merged' WHEN confidence >= 0.7 THEN 'similar' ELSE 'new' END AS disposition FROM l LEFT JOIN t ON t.in_id = l.id WHERE l.id % 2 = 1"""
+SQL["dedup_disposition"] = f"""WITH l AS (SELECT doc_id AS id, source AS title, lang AS company, CASE doc_id % 3 WHEN 0 THEN 'rome' WHEN 1 THEN 'oslo' END AS place, CASE WHEN doc_id % 4 > 0 THEN n_chars % 40 * 1000 END AS low, CASE WHEN doc_id % 8 > 3 THEN n_chars % 40 * 1000 + 20000 WHEN doc_id % 4 > 0 THEN n_chars % 40 * 1000 END AS high FROM documents),
+ p AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.title = b.title AND a.company = b.company AND a.place IS NOT DISTINCT FROM b.place THEN 1 ELSE 100 END AS r1, {_RANK.format("CASE WHEN a.company = b.company THEN 1.0::DOUBLE WHEN a.company[1] = b.company[1] THEN 2 / 3.0::DOUBLE + 0.1::DOUBLE * (1 - 2 / 3.0::DOUBLE) ELSE 0 END")} AS r2,
+  CASE WHEN a.place IS NOT NULL AND b.place IS NOT NULL THEN CASE WHEN a.place = b.place THEN 1 ELSE 50 END END AS r3, {_RANK.format(_OVER)} AS r4, {_OVER} AS shared FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND (a.company = b.company OR a.title = b.title)),
+ c AS (SELECT in_id, cand_id, r1, r2, r3, CASE WHEN shared IS NOT NULL THEN r4 END AS r4 FROM p), t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
+{_BEST}"""
+SQL["dedup_vectors"] = f"""WITH l AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id % 7 * 1000 AS low, CASE WHEN vec_id % 3 > 0 THEN vec_id % 7 * 1000 + 3000 ELSE vec_id % 7 * 1000 END AS high FROM embeddings),
+ p AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.id // 4 = b.id // 4 THEN 1 ELSE 100 END AS r1, {_RANK.format("CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 2 / 3.0::DOUBLE + 0.1::DOUBLE * (1 - 2 / 3.0::DOUBLE) END")} AS r2, {_RANK.format(_OVER)} AS r3, {_RANK.format('1 - list_cosine_distance(a.v, b.v)')} AS r4 FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND list_cosine_distance(a.v, b.v) < 0.9),
+ t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
+{_BEST}"""
+SQL["merged_listings"] = """WITH i AS (SELECT doc_id AS k, doc_id // 9 * 9 AS c, source, lang, n_chars FROM documents WHERE doc_id % 3 > 0 AND doc_id % 7 > 0),
+ m AS (SELECT c, arg_min(-n_chars, k) AS low, arg_min(CASE WHEN k % 4 > 0 THEN lang END, k) FILTER (WHERE k % 4 > 0) AS place, arg_max(0.9::DOUBLE + k % 10 / 1000.0::DOUBLE, k) AS conf, min(k) AS first, string_agg(source || ':' || k || CASE WHEN k = f THEN ',x:1' ELSE '' END, ',' ORDER BY k) AS s FROM (SELECT *, min(k) OVER (PARTITION BY c) AS f FROM i) GROUP BY 1)
+ SELECT doc_id AS id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars END, low) AS salary_min, place AS location, source || ':' || doc_id || coalesce(',' || s, '') AS sources, round(conf, 6) AS dedup_confidence, c IS NOT NULL AND doc_id % 5 = 0 AS needs_score FROM documents LEFT JOIN m ON c = doc_id WHERE doc_id % 3 = 0"""
