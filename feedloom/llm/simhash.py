@@ -181,9 +181,12 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
 
 
 def bit_routes(fps: DataFrame, radius: int) -> DataFrame:
-    """Two fingerprints within radius agree on one of radius + 1 bands of bits: (id, band, value) of each band."""
-    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    """Of radius + 2 bands of bits, two fingerprints within radius agree on two: (id, band, value) of each two bands. Two
+    bands have half of the bits at radius 2, so that few unlike fingerprints share a value however many there are."""
+    cuts = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
+    bits = lambda i: F.shiftrightunsigned(F.shiftleft("fp", 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i])
+    pairs = [(i, j) for j in range(radius + 2) for i in range(j)]
+    bands = F.array(*(F.struct(F.lit(n).alias("band"), F.shiftleft(bits(i), cuts[j + 1] - cuts[j]).bitwiseOR(bits(j)).alias("value")) for n, (i, j) in enumerate(pairs)))
     return fps.select("id", F.explode(bands).alias("_b")).select("id", "_b.band", "_b.value")
 
 
