@@ -45,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
+    """A path in the shared folder that no other run uses. What is written there stays, since a result may be read again
+    as long as its DataFrame lives; a job that is done may delete the folder."""
     return f"{shared_dir(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
 
 

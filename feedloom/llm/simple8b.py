@@ -181,8 +181,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int = 0
         if docs:
             yield block()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    dealt = rows.repartitionByRange("_id").sortWithinPartitions("_id").withColumn("_part", F.spark_partition_id())
+    # A row's number behind its id, so that rows of a common id, or without one, are dealt over parts as well.
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    dealt = rows.repartitionByRange("_id", "_row").sortWithinPartitions("_id", "_row").select("_id", "_text", F.spark_partition_id().alias("_part"))
     dealt.mapInArrow(run, "part int, block long, before long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/data")
     totals = spark.read.parquet(f"{path}/data").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

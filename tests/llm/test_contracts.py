@@ -32,7 +32,6 @@ def ids_of():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(BYTE_BPE))
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
 
 
