@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.sources.payloads import Parser, is_valid
+from feedloom.operators.merging import keep_first
+from feedloom.sources.payloads import FIELDS, Parser, is_valid
 
 
 def payload_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,10 +17,12 @@ def payload_files(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(stream: DataFrame, parser: Parser, store: str, checkpoint: str) -> StreamingQuery:
     """Each batch's valid listings that no earlier batch stored are written to a folder of that batch's number, over
-    what a failed try of it left; so a batch that runs again gives the same result."""
+    what a failed try of it left; so a batch that runs again gives the same result. Of a batch's rows of one key, which
+    come in no order, the smallest in the order of its fields counts. Of the store only the keys are read."""
 
     def add(batch: DataFrame, number: int) -> None:
-        new = parser(batch).filter(is_valid()).dropDuplicates(["source_name", "external_id"])
+        first = keep_first(["source_name", "external_id"], "_at")
+        new = parser(batch).filter(is_valid()).withColumn("_at", F.struct(*FIELDS)).transform(first).drop("_at")
         try:
             stored = batch.sparkSession.read.parquet(store)
         except Exception as e:  # the first batch finds no store

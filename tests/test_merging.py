@@ -25,3 +25,23 @@ def test_absent_and_closed(spark):
     assert sorted((r.source_name, r.external_id) for r in known) == [("s", "2"), ("s", "3")]
     complete = spark.createDataFrame([("s",), ("u",)], "source_name string")
     assert [(r.source_name, r.external_id) for r in merging.to_close(fresh, complete)(stored).collect()] == [("s", "1")]
+
+
+def test_vectors_choose_candidates(spark):
+    cols = COLS + ", embedding array<float>"
+    stored = spark.createDataFrame([(1, "f1", "Acme", "Dev", "Rome", None, None, [1.0, 0.0]), (2, "f2", "Acme", "Dev", "Rome", None, None, [0.0, 1.0]), (3, "f3", "Acme", "Dev", None, None, None, None), (4, "f4", "x", "y", None, None, None, [1.0, 0.0, 0.0])], cols)
+    incoming = spark.createDataFrame([(10, "f2", "acme", "dev", "rome", None, None, [0.1, 1.0]), (11, "f3", "acme", "dev", None, None, None, [-1.0, 0.0]), (12, "f3", "acme", "z", None, None, None, None), (13, "f9", "q", "q", None, None, None, [0.0, 0.0])], cols)
+    got = {r.in_id: (r.disposition, r.cand_id) for r in merging.fingerprint_merges(incoming, stored).collect()}
+    assert got == {10: ("merged", 2), 11: ("new", None), 12: ("merged", 3), 13: ("new", None)}
+    assert merging.fingerprint_merges(incoming.limit(0), stored).count() == 0
+    assert {r.disposition for r in merging.fingerprint_merges(incoming, stored.limit(0)).collect()} == {"new"}
+
+
+def test_refreshed_appends_own_attribution(spark):
+    kind = "source_name string, external_id string, salary_min long, closed_at string, match_score long, sources array<struct<name:string,external_id:string,url:string>>"
+    stored = spark.createDataFrame([("s", "1", None, "2024", 1, None), ("s", "2", 5, None, None, [("s", "2", "u")]), ("s", "3", 5, None, 1, None)], kind)
+    incoming = spark.createDataFrame([("s", "1", 7, 1), ("s", "1", 8, 2), ("s", "2", 9, 3)], "source_name string, external_id string, salary_min long, position long")
+    got = {r.external_id: r for r in merging.refreshed(stored, incoming, "position", columns=["salary_min"]).collect()}
+    assert (got["1"].salary_min, got["1"].closed_at, [tuple(x) for x in got["1"].sources]) == (7, None, [("s", "1", None)])
+    assert (got["2"].salary_min, got["2"]._needs_score, [tuple(x) for x in got["2"].sources]) == (5, True, [("s", "2", "u")])
+    assert got["3"].sources is None and not got["3"]._needs_score
