@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import money, places, titles
 from feedloom.functions import text as X
+from feedloom.operators import enrichment
 from feedloom.plans.stored import table
 from feedloom.sources import payloads
 
@@ -228,7 +229,26 @@ def place_sources(spark, sf_dir):
     return c.select("c_custkey", places.place_in_text(F.col("said")).alias("from_text"), places.place_in_snippet(F.col("snippet")).alias("from_snippet"), places.place_in_slug(F.col("url")).alias("from_slug"), places.normal_place(F.col("place")).alias("usual"), X.infer_remote(F.col("place")).alias("remote"), places.broadened(F.col("wide")).alias("broad"))
 
 
-QUERIES = {f.__name__: f for f in (payload_remoteok, payload_jobicy, payload_himalayas, payload_themuse, payload_serply, payload_greenhouse, payload_lever, payload_ashby, payload_smartrecruiters, payload_rss, payload_atom, payload_web_search, listing_validity, normalised, normalised_counts, shown_ranges, search_titles, place_sources)}
+def page_blocks(spark, sf_dir):
+    """Descriptions of pages made of documents: a block with nested ones, a meta element, or two sections."""
+    plain = F.regexp_replace("text", '[<>"]', "")
+    block = F.concat(F.lit('<div><div class="show-more-less-html__markup a" id="b"> '), plain, F.lit("<div>in<div></div></div> tail </div>rest</div></div>"))
+    meta = F.concat(F.lit('<head><META name="description" content=" '), plain, F.lit('"/></head>'))
+    parts = F.concat(F.lit('<section class="a">'), plain, F.lit("</section>x<SECTION>"), plain, F.lit(" more </SECTION><section>"), plain, F.lit(" last</section>"))
+    html = F.when(key() % 3 == 0, block).when(key() % 3 == 1, meta).otherwise(parts)
+    d = table(spark, sf_dir, "documents").select("doc_id", enrichment.page_description(html).alias("d"))
+    return d.select("doc_id", F.length("d").alias("chars"), F.sha2("d", 256).alias("digest"))
+
+
+def entity_texts(spark, sf_dir):
+    """Documents escaped, in lines of markup with numeric entities, and back."""
+    plain = F.regexp_replace("text", r"[&\s]+", " ")
+    html = F.concat(F.lit("<div>"), X.escape_html(plain), F.lit("</div><p class='x'>&#233;&#x41; &amp; more<br/>end</p>"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.strip_html_lines(html).alias("d"))
+    return d.select("doc_id", F.sha2("d", 256).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (payload_remoteok, payload_jobicy, payload_himalayas, payload_themuse, payload_serply, payload_greenhouse, payload_lever, payload_ashby, payload_smartrecruiters, payload_rss, payload_atom, payload_web_search, listing_validity, normalised, normalised_counts, shown_ranges, search_titles, place_sources, page_blocks, entity_texts)}
 
 _NO_PAY = "CAST(NULL AS DOUBLE) AS salary_min, CAST(NULL AS DOUBLE) AS salary_max"
 _ITEM_TITLE = "CASE k % 4 WHEN 3 THEN 'Dev ' || k ELSE 'Dev' END"
@@ -290,3 +310,8 @@ SQL = {
  CASE c_custkey % 3 WHEN 0 THEN 'Austin, TX' WHEN 2 THEN 'Reno, NV' END AS from_slug, CASE c_custkey % 5 WHEN 0 THEN 'New York, NY' WHEN 1 THEN 'San Francisco, CA' WHEN 2 THEN 'Boston' WHEN 3 THEN 'Washington, DC' ELSE 'Remote' END AS usual,
  c_custkey % 5 = 4 AS remote, CASE c_custkey % 5 WHEN 0 THEN 'New York' WHEN 1 THEN 'Paris' WHEN 2 THEN 'Texas' WHEN 3 THEN 'Reno' ELSE 'Texas' END AS broad FROM customer""",
 }
+_EDGE = r"regexp_replace({}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
+SQL["page_blocks"] = f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[<>"]', '', 'g') AS t FROM documents),
+ d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_EDGE.format("t || '<div>in<div></div></div> tail'")} WHEN 1 THEN CASE WHEN len({_EDGE.format('t')}) > 50 THEN {_EDGE.format('t')} END ELSE CASE WHEN len({_EDGE.format("t || ' more'")}) > 100 THEN {_EDGE.format("t || ' more'")} END END AS d FROM t)
+ SELECT doc_id, CAST(len(d) AS INT) AS chars, sha256(d) AS digest FROM d"""
+SQL["entity_texts"] = f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[&\\s]+', ' ', 'g') AS t FROM documents) SELECT doc_id, sha256({_EDGE.format("t || chr(10) || chr(10) || 'éA & more' || chr(10) || 'end'")}) AS digest FROM t"""
