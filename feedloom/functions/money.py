@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of pay: a range and one amount without spaces, a range after a label, one in a board's summary,
+#: one in a snippet, an hourly rate, and a range in a feed item.
 _RANGE = r"(?i)\$?([\d.]+)(k)?(?:[-–—]|to)\$?([\d.]+)(k)?"
 _ONE = r"(?i)\$?([\d.]+)(k)?"
+LABELLED_RANGE = r"(?i)(?:salary|compensation|pay)\s*(?:range)?[:\s]*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
+SUMMARY_RANGE = r"(?i)\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
+SNIPPET_RANGE = r"(?i)\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?\s*[-–—]+\s*\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?"
+HOURLY = r"(?i)\$(\d+(?:\.\d+)?)\s*(?:an?\s+hour|/\s*hr|/\s*hour)"
+ITEM_RANGE = r"\$[\d,.]+[kK]?\s*[-–—to]+\s*\$[\d,.]+[kK]?"
 #: Hours of a full-time year.
 YEAR_HOURS = 2080
 
@@ -38,39 +45,36 @@ def parse_salary(c: Column) -> Column:
 
 def shown_range(text: Column) -> Column:
     """struct<min,max> of the first '$a - $b' in a feed item's text; null if none."""
-    return parse_salary(F.nullif(F.regexp_extract(text, r"\$[\d,.]+[kK]?\s*[-–—to]+\s*\$[\d,.]+[kK]?", 0), F.lit("")))
+    return parse_salary(F.nullif(F.regexp_extract(text, ITEM_RANGE, 0), F.lit("")))
 
 
 def labelled_range(text: Column) -> Column:
     """struct<min,max> of a range after salary, compensation or pay; a k after either number is not read."""
-    pattern = r"(?i)(?:salary|compensation|pay)\s*(?:range)?[:\s]*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
-    found = F.concat(F.regexp_extract(text, pattern, 1), F.lit("-"), F.regexp_extract(text, pattern, 2))
-    return parse_salary(F.when(F.regexp_like(text, F.lit(pattern)), found))
+    found = F.concat(F.regexp_extract(text, LABELLED_RANGE, 1), F.lit("-"), F.regexp_extract(text, LABELLED_RANGE, 2))
+    return parse_salary(F.when(F.regexp_like(text, F.lit(LABELLED_RANGE)), found))
 
 
 def summary_range(summary: Column) -> Column:
     """struct<min,max> of a compensation summary: a number under 1000 counts thousands if a k is anywhere in it."""
-    pattern = r"(?i)\$?([\d,]+(?:\.\d+)?)\s*(?:k)?\s*[-–—to]+\s*\$?([\d,]+(?:\.\d+)?)\s*(?:k)?"
 
     def amount(group: int) -> Column:
-        n = leading_number(F.regexp_replace(F.regexp_extract(summary, pattern, group), ",", ""))
+        n = leading_number(F.regexp_replace(F.regexp_extract(summary, SUMMARY_RANGE, group), ",", ""))
         return F.when((n < 1000) & F.contains(F.lower(summary), F.lit("k")), n * 1000).otherwise(n)
 
-    return F.when(F.regexp_like(summary, F.lit(pattern)), F.struct(amount(1).alias("min"), amount(2).alias("max")))
+    return F.when(F.regexp_like(summary, F.lit(SUMMARY_RANGE)), F.struct(amount(1).alias("min"), amount(2).alias("max")))
 
 
 def snippet_salary(text: Column) -> Column:
     """struct<min,max> of a search snippet: an hourly rate as a year's minimum, else '$a - $b' of two or three leading
     digits; null if neither."""
-    hourly = F.regexp_extract(text, r"(?i)\$(\d+(?:\.\d+)?)\s*(?:an?\s+hour|/\s*hr|/\s*hour)", 1).try_cast("double")
-    pattern = r"(?i)\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?\s*[-–—]+\s*\$(\d{2,3}(?:,\d{3})*(?:\.\d+)?)(k)?"
+    hourly = F.regexp_extract(text, HOURLY, 1).try_cast("double")
 
     def amount(group: int) -> Column:
-        n = F.regexp_replace(F.regexp_extract(text, pattern, group), ",", "").try_cast("double")
-        return F.when(F.regexp_extract(text, pattern, group + 1) != "", n * 1000).otherwise(n)
+        n = F.regexp_replace(F.regexp_extract(text, SNIPPET_RANGE, group), ",", "").try_cast("double")
+        return F.when(F.regexp_extract(text, SNIPPET_RANGE, group + 1) != "", n * 1000).otherwise(n)
 
     yearly = F.struct(half_up(hourly * YEAR_HOURS).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
-    return F.when(hourly.isNotNull(), yearly).when(F.regexp_like(text, F.lit(pattern)), F.struct(amount(1).alias("min"), amount(3).alias("max")))
+    return F.when(hourly.isNotNull(), yearly).when(F.regexp_like(text, F.lit(SNIPPET_RANGE)), F.struct(amount(1).alias("min"), amount(3).alias("max")))
 
 
 def cap(c: Column, most: float) -> Column:

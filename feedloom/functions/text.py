@@ -7,9 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as the listings' sources see it: Unicode, so that no-break spaces count.
-SPACE = r"(?U)\s"
-
 
 def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -32,7 +29,7 @@ def title_case(c: Column, after: str = r"\s") -> Column:
 
 
 def sanitize_html(c: Column) -> Column:
-    """Without script elements, event attributes and javascript: addresses."""
+    """Without script elements, event attributes and javascript: addresses, by four fixed patterns."""
     c = F.regexp_replace(c, r"(?is)<script\b.*?</script>", "")
     c = F.regexp_replace(c, r"""(?i)on\w+\s*=\s*["'][^"']*["']""", "")
     c = F.regexp_replace(c, r"(?i)on\w+\s*=\s*\S+", "")
@@ -82,7 +79,8 @@ def decode_entities(c: Column, hexadecimal: bool = True) -> Column:
 
 
 def strip_html_lines(c: Column) -> Column:
-    """Block tags to line feeds, other tags to nothing, entities decoded, at most one empty line between lines."""
+    """Block tags to line feeds, other tags to nothing, entities decoded, at most one empty line between lines; the tags'
+    names are fixed values."""
     c = F.regexp_replace(c, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6])[^>]*>", "\n")
     c = decode_entities(F.regexp_replace(c, r"<[^>]+>", ""))
     return trim_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))

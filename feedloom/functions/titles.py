@@ -14,6 +14,10 @@ LEVELS = "Senior|Junior|Mid|Lead|Staff|Entry|Remote|Full"
 #: Sites whose names end a search result's title.
 SITES = r"LinkedIn|Indeed|Glassdoor|ZipRecruiter|Dice|BuiltIn\w*"
 
+#: The forms of a feed item's title, and of a search result's.
+HIRING, COLON, AT, DASH, PIPE = r"(?i)^(.+?)\s+is\s+hiring\s+(.+)$", r"^(.+?):\s+(.+)$", r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$", r"^(.+?)\s+-\s+(.+)$", r"^(.+?)\s*\|\s*(.+)$"
+HIRING_IN, HIRES, CAREERS = r"(?i)^(.+?)\s+hiring\s+(.+?)\s+in\s+(.+)$", r"(?i)^(.+?)\s+hiring\s+(.+)$", r"(?i)^(.+?)\s*[-–—]\s*(?:Jobs\s*[-–—]\s*)?Careers\s+at\s+(.+)$"
+
 
 def _part(text: Column, pattern: str, group: int) -> Column:
     return trim_all(F.regexp_extract(text, pattern, group))
@@ -26,16 +30,15 @@ def _split(title: Column, company: Column, place: Column | None = None) -> Colum
 def split_feed_title(text: Column) -> Column:
     """struct<title,company,location>: 'C is hiring T', 'C: T' (unless C is a label), 'T at C' or 'T @ C', 'T - C' (if C
     starts with a capital and is no level), 'T | C', in this order; else the whole text and Unknown."""
-    hiring, colon, at, dash, pipe = r"(?i)^(.+?)\s+is\s+hiring\s+(.+)$", r"^(.+?):\s+(.+)$", r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$", r"^(.+?)\s+-\s+(.+)$", r"^(.+?)\s*\|\s*(.+)$"
-    named = ~_part(text, colon, 1).rlike(f"(?i)^(?:{LABELS})")
-    behind = _part(text, dash, 2)
+    named = ~_part(text, COLON, 1).rlike(f"(?i)^(?:{LABELS})")
+    behind = _part(text, DASH, 2)
     firm = behind.rlike("^[A-Z]") & ~behind.rlike(f"(?i)^(?:{LEVELS})")
     return (
-        F.when(text.rlike(hiring), _split(_part(text, hiring, 2), _part(text, hiring, 1)))
-        .when(text.rlike(colon) & named, _split(_part(text, colon, 2), _part(text, colon, 1)))
-        .when(text.rlike(at), _split(_part(text, at, 1), _part(text, at, 2)))
-        .when(text.rlike(dash) & firm, _split(_part(text, dash, 1), behind))
-        .when(text.rlike(pipe), _split(_part(text, pipe, 1), _part(text, pipe, 2)))
+        F.when(text.rlike(HIRING), _split(_part(text, HIRING, 2), _part(text, HIRING, 1)))
+        .when(text.rlike(COLON) & named, _split(_part(text, COLON, 2), _part(text, COLON, 1)))
+        .when(text.rlike(AT), _split(_part(text, AT, 1), _part(text, AT, 2)))
+        .when(text.rlike(DASH) & firm, _split(_part(text, DASH, 1), behind))
+        .when(text.rlike(PIPE), _split(_part(text, PIPE, 1), _part(text, PIPE, 2)))
         .otherwise(_split(text, F.lit(UNKNOWN)))
     )
 
@@ -44,10 +47,9 @@ def split_search_title(raw: Column) -> Column:
     """struct<title,company,location> without the site's name: 'C hiring T in P', 'C hiring T', 'T - Careers at C', else
     as a feed title."""
     text = trim_all(F.regexp_replace(raw, rf"(?i)\s*[|–—-]\s*(?:{SITES})\s*$", ""))
-    placed, hiring, careers = r"(?i)^(.+?)\s+hiring\s+(.+?)\s+in\s+(.+)$", r"(?i)^(.+?)\s+hiring\s+(.+)$", r"(?i)^(.+?)\s*[-–—]\s*(?:Jobs\s*[-–—]\s*)?Careers\s+at\s+(.+)$"
     return (
-        F.when(text.rlike(placed), _split(_part(text, placed, 2), _part(text, placed, 1), _part(text, placed, 3)))
-        .when(text.rlike(hiring), _split(_part(text, hiring, 2), _part(text, hiring, 1)))
-        .when(text.rlike(careers), _split(_part(text, careers, 1), _part(text, careers, 2)))
+        F.when(text.rlike(HIRING_IN), _split(_part(text, HIRING_IN, 2), _part(text, HIRING_IN, 1), _part(text, HIRING_IN, 3)))
+        .when(text.rlike(HIRES), _split(_part(text, HIRES, 2), _part(text, HIRES, 1)))
+        .when(text.rlike(CAREERS), _split(_part(text, CAREERS, 1), _part(text, CAREERS, 2)))
         .otherwise(split_feed_title(text))
     )
