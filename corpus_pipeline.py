@@ -24,9 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id. A row goes by
+    its own text, so that another text of the same id stays."""
     docs = docs.select(*COLUMNS)
-    return docs.join(simhash.near_duplicate_groups(docs).select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    found = simhash.near_duplicate_groups(docs).select(F.col("doc_id").alias("_id"), "text_hash")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return docs.join(found, same, "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from feedloom.llm.components import connected_components
 TREE_SIZE = 1024
 #: Bytes of their shingle sets, likewise; one larger set makes a chunk of its own.
 TREE_BYTES = 16 << 20
+#: Smallest hashes of a set that stand for it in a first search, and standard errors by which their estimate may fall short.
+SAMPLE, MARGIN = 128, 4.0
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int, seed: int) -> np.ndarray:
@@ -95,10 +97,18 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared)
 
 
+def maybe_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets may be similar, by their SAMPLE smallest hashes (all, if fewer): those of the union that both have
+    are an unbiased estimate; it passes if it lies at most MARGIN standard errors below the similarity."""
+    both = np.union1d(a, b)[: max(len(a), len(b))]
+    shared = len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True))
+    return shared >= similarity * len(both) - MARGIN * (similarity * (1 - similarity) * len(both)) ** 0.5
+
+
 Member = tuple[int, int, "np.ndarray | None"]  # id, fingerprint, set of shingle hashes
 
 
-def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float) -> dict[int, int]:
+def _local_links(own: list[Member], others: list[Member], radius: int, similarity: float, alike: Callable[[np.ndarray, np.ndarray, float], bool] = similar) -> dict[int, int]:
     """A star for each local component: id to the smallest id of its component. own fills the tree and, if there are no
     others, is searched as well; else only others are searched."""
     tree, parent = BkTree(), {}
@@ -113,7 +123,7 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
         for items in tree.within(fp, radius):
             for j, other in items:
                 a, b = find(i), find(j)
-                if a != b and (sketch is None or similar(sketch, other, similarity)):
+                if a != b and (sketch is None or alike(sketch, other, similarity)):
                     parent[max(a, b)] = min(a, b)
 
     for i, fp, sketch in own:
@@ -127,12 +137,12 @@ def _local_links(own: list[Member], others: list[Member], radius: int, similarit
     return {x: r for x in parent if (r := find(x)) != x}
 
 
-def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, tree_size: int = TREE_SIZE, tree_bytes: int = TREE_BYTES) -> DataFrame:
+def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: float = 0.0, sampled: bool = False, tree_size: int = TREE_SIZE, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """(a, b): edges between ids whose closure is that of all pairs that share a route, have fingerprints within radius,
     and, if members have sketches, at least that similarity.
 
-    members: (id, fp, sketch), the sketch being a whole set of shingle hashes or null; routes: (id, band, value), and
-    bytes if there are sketches. A shard is all members of one route. Each shard gets a BK-tree; a shard above
+    members: (id, fp, sketch), the sketch being a whole set of shingle hashes (64 bits each), a sample of one (32 bits) if
+    sampled, or null; routes: (id, band, value), and bytes if there are whole sets. A shard is all members of one route. Each shard gets a BK-tree; a shard above
     tree_size members or tree_bytes is cut into chunks by a hash, and each pair of chunks meets in a group of its own
     (one chunk's tree, the other's queries), so no tree or group grows with a hot value. Trees go to their queries
     through the shuffle: broadcasting them would bring the fingerprints of all documents to the driver. Each group
@@ -145,6 +155,8 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
     pairs = placed.select("id", "band", "value", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_with"))
     keyed = pairs.select("id", "band", "value", F.least("_own", "_with").alias("_tree"), F.greatest("_own", "_with").alias("_query"), "_own").join(members, "id")
 
+    kind = "<u4" if sampled else "<u8"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, others = None, [], []
         a: list[int] = []
@@ -152,7 +164,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
 
         def flush() -> None:
             if len(own) + len(others) > 1:
-                for x, y in _local_links(own, others, radius, similarity).items():
+                for x, y in _local_links(own, others, radius, similarity, maybe_similar if sampled else similar).items():
                     a.append(x)
                     b.append(y)
 
@@ -168,7 +180,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
                 if (now := (band, value, tree, query)) != key:
                     flush()
                     key, own, others = now, [], []
-                (own if mine == tree else others).append((i, fp & 0xFFFFFFFFFFFFFFFF, None if sketch is None else np.frombuffer(sketch, dtype="<u8")))
+                (own if mine == tree else others).append((i, fp & 0xFFFFFFFFFFFFFFFF, None if sketch is None else np.frombuffer(sketch, dtype=kind)))
             if len(a) > 20_000:
                 yield out()
         flush()
@@ -211,14 +223,14 @@ def near_duplicate_components(docs: DataFrame, *, radius: int = 2, words_per_shi
 ROUTES = np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, key, bytes, routes) of each whole text, or (key, sketch) if whole; null texts count as empty. All are
-    of the distinct shingles, so that repeats weigh in neither radius nor similarity: fp is their SimHash, key a 64-bit
-    hash that names them, the sketch their whole set, bytes its size."""
+def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, whole: bool = False) -> DataFrame:
+    """(id, text_hash, fp, key, bytes, sample, routes) of each row (id, text, text_hash), or (key, sketch) if whole; of whole
+    texts. All are of the distinct shingles, so that repeats weigh in neither radius nor similarity: fp is their SimHash,
+    key a 64-bit hash that names them, the sketch their whole set, bytes its size, the sample its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 4 << 20):
-            fps, keys, sizes, routes, sketches = [], [], [], [], []
+        for batch in sliced(batches, "text", 4 << 20):
+            fps, keys, sizes, samples, routes, sketches = [], [], [], [], [], []
             for text in texts_of(batch.column(1)):
                 distinct = np.unique(shingle_hashes(text, words_per_shingle, seed))
                 data = distinct.astype("<u8").tobytes()
@@ -228,42 +240,48 @@ def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, w
                     continue
                 fps.append(simhash(distinct))
                 sizes.append(len(data))
+                samples.append((distinct[:SAMPLE] >> np.uint64(32)).astype("<u4").tobytes())
                 routes.append([int(mix64(distinct ^ salt).min().view(np.int64)) for salt in ROUTES] if len(distinct) else [0])
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             if whole:
                 yield pa.RecordBatch.from_arrays([signed(keys), pa.array(sketches, pa.binary())], ["key", "sketch"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(keys), pa.array(sizes, pa.int64()), pa.array(routes, pa.list_(pa.int64()))], ["id", "fp", "key", "bytes", "routes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed(fps), signed(keys), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary()), pa.array(routes, pa.list_(pa.int64()))], ["id", "text_hash", "fp", "key", "bytes", "sample", "routes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "key long, sketch binary" if whole else "id long, fp long, key long, bytes long, routes array<long>")
+    return docs.select("id", "text", "text_hash").mapInArrow(run, "key long, sketch binary" if whole else "id long, text_hash long, fp long, key long, bytes long, sample binary, routes array<long>")
 
 
 def near_duplicate_groups(docs: DataFrame, *, words_per_shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group): for each id that is not the smallest of its group of near copies, that smallest id.
+    """(id, text_hash, group): for each row of an id that is not the smallest of its group of near copies, that
+    smallest id, and the xxhash64 of the row's text.
 
     Copies within `radius` bits of SimHash whose word shingles have a Jaccard similarity of `similarity` are linked, judged
     by their whole sets of shingles at any length. At that similarity fingerprints differ in ten bits, give or take three, so
     the radius passes all but some 6 in 12,000 simulated pairs, and unrelated texts (32 bits) stay out. No band of bits is sure to
     survive that; so shards are the texts that share one of six smallest shingle hashes, each with its BK-tree. Texts with
-    equal sets are one member, however many. A first search links by radius alone; only texts that it links make their
-    sets again and send them once, to meet all others of their component in a second search that judges them. Texts
-    without words form one group; null ids are in no group; an empty table gives no rows. Each id with more than one row
-    is judged as one text only if its rows agree.
+    equal sets are one member, however many. A first search links texts within the radius whose samples (the SAMPLE smallest
+    hashes of each set) put them at most MARGIN standard errors below the similarity, one in 30,000 of the pairs at 0.8
+    not among them; only texts that it links make their sets again and send them once, to meet all others of their
+    component in a second search that judges whole sets. Texts
+    without words form one group; null ids are in no group; an empty table gives no rows. Of an id with several texts,
+    each is judged by itself, and a class of copies is named by its first row's id.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
-    named = {"words_per_shingle": words_per_shingle, "id_col": id_col, "text_col": text_col}
-    signed = saved(signatures(docs, **named), "signatures")
-    classes = checkpointed(signed.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"), F.first("routes").alias("routes")))
-    routes = classes.select("id", F.posexplode("routes").alias("band", "value"))
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = saved(signatures(docs, words_per_shingle=words_per_shingle), "signatures")
+    # A class is all rows of one set of shingles; its key is its node and determines the rest.
+    least = F.min(F.struct("id", "text_hash")).alias("row")
+    classes = checkpointed(signed.groupBy("key").agg(least, *(F.any_value(c).alias(c) for c in ("fp", "bytes", "sample", "routes"))))
+    routes = classes.select(F.col("key").alias("id"), F.posexplode("routes").alias("band", "value"))
     shared = routes.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1")
     met = checkpointed(routes.join(shared.drop("_n"), ["band", "value"], "left_semi"))
-    likely = connected_components(links(classes.select("id", "fp", F.lit(None).cast("binary").alias("sketch")), met.select("id", "band", "value"), radius=radius))
-    placed = checkpointed(likely.select(F.col("node").alias("id"), "root").unionByName(likely.select(F.col("root").alias("id"), "root")).distinct())
-    again = docs.join(placed.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    sets = signatures(again, whole=True, **named).dropDuplicates(["key"])
-    members = classes.select("id", "fp", "key").join(sets, "key").select("id", "fp", "sketch")
-    together = classes.join(placed, "id").select("id", "bytes", F.lit(0).alias("band"), F.col("root").alias("value"))
+    likely = connected_components(links(classes.select(F.col("key").alias("id"), "fp", F.col("sample").alias("sketch")), met.select("id", "band", "value"), radius=radius, similarity=similarity, sampled=True))
+    placed = checkpointed(likely.select(F.col("node").alias("key"), "root").unionByName(likely.select(F.col("root").alias("key"), "root")).distinct())
+    chosen = classes.join(placed, "key").select("key", "fp", "bytes", "root", "row.id", "row.text_hash")
+    again = docs.join(chosen.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
+    sets = signatures(again, words_per_shingle=words_per_shingle, whole=True).dropDuplicates(["key"])
+    members = chosen.select("key", "fp").join(sets, "key").select(F.col("key").alias("id"), "fp", "sketch")
+    together = chosen.select(F.col("key").alias("id"), "bytes", F.lit(0).alias("band"), F.col("root").alias("value"))
     roots = connected_components(links(members, together, radius=radius, similarity=similarity))
-    rooted = classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("group"))
-    return signed.select("id", "fp", "key").join(rooted, ["fp", "key"]).filter("id <> group").select(F.col("id").alias(id_col), "group").distinct()
+    rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("_root"), F.col("row.id").alias("_least"))
+    named = rooted.join(rooted.groupBy("_root").agg(F.min("_least").alias("group")), "_root").select("key", "group")
+    return signed.select("id", "text_hash", "key").join(named, "key").filter("id <> group").select(F.col("id").alias(id_col), "text_hash", "group").distinct()
