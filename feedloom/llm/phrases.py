@@ -169,14 +169,15 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     """A mask of removed words for each document of the shard that loses any.
 
     An automaton of the passages' pieces is compiled, and every document streams through it. Around each occurrence the
-    document's windows are looked up among those of the passages by hash, and each is removed if its words are the
-    passage's, compared as text, and the passage's owner is smaller."""
+    document's windows are looked up among those of the passages by hash, and each is removed if its words are a
+    passage's, compared as text, whose owner is smaller. Parts are quoted whole, so several passages may hold a window,
+    those of larger owners too: the smallest owner's comes first, and others only where its words differ."""
     out: dict[int, np.ndarray] = {}
     if not passages:
         return out
     quoted = Windows(passages, window, window)
     keys = quoted.hashes()
-    by_key = np.argsort(keys, kind="stable")
+    by_key = np.lexsort((owners[quoted.doc], keys))
     keys = keys[by_key]
     split = [_ascii_split(t.decode()) for t in texts]
     streams = [f" {' '.join(w)} " for w in split]
@@ -194,22 +195,35 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     piece = (window + 1) // 2
     upto = np.cumsum(np.append(0, near))
     looked = np.flatnonzero(upto[np.minimum(windows.at + window - piece + 1, len(near))] > upto[windows.at])
-    place = _among(windows.hashes()[looked], keys)
-    hit = place >= 0
-    looked, place = looked[hit], by_key[place[hit]]
-    smaller = (owners[quoted.doc[place]] < ids[windows.doc[looked]]) & ~null[windows.doc[looked]]
-    looked, place = looked[smaller], place[smaller]
+    first = _among(windows.hashes()[looked], keys)
+    hit = first >= 0
+    looked, first = looked[hit], first[hit]
+    smaller = (owners[quoted.doc[by_key[first]]] < ids[windows.doc[looked]]) & ~null[windows.doc[looked]]
+    looked, first = looked[smaller], first[smaller]
     if not len(looked):
         return out
     said = [p.split(" ") for p in plain]
-    doc, passage = windows.doc[looked], quoted.doc[place]
-    at, there = windows.at[looked] - windows.first_word[doc], quoted.at[place] - quoted.first_word[passage]
+    doc, passage = windows.doc[looked], quoted.doc[by_key[first]]
+    at, there = windows.at[looked] - windows.first_word[doc], quoted.at[by_key[first]] - quoted.first_word[passage]
+
+    def among_others(i: int) -> bool:
+        """Whether a further passage of window i's hash has its words and a smaller owner."""
+        words, key = split[int(doc[i])][int(at[i]) : int(at[i]) + window], keys[first[i]]
+        for other in by_key[int(first[i]) + 1 : int(np.searchsorted(keys, key, side="right"))].tolist():
+            p = int(quoted.doc[other])
+            if owners[p] >= ids[doc[i]]:
+                return False
+            b = int(quoted.at[other] - quoted.first_word[p])
+            if said[p][b : b + window] == words:
+                return True
+        return False
+
     fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(passage) != 0) | (np.diff(at) != 1) | (np.diff(there) != 1))
     run = np.flatnonzero(fresh)
     for lo, hi in zip(run.tolist(), np.append(run[1:], len(looked)).tolist(), strict=True):
         d, words, other = int(doc[lo]), split[int(doc[lo])], said[int(passage[lo])]
         a, b, n = int(at[lo]), int(there[lo]), hi - lo
-        same = [range(n)] if words[a : a + n + window - 1] == other[b : b + n + window - 1] else [range(i, i + 1) for i in range(n) if words[a + i : a + i + window] == other[b + i : b + i + window]]
+        same = [range(n)] if words[a : a + n + window - 1] == other[b : b + n + window - 1] else [range(i, i + 1) for i in range(n) if words[a + i : a + i + window] == other[b + i : b + i + window] or among_others(lo + i)]
         for part in same:
             mask = out.setdefault(d, np.zeros(len(words), dtype=bool))
             mask[a + part.start : a + part.stop + window - 1] = True
@@ -307,7 +321,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     windows = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(name_windows, "w long, place long, least long").filter("w is not null")
     # Read twice, for what is quoted and for who needs it, but alike down to the shuffle by w, so that this runs once.
     same = Window.partitionBy("w")
-    owned = windows.withColumns({"owner": F.min("least").over(same), "_first": F.min_by("place", "least").over(same)})
+    # By owner, then place, so that both readings choose the same place whatever order the shuffle gives.
+    owned = windows.withColumn("_least", F.min(F.struct("least", "place")).over(same)).select("w", "place", "least", F.col("_least.least").alias("owner"), F.col("_least.place").alias("_first"))
     shard_of = lambda c: F.shiftright(c, 32).cast("int")
     part = F.floor(F.col("_first").bitwiseAND(F.lit((1 << 31) - 1)) / PART_WINDOWS).cast("int")
     asked = owned.filter((F.col("least") > F.col("owner")) | (F.col("place").bitwiseAND(F.lit(1 << 31)) != 0)).select("owner", shard_of("_first").alias("of"), part.alias("part"), shard_of("place").alias("shard")).distinct()

@@ -33,3 +33,47 @@ def test_many_passages_in_several_automata(monkeypatch):
     parts = [words(13, s) for s in range(30)]
     masks = run([sum(parts, [])], parts, [1] * 30)
     assert masks[0].all()
+
+
+def test_smallest_owner_of_a_window_decides():
+    a, b = words(60, 1), words(60, 2)
+    # Document 10 holds what 5 owns; a passage of 20, quoted whole, holds the same windows and arrives first.
+    masks = run([a + b], [b[:20] + a[:40], a], [20, 5])
+    assert masks[0].nonzero()[0].tolist() == list(range(60))
+
+
+def test_further_passages_of_a_hash_are_looked_at(monkeypatch):
+    a, b = words(60, 1), words(60, 2)
+    monkeypatch.setattr(phrases.Windows, "hashes", lambda self: np.full(len(self.at), 7, dtype=np.uint64))
+    masks = run([b + a], [words(30, 3), b[:40], a], [1, 2, 99])
+    assert masks[0].nonzero()[0].tolist() == list(range(40))
+
+
+def brute(docs):
+    first = {}
+    for i, text in docs:
+        w = text.split()
+        for j in range(len(w) - 12):
+            first[tuple(w[j : j + 13])] = min(first.get(tuple(w[j : j + 13]), i), i)
+    out = []
+    for i, text in docs:
+        w = text.split()
+        out.append((i, len({k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)})))
+    return sorted(out)
+
+
+def test_owners_that_quote_each_other_in_any_order(spark):
+    """Passages shared by many documents, two in a part, ids that lie in several shards, and both orders of arrival."""
+    g = np.random.default_rng(5)
+    shared = [words(40, 100 + s) for s in range(12)]
+    docs = []
+    for i in range(300):
+        parts = [words(int(g.integers(0, 30)), 1000 + i)]
+        for _ in range(4):
+            p = shared[g.integers(12)]
+            cut = int(g.integers(0, 20))
+            parts += [p[cut : cut + int(g.integers(10, 40))], words(int(g.integers(0, 8)), int(g.integers(1 << 30)))]
+        docs.append((i % 250, " ".join(sum(parts, []))))
+    for rows in (docs, docs[::-1]):
+        found = phrases.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard_bytes=20_000)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in found.collect()) == brute(docs)
