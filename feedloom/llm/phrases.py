@@ -251,7 +251,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
        a shard sends each of its distinct anchors once, a fifth of the windows. Anchors seen in two shards, or in two
        documents of one, recur.
     2. Confirmation. Windows with recurring anchors send their hash, once for each shard, with the smallest id there
-       and its place in that document. Those with two ids are confirmed; the smallest id of all shards is the owner.
+       and its part of that document. Those with two ids are confirmed; the smallest id of all shards is the owner.
     3. Quotation. Documents fall into parts of PART_WINDOWS windows. Each owner's shard quotes a part that holds confirmed
        windows once, in words, and it goes to the shards that sent one of these, each of which gets it once.
     4. Location. Each shard compiles the passages it got into an Aho-Corasick automaton and streams all its documents
@@ -288,8 +288,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         keys, least, many, at = _least(w.hashes()[fine], ids[doc], w.at[fine] - w.first_word[doc])
         order = np.lexsort((at, least))  # neighbours are alike, so they take fewer bytes in the shuffle
         keys, least, many, at = keys[order], least[order], many[order], at[order]
-        # Shard, whether another document of the shard has the window as well, and the first one's place in its document.
-        place = (table.column("shard")[0].as_py() << 32) | (many.astype(np.int64) << 31) | at
+        # Shard, whether another document of the shard has the window as well, and the first one's part of its document.
+        place = (table.column("shard")[0].as_py() << 32) | (many.astype(np.int64) << 31) | at // PART_WINDOWS
         return pa.table({"w": _signed(keys), "place": pa.array(place), "least": pa.array(least)})
 
     def quote(table: pa.Table, asked: pa.Table) -> pa.Table:
@@ -324,7 +324,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     # By owner, then place, so that both readings choose the same place whatever order the shuffle gives.
     owned = windows.withColumn("_least", F.min(F.struct("least", "place")).over(same)).select("w", "place", "least", F.col("_least.least").alias("owner"), F.col("_least.place").alias("_first"))
     shard_of = lambda c: F.shiftright(c, 32).cast("int")
-    part = F.floor(F.col("_first").bitwiseAND(F.lit((1 << 31) - 1)) / PART_WINDOWS).cast("int")
+    part = F.col("_first").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     asked = owned.filter((F.col("least") > F.col("owner")) | (F.col("place").bitwiseAND(F.lit(1 << 31)) != 0)).select("owner", shard_of("_first").alias("of"), part.alias("part"), shard_of("place").alias("shard")).distinct()
     quoted = by_shard.cogroup(asked.select("owner", "of", "part").distinct().groupBy("of")).applyInArrow(quote, "owner long, of int, part int, words binary")
     passages = asked.join(quoted, ["owner", "of", "part"]).select("shard", "owner", "words")
