@@ -29,4 +29,17 @@ OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(h
   CAST(1 + ((((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1) >> (3 - 5 * i % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
-SQL = {"op2_prefix_targets": OP2, "op4_phrase_automata": OP4, "op9_cover_tree": OP9, "op10_warc_segments": OP10}
+OP13 = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+ t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) r(k)) GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+ i AS (SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, f FROM (SELECT lang, w, f, k, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+ x AS (SELECT lang, phrase, max(f) AS longer FROM i GROUP BY ALL),
+ y AS (SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f),
+ z AS (SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS p1, array_to_string(w[cut + 1:], ' ') AS p2 FROM (SELECT *, unnest(range(1, k)) AS cut FROM y)),
+ s AS (SELECT z.lang, z.phrase, z.a, z.cut, b.f AS l, e.f AS r, n, CAST((1000::HUGEINT * a * n) // (b.f::HUGEINT * e.f) AS BIGINT) AS score FROM z JOIN g b ON b.lang = z.lang AND b.phrase = p1 JOIN g e ON e.lang = z.lang AND e.phrase = p2 JOIN t ON t.lang = z.lang),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+ SELECT lang, CAST(row_number() OVER w AS INT) AS rank, phrase, a, l, r, n, score FROM m WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000"""
+
+SQL = {"op2_prefix_targets": OP2, "op4_phrase_automata": OP4, "op9_cover_tree": OP9, "op10_warc_segments": OP10, "op13_stripes_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, covertree, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
+from feedloom.llm import chat, collocations, covertree, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
 from feedloom.llm.common import read
 from feedloom.llm.tokens import BYTE_BPE, vocabulary_path
 
@@ -68,6 +68,10 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_pieces": op1_suffix_pieces,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_cover_tree": op9_cover_tree,
         "op10_warc_segments": op10_warc_segments,
+        "op13_stripes_collocations": op13_stripes_collocations,
     }
 
 
