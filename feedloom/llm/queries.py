@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, collocations, covertree, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
+from feedloom.llm import chat, collocations, covertree, merkle, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
 from feedloom.llm.common import read
 from feedloom.llm.tokens import BYTE_BPE, vocabulary_path
 
@@ -68,6 +68,19 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TAMPER_EVERY = 5
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPER_EVERY == 0
+    tampered = F.when(picked, F.translate("text", CAPITALS, CAPITALS.lower())).otherwise(F.col("text"))
+    found = merkle.manifest(read(spark, sf_dir, "documents"), presented={"text": tampered})
+    root = merkle.folded(F.col("path"), F.col("shown"))
+    proof = F.sha2(merkle.siblings_of(F.col("path")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -84,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_cover_tree": op9_cover_tree,
         "op10_warc_segments": op10_warc_segments,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op13_stripes_collocations": op13_stripes_collocations,
     }
 
