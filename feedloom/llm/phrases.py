@@ -27,6 +27,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE, _FACTOR = 0x5851F42D4C957F2D, np.uint64(0xD1342543DE82EF95)
 _STEP = 1 << 20
+#: What of an anchor's hash is sent; anchors that share it send more windows than need be.
+_ANCHOR_BITS = np.uint64((1 << 56) - 1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -276,14 +278,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         fine = ~null[w.doc]
         keys, _, many, _ = _least(w.anchors()[fine], ids[w.doc[fine]])
         # The last bit tells that two documents of the shard have the anchor. Packed rows take fewer bytes in a shuffle.
-        return pa.table({"a": _signed(keys), "place": pa.array(table.column("shard")[0].as_py() * 2 + many)})
+        return pa.table({"a": _signed(keys & _ANCHOR_BITS), "place": pa.array(table.column("shard")[0].as_py() * 2 + many)})
 
     def name_windows(table: pa.Table, recurring: pa.Table) -> pa.Table:
         if not table.num_rows or not recurring.num_rows:
             return pa.table({"w": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
         ids, null, texts = _shard(table)
         w = Windows(texts, window, anchor)
-        fine = (_among(w.anchors(), np.sort(_unsigned(recurring.column("a")))) >= 0) & ~null[w.doc]
+        fine = (_among(w.anchors() & _ANCHOR_BITS, np.sort(_unsigned(recurring.column("a")))) >= 0) & ~null[w.doc]
         doc = w.doc[fine]
         keys, least, many, at = _least(w.hashes()[fine], ids[doc], w.at[fine] - w.first_word[doc])
         order = np.lexsort((at, least))  # neighbours are alike, so they take fewer bytes in the shuffle
@@ -293,10 +295,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table({"w": _signed(keys), "place": pa.array(place), "least": pa.array(least)})
 
     def quote(table: pa.Table, asked: pa.Table) -> pa.Table:
-        found = list(quotes(*_shard(table), window, asked.column("owner").to_numpy(), asked.column("part").to_numpy())) if table.num_rows and asked.num_rows else []
+        parts = asked.column("first").to_numpy() & ((1 << 31) - 1)
+        found = list(quotes(*_shard(table), window, asked.column("owner").to_numpy(), parts)) if table.num_rows and asked.num_rows else []
         owners, parts, words = zip(*found, strict=True) if found else ((), (), ())
-        of = table.column("shard")[0].as_py() if table.num_rows else 0
-        return pa.table({"owner": pa.array(owners, pa.int64()), "of": pa.array([of] * len(found), pa.int32()), "part": pa.array(parts, pa.int32()), "words": pa.array(words, pa.binary())})
+        of = table.column("shard")[0].as_py() << 32 if table.num_rows else 0
+        return pa.table({"owner": pa.array(owners, pa.int64()), "first": pa.array([of | part for part in parts], pa.int64()), "words": pa.array(words, pa.binary())})
 
     def locate(table: pa.Table, passages: pa.Table) -> pa.Table:
         ids, null, texts = _shard(table) if table.num_rows else (np.empty(0, np.int64), np.empty(0, bool), [])
@@ -322,12 +325,12 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     # Read twice, for what is quoted and for who needs it, but alike down to the shuffle by w, so that this runs once.
     same = Window.partitionBy("w")
     # By owner, then place, so that both readings choose the same place whatever order the shuffle gives.
-    owned = windows.withColumn("_least", F.min(F.struct("least", "place")).over(same)).select("w", "place", "least", F.col("_least.least").alias("owner"), F.col("_least.place").alias("_first"))
+    owned = windows.withColumn("_least", F.min(F.struct("least", "place")).over(same)).select("w", "place", "least", F.col("_least.least").alias("owner"), F.col("_least.place").bitwiseAND(F.lit(~(1 << 31))).alias("first"))
     shard_of = lambda c: F.shiftright(c, 32).cast("int")
-    part = F.col("_first").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    asked = owned.filter((F.col("least") > F.col("owner")) | (F.col("place").bitwiseAND(F.lit(1 << 31)) != 0)).select("owner", shard_of("_first").alias("of"), part.alias("part"), shard_of("place").alias("shard")).distinct()
-    quoted = by_shard.cogroup(asked.select("owner", "of", "part").distinct().groupBy("of")).applyInArrow(quote, "owner long, of int, part int, words binary")
-    passages = asked.join(quoted, ["owner", "of", "part"]).select("shard", "owner", "words")
+    asked = owned.filter((F.col("least") > F.col("owner")) | (F.col("place").bitwiseAND(F.lit(1 << 31)) != 0)).select("owner", "first", shard_of("place").alias("shard")).distinct()
+    wanted = asked.select("owner", "first").distinct()
+    quoted = by_shard.cogroup(wanted.groupBy(shard_of("first").alias("of"))).applyInArrow(quote, "owner long, first long, words binary")
+    passages = asked.join(quoted, ["owner", "first"]).select("shard", "owner", "words")
     result = by_shard.cogroup(passages.groupBy("shard")).applyInArrow(locate, ", ".join(["_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", *(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))]))
     names = [F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
     return result.select(*names, *(["kept_text"] if with_text else []), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
