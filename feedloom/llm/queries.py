@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, collocations, covertree, merkle, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, warc
+from feedloom.llm import chat, collocations, covertree, merkle, oracles, packing, phrases, pieces, quality, sharding, simhash, simple8b, toxicity, warc
 from feedloom.llm.common import read
 from feedloom.llm.tokens import BYTE_BPE, vocabulary_path
 
@@ -81,6 +81,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+HELD_OUT_EVERY = 5
+
+
+def op12_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_EVERY == 0
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op13_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -98,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_cover_tree": op9_cover_tree,
         "op10_warc_segments": op10_warc_segments,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_toxic_lexicon": op12_toxic_lexicon,
         "op13_stripes_collocations": op13_stripes_collocations,
     }
 
