@@ -101,8 +101,10 @@ class Matcher:
 
 
 def features(found: dict[int, float], stream: str) -> tuple[float, float]:
-    """Of hits in a folded text: (weight for each hundred words, on a log scale; highest weight)."""
-    return math.log1p(100 * sum(found.values()) / (stream.count(" ") - 1 + LENGTH_FLOOR)), max(found.values(), default=0.0)
+    """Of hits in a folded text: their weights, and the squares of these, for each hundred words, on a log scale. Squares
+    tell a few sure hits from many faint ones; both fall with length, so one hit in a long text is little."""
+    size = stream.count(" ") - 1 + LENGTH_FLOOR
+    return math.log1p(100 * sum(found.values()) / size), math.log1p(100 * sum(w * w for w in found.values()) / size)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -185,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict:
         for batch in batches:
             streams = [(fold(text), label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             found = [features(matcher.hits(stream, label), stream) for stream, label in streams]
-            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), batch.column(1)], names=["density", "highest", "label"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), batch.column(1)], names=["weight", "square", "label"])
 
-    x = np.array(sorted(tuple(r) for r in rows.mapInArrow(measured, "density double, highest double, label int").collect()), dtype=np.float64)
+    x = np.array(sorted(tuple(r) for r in rows.mapInArrow(measured, "weight double, square double, label int").collect()), dtype=np.float64)
     return {"entries": entries, "exceptions": exceptions, "sizes": sizes, "coefficients": logistic(x[:, :2], x[:, 2]).tolist()}
 
 
@@ -209,8 +211,8 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             for text in batch.column(1).to_pylist():
                 stream = fold(text)
                 found = matcher.hits(stream)
-                density, highest = features(found, stream)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b[0] + b[1] * density + b[2] * highest)))))
+                weight, square = features(found, stream)
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b[0] + b[1] * weight + b[2] * square)))))
                 hits.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int64()), *batch.columns[2:]], names=["_id", "score", "n_hits", *(f"_c{i}" for i in range(len(carry)))])
 
