@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import similarity as sim
+from feedloom.operators import neighbours
 
 Transform = Callable[[DataFrame], DataFrame]
 KEYS = ["source_name", "external_id"]
@@ -66,19 +67,22 @@ def or_candidates(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, C
     return out.distinct()
 
 
-def _keyed(rows: DataFrame, incoming: bool) -> DataFrame:
-    """(id, kind, key, feature): a row for each way in which a row may meet candidates: 0 fingerprint, 1 company,
-    2 title (lower case), 3 vector. Incoming rows with a vector look for near ones only; stored rows are found by all that they have."""
+def _keyed(rows: DataFrame, incoming: bool, pivots: neighbours.Pivots, distance: float) -> DataFrame:
+    """(id, kind, key, feature, vector): a row for each way in which a row may meet candidates: 0 fingerprint, 1 company,
+    2 title (lower case), 3 the cell of a vector. Incoming rows with a vector look for near ones only, in each cell that they reach;
+    stored rows are found by all that they have."""
     from feedloom.functions.places import normal_place
 
     place = F.lower(normal_place(F.nullif(F.col("location"), F.lit(""))))
-    vector = F.col("embedding").cast("array<double>") if "embedding" in rows.columns else F.lit(None).cast("array<double>")
     feature = F.struct(F.col("fingerprint").alias("fingerprint"), F.lower("company").alias("company"), place.alias("place"), F.col("salary_min").cast("double").alias("low"), F.col("salary_max").cast("double").alias("high"))
-    known = F.when(vector.isNotNull(), F.lit("vector"))
+    vector = F.col("embedding").cast("array<double>") if "embedding" in rows.columns else F.lit(None).cast("array<double>")
     texts = [F.when(vector.isNull(), c) if incoming else c for c in (F.col("fingerprint"), F.lower("company"), F.lower("title"))]
-    keys = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate([*texts, known])))
-    out = rows.select("id", feature.alias("feature"), vector.alias("_v"), F.explode(keys).alias("_k")).filter("_k.key is not null")
-    return out.select("id", "_k.kind", "_k.key", "feature", F.when(F.col("_k.kind") == 3, F.col("_v")).alias("vector"))
+    keys = F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate(texts)))
+    said = rows.select("id", feature.alias("feature"), F.explode(keys).alias("_k")).filter("_k.key is not null").select("id", "_k.kind", "_k.key", "feature", F.lit(None).cast("array<double>").alias("vector"))
+    if "embedding" not in rows.columns:
+        return said
+    near = neighbours.with_cells(rows.select("id", feature.alias("feature"), vector.alias("vector")).filter("vector is not null"), pivots, "vector", distance if incoming else None, "key")
+    return said.unionByName(near.select("id", F.lit(3).alias("kind"), "key", "feature", "vector"))
 
 
 def _pair_ranks(a: list, b: list) -> np.ndarray:
@@ -134,9 +138,11 @@ def fingerprint_merges(incoming: DataFrame, stored: DataFrame, distance: float =
     fingerprint, company or title (lower case), all of them: a limit in no order would let the best one go. Confidence fuses fingerprint, company,
     place, salary and vector ranks; ties go to the smaller stored id. Both sides are reduced to the distinct features of
     each key, a stored one with its smallest id; they meet in blocks of bounded size, each of which gives the best of each
-    incoming feature, so no pairs are kept and no task grows with a hot key. Work is the product of the features of a key,
-    and for vectors that of a batch and the stored rows."""
-    mine, theirs = _keyed(incoming, True), _keyed(stored, False)
+    incoming feature, so no pairs are kept and no task grows with a hot key. Work is the product of the features of a key;
+    vectors meet those of the cells around pivots that the distance reaches."""
+    both = "embedding" in incoming.columns and "embedding" in stored.columns
+    pivots = neighbours.Pivots.fit(stored.filter(F.col("embedding").isNotNull()), "embedding") if both else neighbours.Pivots({})
+    mine, theirs = _keyed(incoming, True, pivots, distance), _keyed(stored, False, pivots, distance)
     key, each = ["kind", "key"], ["kind", "key", "feature", "vector"]
     a, b = mine.select(*each).distinct(), theirs.groupBy(*each).agg(F.min("id").cast("long").alias("least"))
     cuts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
