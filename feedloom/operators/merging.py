@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -85,11 +84,41 @@ def _keyed(rows: DataFrame, incoming: bool, pivots: neighbours.Pivots, distance:
     return said.unionByName(near.select("id", F.lit(3).alias("kind"), "key", "feature", "vector"))
 
 
-def _pair_ranks(a: list, b: list) -> np.ndarray:
-    """Jaro-Winkler ranks of all pairs, computed once for each distinct pair; 0 if either is null."""
-    x, y = ({v: i for i, v in enumerate(dict.fromkeys(side))} for side in (a, b))
-    ranks = np.array([[0 if u is None or v is None else max(1, math.floor((1 - sim.jaro_winkler_pair(u, v)) * 100 + 0.5)) for v in y] for u in x])
-    return ranks[np.ix_([x[u] for u in a], [y[v] for v in b])]
+def _ranks(similarities: np.ndarray) -> np.ndarray:
+    return np.maximum(1, np.floor((1 - similarities) * 100 + 0.5))
+
+
+def _fused(ranks: list[np.ndarray]) -> np.ndarray:
+    """Reciprocal rank fusion; a rank of 0 is unknown and left out."""
+    return sum(np.where(r > 0, (sim.RRF_K + 1.0) / (sim.RRF_K + r), 0.0) for r in ranks) / sum((r > 0).astype(int) for r in ranks)
+
+
+class _Names:
+    """One name of each row on both sides: bounds of the ranks of all pairs, and exact ranks where they are asked for."""
+
+    def __init__(self, a: list[str | None], b: list[str | None]) -> None:
+        self.sides, self.at = [], []
+        for side in (a, b):
+            numbers = {v: i for i, v in enumerate(dict.fromkeys(v for v in side if v is not None))}
+            self.sides.append(list(numbers))
+            self.at.append(np.array([-1 if v is None else numbers[v] for v in side], dtype=np.int64))
+        x, y = self.sides
+        least = _ranks(sim.jaro_winkler_bounds(x, y)) if x and y else np.zeros((len(x), len(y)))
+        known = np.zeros((len(x) + 1, len(y) + 1))  # the last row and column stand for no name
+        known[:-1, :-1] = least
+        self.least = known[np.ix_(self.at[0], self.at[1])]
+        self.compared: dict[int, float] = {}
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of rows i and j; each pair of names is compared once."""
+        width = len(self.sides[1]) + 1
+        p, q = self.at[0][i], self.at[1][j]
+        keys, back = np.unique(np.where((p < 0) | (q < 0), -1, p * width + q), return_inverse=True)
+        fresh = [k for k in keys.tolist() if k >= 0 and k not in self.compared]
+        if fresh:
+            found = sim.jaro_winkler_pairs([self.sides[0][k // width] for k in fresh], [self.sides[1][k % width] for k in fresh])
+            self.compared.update(zip(fresh, _ranks(found).tolist(), strict=True))
+        return np.array([self.compared.get(k, 0.0) for k in keys.tolist()])[back]
 
 
 def _cosines(a: list, b: list) -> np.ndarray:
@@ -108,8 +137,7 @@ def _best_of_block(stored: pa.Table, incoming: pa.Table, distance: float) -> pa.
         return own.slice(0, 0).append_column("confidence", pa.array([], pa.float64())).append_column("cand_id", pa.array([], pa.int64()))
     x, y = ({v: i for i, v in enumerate(dict.fromkeys(f["fingerprint"] for f in rows if f["fingerprint"] is not None))} for rows in (a, b))
     prints = np.array([-1 if f["fingerprint"] is None else y.get(f["fingerprint"], -1) for f in a])[:, None], np.array([-2 if f["fingerprint"] is None else y[f["fingerprint"]] for f in b])[None, :]
-    ranks = [np.where(prints[0] == prints[1], 1, 100)]
-    ranks += [_pair_ranks([f[c] for f in a], [f[c] for f in b]) for c in ("company", "place")]
+    names = [_Names([f[c] for f in a], [f[c] for f in b]) for c in ("company", "place")]
     number = lambda rows, c: np.array([np.nan if f[c] is None else f[c] for f in rows], dtype=np.float64)
     a_low, b_low = number(a, "low")[:, None], number(b, "low")[None, :]
     a_top, b_top = (np.where(np.isnan(t := number(rows, "high")), number(rows, "low"), t) for rows in (a, b))
@@ -117,16 +145,25 @@ def _best_of_block(stored: pa.Table, incoming: pa.Table, distance: float) -> pa.
     low, high, union = np.maximum(a_low, b_low), np.minimum(a_top, b_top), np.maximum(a_top, b_top) - np.minimum(a_low, b_low)
     with np.errstate(invalid="ignore", divide="ignore"):
         shared = np.where(high < low, 0.0, np.where(union == 0, 1.0, (high - low) / union))
-    ranks.append(np.where(np.isnan(shared), 0, np.maximum(1, np.floor((1 - np.nan_to_num(shared)) * 100 + 0.5))))
+    pay = np.where(np.isnan(shared), 0, _ranks(np.nan_to_num(shared)))
+    before, after = [np.where(prints[0] == prints[1], 1, 100)], [pay]
     near = np.ones((len(a), len(b)), dtype=bool)
     if incoming.column("kind")[0].as_py() == 3:
         alike = _cosines(incoming.column("vector").to_pylist(), stored.column("vector").to_pylist())
         near = 1 - alike < distance
-        ranks.append(np.maximum(1, np.floor((1 - alike) * 100 + 0.5)))
-    total = sum(np.where(r > 0, (sim.RRF_K + 1.0) / (sim.RRF_K + r), 0.0) for r in ranks) / sum((r > 0).astype(int) for r in ranks)
-    total = np.where(near, total, -1.0)
-    best = total.argmax(axis=1)
-    out = own.append_column("confidence", pa.array(total[np.arange(len(a)), best])).append_column("cand_id", stored.column("least").take(pa.array(best)))
+        after.append(_ranks(alike))
+    # No pair passes its bound. Names are compared for each row's most promising pair, then for all that may reach what that gave.
+    bound = np.where(near, _fused([*before, *(n.least for n in names), *after]), -1.0)
+    total = np.full(bound.shape, -1.0)
+    rows = np.arange(len(a))
+    best, todo = np.full(len(a), -1.0), (rows, bound.argmax(axis=1))
+    for _ in range(2):
+        i, j = todo
+        total[i, j] = np.where(near[i, j], _fused([*(r[i, j] for r in before), *(n.exact(i, j) for n in names), *(r[i, j] for r in after)]), -1.0)
+        best = total.max(axis=1)
+        todo = np.nonzero((bound >= best[:, None]) & near & (total < 0))
+    first = total.argmax(axis=1)
+    out = own.append_column("confidence", pa.array(total[rows, first])).append_column("cand_id", stored.column("least").take(pa.array(first)))
     return out.filter(pa.array(near.any(axis=1)))
 
 

@@ -128,6 +128,24 @@ def dedup_disposition(spark, sf_dir):
     return found.select("in_id", "cand_id", F.round("confidence", 9).alias("confidence"), "disposition")
 
 
+#: Places of similar names.
+PLACES = ["Berlin", "Bern", "Bremen", "Breda", "Murcia", "Munich", "Lund"]
+
+
+def dedup_names(spark, sf_dir):
+    """Documents of odd ids against those of even ids, with the first words of a text as the company, one of several places,
+    and pay by length; candidates share a source, so names of all kinds are compared."""
+    k = F.col("doc_id")
+    words = F.split("text", r"[ .,\n]+")
+    company = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    d = table(spark, sf_dir, "documents").select(k, "source", company.alias("company"), "n_chars")
+    place = F.get(F.array(*map(F.lit, PLACES)), (k % 8).cast("int"))
+    rows = d.select(k.alias("id"), F.col("source").alias("title"), F.when(k % 11 > 0, F.col("company")).alias("company"), place.alias("location"), F.when(k % 4 > 0, F.col("n_chars") % 40 * 1000).alias("salary_min"), F.when(k % 8 > 3, F.col("n_chars") % 40 * 1000 + 20000).alias("salary_max"))
+    rows = rows.withColumn("fingerprint", X.fingerprint(F.col("title"), F.col("company"), F.col("location")))
+    found = merging.fingerprint_merges(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"))
+    return found.select("in_id", "cand_id", F.round("confidence", 9).alias("confidence"), "disposition")
+
+
 def dedup_vectors(spark, sf_dir):
     """Vectors of odd ids against those of even ids, as listings with a company by label and pay by number."""
     k = F.col("vec_id")
@@ -149,7 +167,7 @@ def merged_listings(spark, sf_dir):
     return out.select("id", "salary_min", "location", F.array_join(F.transform("sources", lambda x: F.concat(x["name"], F.lit(":"), x["external_id"])), ",").alias("sources"), F.round("dedup_confidence", 6).alias("dedup_confidence"), F.col("_needs_score").alias("needs_score"))
 
 
-QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition, dedup_vectors, merged_listings)}
+QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition, dedup_names, dedup_vectors, merged_listings)}
 
 SQL = {
     "known_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)",
@@ -199,6 +217,23 @@ SQL["dedup_disposition"] = f"""WITH l AS (SELECT doc_id AS id, source AS title,
   CASE WHEN a.place IS NOT NULL AND b.place IS NOT NULL THEN CASE WHEN a.place = b.place THEN 1 ELSE 50 END END AS r3, {_RANK.format(_OVER)} AS r4, {_OVER} AS shared FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND (a.company = b.company OR a.title = b.title)),
  c AS (SELECT in_id, cand_id, r1, r2, r3, CASE WHEN shared IS NOT NULL THEN r4 END AS r4 FROM p), t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
 {_BEST}"""
+
+#: Jaro-Winkler of the distinct pairs (x, y) of a table: the places in y of the letters of x that match, in x's order, then
+#: transpositions against their sorted order, and the prefix of up to 4.
+_NAMED = """g AS (SELECT x, y, greatest(0, greatest(length(x), length(y)) // 2 - 1) AS reach FROM {pairs}),
+ h AS (SELECT x, y, list_reduce(range(1, length(x) + 1), lambda acc, i: list_concat(acc, list_filter(range(greatest(1, i - reach), least(length(y), i + reach) + 1), lambda j: y[j:j] = x[i:i] AND NOT list_contains(acc, j))[1:1]), []::BIGINT[]) AS hits FROM g WHERE x <> y AND x <> '' AND y <> ''),
+ o AS (SELECT x, y, len(hits)::DOUBLE AS m, len(list_filter(list_zip(hits, list_sort(hits)), lambda z: y[z[1]:z[1]] <> y[z[2]:z[2]])) / 2 AS swaps, len(list_filter(range(1, 5), lambda n: n <= length(x) AND n <= length(y) AND x[:n] = y[:n])) AS prefix FROM h),
+ q AS (SELECT x, y, CASE WHEN m > 0 THEN (m / length(x) + m / length(y) + (m - swaps) / m) / 3::DOUBLE ELSE 0 END AS jaro, m, prefix FROM o),
+ jw AS (SELECT x, y, CASE WHEN m > 0 THEN jaro + prefix * 0.1::DOUBLE * (1 - jaro) ELSE 0::DOUBLE END AS s FROM q)"""
+SQL["dedup_names"] = f"""WITH w AS (SELECT doc_id AS id, source AS title, string_split_regex(text, '[ .,\\n]+') AS w, n_chars FROM documents),
+ l0 AS (SELECT id, title, CASE WHEN id % 11 > 0 THEN concat_ws(' ', w[1], w[2]) END AS name, {PLACES}[id % 8 + 1] AS spot, CASE WHEN id % 4 > 0 THEN n_chars % 40 * 1000 END AS low, CASE WHEN id % 8 > 3 THEN n_chars % 40 * 1000 + 20000 WHEN id % 4 > 0 THEN n_chars % 40 * 1000 END AS high FROM w),
+ l AS (SELECT id, title, lower(name) AS company, lower(spot) AS place, low, high, sha256(regexp_replace(lower(coalesce(title, '') || coalesce(name, '') || coalesce(spot, '')), '[^a-z0-9]', '', 'g')) AS print FROM l0),
+ c AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.print = b.print THEN 1 ELSE 100 END AS r1, a.company AS x, b.company AS y, a.place AS u, b.place AS v, {_RANK.format(_OVER)} AS r4, {_OVER} AS shared FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND (a.company = b.company OR a.title = b.title OR a.print = b.print)),
+ n AS (SELECT DISTINCT x, y FROM c WHERE x IS NOT NULL AND y IS NOT NULL UNION SELECT DISTINCT u, v FROM c WHERE u IS NOT NULL AND v IS NOT NULL),
+ {_NAMED.format(pairs="n")},
+ k AS (SELECT in_id, cand_id, r1, CASE WHEN c.x IS NOT NULL AND c.y IS NOT NULL THEN {_RANK.format("CASE WHEN c.x = c.y THEN 1.0::DOUBLE ELSE coalesce(j.s, 0) END")} END AS r2, CASE WHEN u IS NOT NULL AND v IS NOT NULL THEN {_RANK.format("CASE WHEN u = v THEN 1.0::DOUBLE ELSE coalesce(i.s, 0) END")} END AS r3, CASE WHEN shared IS NOT NULL THEN r4 END AS r4 FROM c LEFT JOIN jw j ON j.x = c.x AND j.y = c.y LEFT JOIN jw i ON i.x = u AND i.y = v),
+ t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM k QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
+{_BEST}"""
 SQL["dedup_vectors"] = f"""WITH l AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id % 7 * 1000 AS low, CASE WHEN vec_id % 3 > 0 THEN vec_id % 7 * 1000 + 3000 ELSE vec_id % 7 * 1000 END AS high FROM embeddings),
  p AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.id // 4 = b.id // 4 THEN 1 ELSE 100 END AS r1, {_RANK.format("CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 2 / 3.0::DOUBLE + 0.1::DOUBLE * (1 - 2 / 3.0::DOUBLE) END")} AS r2, {_RANK.format(_OVER)} AS r3, {_RANK.format('1 - list_cosine_distance(a.v, b.v)')} AS r4 FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND list_cosine_distance(a.v, b.v) < 0.9),
  t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
