@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators import filters, ranking
+from feedloom.operators import filters, ranking, search
+from feedloom.operators.shared import shared_path
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +52,28 @@ def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.transform(ranking.group_counts("country"))
 
 
-QUERIES = {"feed_topk": feed_topk, "feed_page": feed_page, "feed_threshold": feed_threshold, "country_counts": country_counts}
+#: Searches: parts of words, wildcards of users, three columns, no such text, and one too short for the index.
+SEARCHES = ["erinan", "THE %nd of", "t_e tion", "src1", "und der", "no such text", "q"]
+
+
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings whose title, company or description hold a text, for several texts, by an index that is built in two steps."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("company"), F.col("text").alias("description_text"))
+    index = search.TrigramIndex(spark, shared_path(spark, "trigrams"), ["title", "company", "description_text"])
+    index.sync(docs.filter("id % 3 = 0"))
+    index.sync(docs)
+    found = [index.search(docs, q).select(F.lit(q).alias("query"), "id") for q in SEARCHES]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+QUERIES = {"text_search": text_search, "feed_topk": feed_topk, "feed_page": feed_page, "feed_threshold": feed_threshold, "country_counts": country_counts}
 
 THRESHOLD_SQL = "coalesce(round_even(quantile_cont(match_score, 0.75) FILTER (WHERE match_score >= 1), 0), 0)"
 SQL = {
+    "text_search": " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id AS id FROM documents WHERE source ILIKE '%{q}%' OR lang ILIKE '%{q}%' OR text ILIKE '%{q}%'" for q in SEARCHES),
     "feed_topk": f"""WITH f AS (SELECT * FROM ({LISTINGS_SQL}) WHERE NOT is_dismissed AND country IN ('en', 'fr') AND text ILIKE '%the%'),
  p AS (SELECT CAST({THRESHOLD_SQL} AS INT) AS p75 FROM f),
  t AS (SELECT CASE WHEN max(p75) > 0 AND count(*) FILTER (WHERE match_score >= p75) >= 20 THEN max(p75) END AS threshold FROM f, p),
