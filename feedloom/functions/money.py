@@ -45,13 +45,15 @@ def parse_salary(c: Column) -> Column:
 
 def shown_range(text: Column) -> Column:
     """struct<min,max> of the first '$a - $b' in a feed item's text; null if none."""
-    return parse_salary(F.nullif(F.regexp_extract(text, ITEM_RANGE, 0), F.lit("")))
+    return F.get(F.transform(F.array(F.nullif(F.regexp_extract(text, ITEM_RANGE, 0), F.lit(""))), parse_salary), F.lit(0))
 
 
 def labelled_range(text: Column) -> Column:
     """struct<min,max> of a range after salary, compensation or pay; a k after either number is not read."""
-    found = F.concat(F.regexp_extract(text, LABELLED_RANGE, 1), F.lit("-"), F.regexp_extract(text, LABELLED_RANGE, 2))
-    return parse_salary(F.when(F.regexp_like(text, F.lit(LABELLED_RANGE)), found))
+    # One search finds the range; the patterns that read it see that part alone.
+    found = F.regexp_extract(text, LABELLED_RANGE, 0)
+    part = lambda c, group: F.regexp_extract(c, LABELLED_RANGE, group)
+    return F.get(F.transform(F.array(found), lambda c: parse_salary(F.when(c != "", F.concat(part(c, 1), F.lit("-"), part(c, 2))))), F.lit(0))
 
 
 def summary_range(summary: Column) -> Column:

@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters of Unicode's white space.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
-    return trim_all(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def fingerprint(title: Column, company: Column, location: Column) -> Column:
@@ -228,13 +232,20 @@ JUNK = (
 def strip_boilerplate(text: Column) -> Column:
     """From the first section header on that starts in the first 70 % of the text; without one, the sentences that are
     not boilerplate."""
-    chain = F.when(text.isNull(), F.lit(None))
-    for pattern in SECTIONS:
-        at = F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})"))
-        chain = chain.when((at > 0) & (at - 1 < F.length(text) * 0.7), trim_all(F.substring(text, at, F.length(text))))
-    sentences = F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])")
-    own = F.filter(sentences, lambda s: (trim_all(s) != "") & ~trim_all(s).rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
-    return chain.otherwise(trim_all(F.array_join(own, " ")))
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])"), lambda s: F.struct(s.alias("s"), trim_all(s).alias("plain")))
+    own = F.filter(sentences, lambda s: (s["plain"] != "") & ~s["plain"].rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
+    plain = trim_all(F.array_join(F.transform(own, lambda s: s["s"]), " "))
+
+    def cut(places: Column) -> Column:
+        chain = F.when(text.isNull(), F.lit(None))
+        for i in range(len(SECTIONS)):
+            at = places[i]
+            chain = chain.when((at > 0) & (at - 1 < F.length(text) * 0.7), trim_all(F.substring(text, at, F.length(text))))
+        return chain.otherwise(plain)
+
+    # Each header is looked for once; the lambda reads what was found.
+    found = F.array(*(F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})")) for pattern in SECTIONS))
+    return F.get(F.transform(F.array(found), cut), F.lit(0))
 
 
 def relative_date(day: Column, as_of: Column) -> Column:

@@ -119,8 +119,10 @@ def greenhouse(slug: str, company: str, payload: str = "payload") -> Parser:
     def run(df: DataFrame) -> DataFrame:
         r = _rows(df, "struct<jobs array<struct<id string, title string, content string, absolute_url string, location struct<name string>, offices array<struct<name string, location string>>>>>", "jobs", payload)
         office = F.get("r.offices", F.lit(0))
-        text = X.strip_html(F.col("r.content"))
-        said = money.labelled_range(text)
+        # The text is a column of its own, so that it is made once for all that is read from it.
+        r = r.withColumn("text", X.strip_html(F.col("r.content")))
+        r = r.withColumn("said", money.labelled_range(F.col("text")))
+        text, said = F.col("text"), F.col("said")
         return _listing(r, "greenhouse", external_id=_id(f"gh-{slug}-", F.col("r.id")), title=F.col("r.title"), company=F.lit(company), source_url=F.col("r.absolute_url"), apply_url=F.col("r.absolute_url"), description_html=F.nullif("r.content", F.lit("")), description_text=_some(text, F.col("r.title")), salary_min=said["min"], salary_max=said["max"], location=_some(F.col("r.location.name"), office["location"], office["name"]), is_remote=X.infer_remote(F.col("r.location.name")))
 
     return run
@@ -169,9 +171,10 @@ def _feed_items(items: DataFrame) -> DataFrame:
     """(title, link, html, key) of feed items to listings; items without a title or link are dropped. The id is rss- and
     the first 20 characters of base64url of the key's SHA-256."""
     r = items.filter(_some(X.trim_all(F.col("title"))).isNotNull() & _some(F.col("link")).isNotNull())
-    named = titles.split_feed_title(X.trim_all(F.col("title")))
-    text = F.coalesce(X.strip_html(F.col("html")), F.lit(""))
-    said, place = money.shown_range(text), places.place_in_text(text)
+    # The text, and what is read from it, are columns of their own, so that each is made once.
+    r = r.withColumns({"_named": titles.split_feed_title(X.trim_all(F.col("title"))), "_text": F.coalesce(X.strip_html(F.col("html")), F.lit(""))})
+    r = r.withColumns({"_said": money.shown_range(F.col("_text")), "_place": places.place_in_text(F.col("_text"))})
+    named, text, said, place = (F.col(c) for c in ("_named", "_text", "_said", "_place"))
     key = F.substring(F.translate(F.base64(F.unhex(F.sha2(_some(F.col("key"), F.col("link")), 256))), "+/", "-_"), 1, 20)
     return _listing(r, "rss", external_id=F.concat(F.lit("rss-"), key), title=named["title"], company=named["company"], source_url=F.col("link"), apply_url=F.col("link"), description_html=F.nullif("html", F.lit("")), description_text=_some(text, named["title"]), salary_min=said["min"], salary_max=said["max"], location=place, is_remote=X.infer_remote(F.coalesce(place, text)))
 
