@@ -181,7 +181,7 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     keys = quoted.hashes()
     by_key = np.lexsort((owners[quoted.doc], keys))
     keys = keys[by_key]
-    split = [_ascii_split(t.decode()) for t in texts]
+    split = [_ascii_split(t) for t in texts]
     streams = [f" {' '.join(w)} " for w in split]
     starts = [np.cumsum([0, *(len(x) + 1 for x in w)]) for w in split]
     windows = Windows(texts, window, window)
@@ -232,12 +232,10 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     return out
 
 
-_TO_SPACE = str.maketrans("\t\n\v\f\r", "     ")
-
-
-def _ascii_split(text: str) -> list[str]:
-    """Words between the six ASCII white-space characters; str.split() would cut at others as well."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+def _ascii_split(text: bytes) -> list[str]:
+    """Words between the six ASCII white-space characters, at which bytes are split; str.split() would cut at others as well."""
+    words = b" ".join(text.split()).decode()
+    return words.split(" ") if words else []
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
