@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,21 @@ BATCH_CHARS = 8 << 20
 #: Trigrams of a pattern that are looked up, the rarest ones.
 LOOKED_UP = 4
 
-_POSTINGS = "bucket int, trigram string, n int, ids array<long>"
+_POSTINGS = "bucket int, trigram string, n int, ids binary"
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids in order as the first one and the gaps, in the fewest bytes that hold every gap; the first byte tells how many."""
+    a = np.sort(np.array(ids, dtype=np.int64))
+    gaps = np.diff(a).view(np.uint64)
+    width = next(i for i, w in enumerate(_WIDTHS) if not len(gaps) or gaps.max() <= np.iinfo(w).max)
+    return bytes([width]) + a[:1].tobytes() + gaps.astype(_WIDTHS[width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    first, gaps = np.frombuffer(data, np.int64, 1, 1), np.frombuffer(data, _WIDTHS[data[0]], -1, 9)
+    return np.cumsum(np.concatenate([first, gaps.astype(np.int64)]))
 
 
 def trigrams_of(pattern: str) -> set[str]:
@@ -45,7 +60,7 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         each = sorted(held)
         ids = [held[t] for t in each]
-        return pa.RecordBatch.from_arrays([pa.array(each, pa.string()), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int64()))], names=["trigram", "n", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(each, pa.string()), pa.array([len(x) for x in ids], pa.int32()), pa.array([packed(x) for x in ids], pa.binary())], names=["trigram", "n", "ids"])
 
     for batch in batches:
         for key, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -60,10 +75,17 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for trigram, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids = unpacked(data)
+            yield pa.RecordBatch.from_arrays([pa.array([trigram] * len(ids), pa.string()), pa.array(ids, pa.int64())], names=["trigram", "_id"])
+
+
 class TrigramIndex:
     """An index below a path of columns of rows with a key.
 
-    It grows by appending: sync() indexes rows whose texts it has not seen, so work follows what is new. What a row once held
+    It grows by appending: add() takes new rows, sync() finds those whose texts it has not seen, so work follows what is new. What a row once held
     stays listed, so an index only ever finds too much, and search() checks the rule itself on the rows given to it."""
 
     def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "id") -> None:
@@ -75,16 +97,25 @@ class TrigramIndex:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def sync(self, rows: DataFrame) -> None:
-        """Adds rows that are new or have other texts. The ledger of what was added is written last: a job that fails in
-        between is made good by the next one. Rows without a key are never found."""
-        texts = [F.lower(c) for c in self.columns]
-        own = rows.select(F.col(self.key).cast("long").alias("_id"), F.array(*texts).alias("_texts")).filter("_id is not null").withColumn("_digest", F.xxhash64("_texts"))
-        new = own.join(self._read("ledger", "_id long, _digest long"), ["_id", "_digest"], "left_anti")
-        found = new.select("_id", "_texts").mapInArrow(_postings, "trigram string, n int, ids array<long>")
+    def _own(self, rows: DataFrame) -> DataFrame:
+        texts = F.array(*(F.lower(c) for c in self.columns))
+        return rows.select(F.col(self.key).cast("long").alias("_id"), texts.alias("_texts")).filter("_id is not null").withColumn("_digest", F.xxhash64("_texts"))
+
+    def _append(self, own: DataFrame) -> None:
+        found = own.select("_id", "_texts").mapInArrow(_postings, "trigram string, n int, ids binary")
         dealt = found.withColumn("bucket", F.pmod(F.xxhash64("trigram"), F.lit(BUCKETS)).cast("int"))
         dealt.repartition("bucket").sortWithinPartitions("bucket", "trigram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        new.select("_id", "_digest").write.mode("append").parquet(f"{self.path}/ledger")
+        own.select("_id", "_digest").write.mode("append").parquet(f"{self.path}/ledger")
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds rows that are known to be new, as those of an ingested batch; nothing is compared. Rows without a key are
+        never found."""
+        self._append(self._own(rows))
+
+    def sync(self, rows: DataFrame) -> None:
+        """Adds those of the rows that are new or have other texts. The ledger of what was added is written last: a job that
+        fails in between is made good by the next one."""
+        self._append(self._own(rows).join(self._read("ledger", "_id long, _digest long"), ["_id", "_digest"], "left_anti"))
 
     def _ids(self, trigrams: set[str]) -> DataFrame | None:
         """The ids that have all of the rarest trigrams; None if one of them is nowhere."""
@@ -96,7 +127,7 @@ class TrigramIndex:
         if len(sizes) < len(trigrams):
             return None
         rarest = set(sorted(sizes, key=lambda t: (sizes[t], t))[:LOOKED_UP])
-        each = of(rarest).select("trigram", F.explode("ids").alias("_id")).distinct()
+        each = of(rarest).select("trigram", "ids").mapInArrow(_listed, "trigram string, _id long").distinct()
         return each.groupBy("_id").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(rarest)).select("_id")
 
     def search(self, rows: DataFrame, query: str | None) -> DataFrame:

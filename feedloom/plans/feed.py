@@ -60,8 +60,8 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings whose title, company or description hold a text, for several texts, by an index that is built in two steps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("company"), F.col("text").alias("description_text"))
     index = search.TrigramIndex(spark, shared_path(spark, "trigrams"), ["title", "company", "description_text"])
-    index.sync(docs.filter("id % 3 = 0"))
-    index.sync(docs)
+    for part in ("id % 3 = 0", "id % 3 <> 0"):
+        index.add(docs.filter(part))
     found = [index.search(docs, q).select(F.lit(q).alias("query"), "id") for q in SEARCHES]
     out = found[0]
     for df in found[1:]:

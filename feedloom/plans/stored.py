@@ -134,13 +134,13 @@ PLACES = ["Berlin", "Bern", "Bremen", "Breda", "Murcia", "Munich", "Lund"]
 
 def dedup_names(spark, sf_dir):
     """Documents of odd ids against those of even ids, with the first words of a text as the company, one of several places,
-    and pay by length; candidates share a source, so names of all kinds are compared."""
+    and pay by length; candidates share a title by number, so names of all kinds are compared."""
     k = F.col("doc_id")
     words = F.split("text", r"[ .,\n]+")
     company = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
-    d = table(spark, sf_dir, "documents").select(k, "source", company.alias("company"), "n_chars")
+    d = table(spark, sf_dir, "documents").select(k, company.alias("company"), "n_chars")
     place = F.get(F.array(*map(F.lit, PLACES)), (k % 8).cast("int"))
-    rows = d.select(k.alias("id"), F.col("source").alias("title"), F.when(k % 11 > 0, F.col("company")).alias("company"), place.alias("location"), F.when(k % 4 > 0, F.col("n_chars") % 40 * 1000).alias("salary_min"), F.when(k % 8 > 3, F.col("n_chars") % 40 * 1000 + 20000).alias("salary_max"))
+    rows = d.select(k.alias("id"), F.concat(F.lit("Role "), F.floor(k / 64).cast("string")).alias("title"), F.when(k % 11 > 0, F.col("company")).alias("company"), place.alias("location"), F.when(k % 4 > 0, F.col("n_chars") % 40 * 1000).alias("salary_min"), F.when(k % 8 > 3, F.col("n_chars") % 40 * 1000 + 20000).alias("salary_max"))
     rows = rows.withColumn("fingerprint", X.fingerprint(F.col("title"), F.col("company"), F.col("location")))
     found = merging.fingerprint_merges(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"))
     return found.select("in_id", "cand_id", F.round("confidence", 9).alias("confidence"), "disposition")
@@ -225,7 +225,7 @@ _NAMED = """g AS (SELECT x, y, greatest(0, greatest(length(x), length(y)) // 2 -
  o AS (SELECT x, y, len(hits)::DOUBLE AS m, len(list_filter(list_zip(hits, list_sort(hits)), lambda z: y[z[1]:z[1]] <> y[z[2]:z[2]])) / 2 AS swaps, len(list_filter(range(1, 5), lambda n: n <= length(x) AND n <= length(y) AND x[:n] = y[:n])) AS prefix FROM h),
  q AS (SELECT x, y, CASE WHEN m > 0 THEN (m / length(x) + m / length(y) + (m - swaps) / m) / 3::DOUBLE ELSE 0 END AS jaro, m, prefix FROM o),
  jw AS (SELECT x, y, CASE WHEN m > 0 THEN jaro + prefix * 0.1::DOUBLE * (1 - jaro) ELSE 0::DOUBLE END AS s FROM q)"""
-SQL["dedup_names"] = f"""WITH w AS (SELECT doc_id AS id, source AS title, string_split_regex(text, '[ .,\\n]+') AS w, n_chars FROM documents),
+SQL["dedup_names"] = f"""WITH w AS (SELECT doc_id AS id, 'Role ' || doc_id // 64 AS title, string_split_regex(text, '[ .,\\n]+') AS w, n_chars FROM documents),
  l0 AS (SELECT id, title, CASE WHEN id % 11 > 0 THEN concat_ws(' ', w[1], w[2]) END AS name, {PLACES}[id % 8 + 1] AS spot, CASE WHEN id % 4 > 0 THEN n_chars % 40 * 1000 END AS low, CASE WHEN id % 8 > 3 THEN n_chars % 40 * 1000 + 20000 WHEN id % 4 > 0 THEN n_chars % 40 * 1000 END AS high FROM w),
  l AS (SELECT id, title, lower(name) AS company, lower(spot) AS place, low, high, sha256(regexp_replace(lower(coalesce(title, '') || coalesce(name, '') || coalesce(spot, '')), '[^a-z0-9]', '', 'g')) AS print FROM l0),
  c AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.print = b.print THEN 1 ELSE 100 END AS r1, a.company AS x, b.company AS y, a.place AS u, b.place AS v, {_RANK.format(_OVER)} AS r4, {_OVER} AS shared FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND (a.company = b.company OR a.title = b.title OR a.print = b.print)),

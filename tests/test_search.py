@@ -51,6 +51,11 @@ def test_empty(spark, frame, tmp_path):
     assert index.search(frame.limit(0), "needle").count() == 0 and os.path.isdir(f"{tmp_path}/i/ledger")
 
 
+def test_packed_ids():
+    for ids in ([5], [-3, 9, 9], [1, 2, 300], [0, 1 << 40], [-(1 << 62), 1 << 62], list(range(1000))):
+        assert search.unpacked(search.packed(ids[::-1])).tolist() == ids
+
+
 def test_trigrams_of_patterns():
     assert search.trigrams_of("abcd%ef_ghi") == {"abc", "bcd", "ghi"}
     assert search.trigrams_of("a\\%b") == {"a%b"} and search.trigrams_of("aé b") == set() and search.trigrams_of("ab") == set()
