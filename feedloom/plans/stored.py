@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from feedloom.functions import similarity as sim
 from feedloom.functions import text as X
 from feedloom.operators import merging, neighbours, ranking, runs
+from feedloom.operators.shared import shared_path
+from feedloom.streaming import health
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,18 @@ def source_health(spark, sf_dir):
     return rows.transform(runs.health("user_id", ["ts", "event_id"], "failed"))
 
 
+def health_of_stream(spark, sf_dir):
+    """Counters and health of users by a stream over files of about two days, in which rows come up to an hour late."""
+    folder = shared_path(spark, "health-stream")
+    made = events(spark, sf_dir).select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.pmod(F.col("event_id") * 7, F.lit(5)) < 2).alias("failed"))
+    late = F.unix_seconds("ts") + F.col("id") * 7919 % 3600
+    made.withColumn("part", F.floor(late / 172800)).repartition("part").write.partitionBy("part").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 6).parquet(f"{folder}/events")
+    # Files come in no order, so the delay is that of the whole table; streaming/health.py's tests have late rows and small delays.
+    health.health_stream(stream, f"{folder}/state", f"{folder}/checkpoint", KINDS, "60 days").awaitTermination()
+    return health.current(spark, f"{folder}/state", "bigint", KINDS).withColumnRenamed("source", "user_id")
+
+
 def errors_append(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("item", F.when(F.col("event_id") % 4 == 0, F.col("event_id")))
     out = rows.transform(runs.appended("user_id", ["ts", "event_id"], "item", "items"))
@@ -167,7 +181,7 @@ def merged_listings(spark, sf_dir):
     return out.select("id", "salary_min", "location", F.array_join(F.transform("sources", lambda x: F.concat(x["name"], F.lit(":"), x["external_id"])), ",").alias("sources"), F.round("dedup_confidence", 6).alias("dedup_confidence"), F.col("_needs_score").alias("needs_score"))
 
 
-QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition, dedup_names, dedup_vectors, merged_listings)}
+QUERIES = {f.__name__: f for f in (known_anti, closed_anti, batch_keep_first, insert_new, upserted, or_candidates, merge_sources, counters_fold, run_status, source_health, health_of_stream, errors_append, active_run, scored_in_run, vector_radius, rrf, company_join, dedup_disposition, dedup_names, dedup_vectors, merged_listings)}
 
 SQL = {
     "known_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)",
@@ -238,6 +252,7 @@ SQL["dedup_vectors"] = f"""WITH l AS (SELECT vec_id AS id, embedding::DOUBLE[] A
  p AS (SELECT a.id AS in_id, b.id AS cand_id, CASE WHEN a.id // 4 = b.id // 4 THEN 1 ELSE 100 END AS r1, {_RANK.format("CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 2 / 3.0::DOUBLE + 0.1::DOUBLE * (1 - 2 / 3.0::DOUBLE) END")} AS r2, {_RANK.format(_OVER)} AS r3, {_RANK.format('1 - list_cosine_distance(a.v, b.v)')} AS r4 FROM l a JOIN l b ON a.id % 2 = 1 AND b.id % 2 = 0 AND list_cosine_distance(a.v, b.v) < 0.9),
  t AS (SELECT in_id, cand_id, {_fused('r1 r2 r3 r4')} AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY {_fused('r1 r2 r3 r4')} DESC, cand_id) = 1)
 {_BEST}"""
+SQL["health_of_stream"] = f"SELECT * FROM ({SQL['counters_fold']}) JOIN ({SQL['source_health']}) USING (user_id)"
 SQL["merged_listings"] = """WITH i AS (SELECT doc_id AS k, doc_id // 9 * 9 AS c, source, lang, n_chars FROM documents WHERE doc_id % 3 > 0 AND doc_id % 7 > 0),
  m AS (SELECT c, arg_min(-n_chars, k) AS low, arg_min(CASE WHEN k % 4 > 0 THEN lang END, k) FILTER (WHERE k % 4 > 0) AS place, arg_max(0.9::DOUBLE + k % 10 / 1000.0::DOUBLE, k) AS conf, min(k) AS first, string_agg(source || ':' || k || CASE WHEN k = f THEN ',x:1' ELSE '' END, ',' ORDER BY k) AS s FROM (SELECT *, min(k) OVER (PARTITION BY c) AS f FROM i) GROUP BY 1)
  SELECT doc_id AS id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars END, low) AS salary_min, place AS location, source || ':' || doc_id || coalesce(',' || s, '') AS sources, round(conf, 6) AS dedup_confidence, c IS NOT NULL AND doc_id % 5 = 0 AS needs_score FROM documents LEFT JOIN m ON c = doc_id WHERE doc_id % 3 = 0"""
