@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from feedloom.functions import money, scores
 from feedloom.functions import text as X
-from feedloom.operators import filters
+from feedloom.operators import filters, skills
 from feedloom.plans.stored import table
 
 
@@ -92,7 +94,16 @@ def finite_vectors(spark, sf_dir):
     return e.select("vec_id", filters.finite_vector("v").isNotNull().alias("usable"))
 
 
-QUERIES = {f.__name__: f for f in (fingerprints, html_strip, html_sanitize, host_source, url_ids, salary_parse, salary_overlap, salary_axis, score_rows, skill_match, title_only, benefit_tags, salary_clean, salary_shown, title_filter, finite_vectors)}
+def skill_column(spark, sf_dir):
+    """Each document against a list of its own: words of it, changed in case or cut, with marks, and of other texts."""
+    w = F.split("text", r"\s+")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    own = F.array(at(0), F.translate(at(1), ascii_lowercase, ascii_uppercase), F.substring(at(2), 1, 2), F.concat(F.lit(" "), F.lower(at(3))), F.lit("of"), F.lit("Und"), F.lit("C++"), F.when(F.col("doc_id") % 7 > 0, F.substring(at(4), 2, 9)), F.lit("the"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", own.alias("skills"))
+    return skills.with_named(rows, "text", "skills", "named").select("doc_id", F.size("named").alias("n"), F.array_join("named", "|").alias("named"))
+
+
+QUERIES = {f.__name__: f for f in (fingerprints, html_strip, html_sanitize, host_source, url_ids, salary_parse, salary_overlap, salary_axis, score_rows, skill_match, skill_column, title_only, benefit_tags, salary_clean, salary_shown, title_filter, finite_vectors)}
 
 _K = "CAST(floor({} / 1000.0 + 0.5) AS BIGINT)"
 SQL = {
@@ -113,6 +124,11 @@ SQL = {
     "score_rows": """WITH v AS (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE / 96 AS s, (o_custkey % 89)::DOUBLE / 88 AS t, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 50 END AS INT) AS salary FROM orders),
  x AS (SELECT *, CAST(floor(greatest(0, least(1, (s - 0.25) / 0.5)) * 100 + 0.5) AS INT) AS skills, CAST(floor(greatest(0, least(1, (t - 0.25) / 0.5)) * 100 + 0.5) AS INT) AS experience, CAST(floor(greatest(0, least(1, (s - 0.30::DOUBLE) / (0.85::DOUBLE - 0.30::DOUBLE))) * 100 + 0.5) AS INT) AS domain FROM v)
  SELECT o_orderkey, skills, experience, salary, domain, CAST(least(100, floor((0.4::DOUBLE * skills + 0.3::DOUBLE * experience + 0.3::DOUBLE * salary) * CASE WHEN salary = 100 THEN 1.15::DOUBLE ELSE 1 END * domain / 100 + 0.5)) AS INT) AS score FROM x""",
+    "skill_column": r"""WITH w AS (SELECT doc_id, text, string_split_regex(text, '\s+') AS w FROM documents),
+ l AS (SELECT doc_id, text, list_filter([coalesce(w[1], ''), translate(coalesce(w[2], ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), substr(coalesce(w[3], ''), 1, 2), ' ' || lower(coalesce(w[4], '')), 'of', 'Und', 'C++', CASE WHEN doc_id % 7 > 0 THEN substr(coalesce(w[5], ''), 2, 9) END, 'the', ''], lambda s: s IS NOT NULL AND trim(s) <> '') AS own FROM w),
+ m AS (SELECT doc_id, list_filter(own, lambda s: CASE WHEN regexp_matches(lower(trim(s)), '[^a-z0-9\s]') THEN contains(lower(text), lower(trim(s)))
+  ELSE regexp_matches(text, CASE WHEN length(trim(s)) > 3 THEN '(?i)' ELSE '' END || '(^|[^A-Za-z0-9_])' || CASE WHEN regexp_matches(lower(trim(s)), '[^a-z0-9\s]') THEN 'x' ELSE trim(s) END || '($|[^A-Za-z0-9_])') END) AS named FROM l)
+ SELECT doc_id, CAST(len(named) AS INT) AS n, array_to_string(named, '|') AS named FROM m""",
     "skill_match": r"""SELECT doc_id, CAST(len(m) AS INT) AS n, array_to_string(m, ',') AS skills FROM (SELECT doc_id, list_filter(['the', 'of', 'tion', 'C++', 'que', 'Th', 'und', '%%%'], lambda s:
  CASE WHEN regexp_matches(s, '[^A-Za-z0-9\s]') THEN contains(lower(text), lower(s)) WHEN len(s) <= 3 THEN regexp_matches(text, '(^|[^A-Za-z0-9_])' || s || '($|[^A-Za-z0-9_])') ELSE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || s || '($|[^A-Za-z0-9_])') END) AS m FROM documents)""",
     "title_only": """WITH w AS (SELECT doc_id, lower(trim(split_part(text, chr(10), 1))) AS t, lower(trim(CASE doc_id % 3 WHEN 0 THEN split_part(text, chr(10), 1) ELSE text END)) AS d FROM documents)
