@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators import filters, ranking, search
+from feedloom.operators import filters, ranking, score_counts, search
 from feedloom.operators.shared import shared_path
 
 
@@ -52,6 +52,21 @@ def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.transform(ranking.group_counts("country"))
 
 
+def threshold_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and totals of three choices of countries, from counts that inserts, new scores and dismissals kept up to date."""
+    rows = listings(spark, sf_dir).select("id", "country", F.col("match_score").alias("score"), "is_dismissed")
+    kept = score_counts.ScoreCounts(spark, shared_path(spark, "score-counts"))
+    first, later = rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0")
+    kept.apply(score_counts.inserted(first), 0)
+    kept.apply(score_counts.inserted(later), 1)
+    scored = rows.filter("id % 5 = 0").withColumn("score", (F.coalesce("score", F.lit(3)) * 7 % 101).cast("int"))
+    kept.apply(score_counts.changed(rows, scored, "id"), 2)
+    stored = rows.withColumn("score", F.when(F.col("id") % 5 == 0, (F.coalesce("score", F.lit(3)) * 7 % 101).cast("int")).otherwise(F.col("score")))
+    kept.apply(score_counts.changed(stored, stored.filter("id % 11 = 0").withColumn("is_dismissed", F.lit(True)), "id"), 3)
+    found = [kept.threshold(c, version=4).select(F.lit(c).alias("countries"), "p75", "above", "threshold", "total") for c in ("all", "en,fr", "de")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 #: Searches: parts of words, wildcards of users, three columns, no such text, and one too short for the index.
 SEARCHES = ["erinan", "THE %nd of", "t_e tion", "src1", "und der", "no such text", "q"]
 
@@ -69,10 +84,13 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"text_search": text_search, "feed_topk": feed_topk, "feed_page": feed_page, "feed_threshold": feed_threshold, "country_counts": country_counts}
+QUERIES = {"text_search": text_search, "threshold_kept": threshold_kept, "feed_topk": feed_topk, "feed_page": feed_page, "feed_threshold": feed_threshold, "country_counts": country_counts}
 
 THRESHOLD_SQL = "coalesce(round_even(quantile_cont(match_score, 0.75) FILTER (WHERE match_score >= 1), 0), 0)"
+_KEPT = """SELECT '{0}' AS countries, max(p75) AS p75, count(*) FILTER (WHERE s >= p75) AS above, CASE WHEN max(p75) > 0 AND count(*) FILTER (WHERE s >= p75) >= 20 THEN max(p75) END AS threshold,
+ CASE WHEN max(p75) > 0 AND count(*) FILTER (WHERE s >= p75) >= 20 THEN count(*) FILTER (WHERE s >= p75) ELSE count(*) END AS total FROM k, (SELECT CAST(coalesce(round_even(quantile_cont(s, 0.75) FILTER (WHERE s >= 1), 0), 0) AS INT) AS p75 FROM k WHERE {1}) WHERE {1}"""
 SQL = {
+    "threshold_kept": f"WITH k AS (SELECT country, CASE WHEN id % 5 = 0 THEN coalesce(match_score, 3) * 7 % 101 ELSE match_score END AS s FROM ({LISTINGS_SQL}) WHERE NOT is_dismissed AND id % 11 <> 0) " + " UNION ALL ".join(_KEPT.format(*x) for x in (("all", "TRUE"), ("en,fr", "country IN ('en', 'fr')"), ("de", "country = 'de'"))),
     "text_search": " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id AS id FROM documents WHERE source ILIKE '%{q}%' OR lang ILIKE '%{q}%' OR text ILIKE '%{q}%'" for q in SEARCHES),
     "feed_topk": f"""WITH f AS (SELECT * FROM ({LISTINGS_SQL}) WHERE NOT is_dismissed AND country IN ('en', 'fr') AND text ILIKE '%the%'),
  p AS (SELECT CAST({THRESHOLD_SQL} AS INT) AS p75 FROM f),
