@@ -21,9 +21,8 @@ AXES = ("skills", "requirements", "experience", "salary")
 def matched_skills(skills: Column, text: Column) -> Column:
     """The skills that a text names: a single word as a whole word, or as a substring if it has special characters; of
     several words, at least 60 % of those that count, as substrings."""
-    low = F.lower(text)
 
-    def named(skill: Column) -> Column:
+    def named(skill: Column, low: Column) -> Column:
         words = F.filter(F.split(F.lower(skill), r"[\s&,]+"), lambda w: F.length(w) >= 2)
 
         def of(w: Column) -> Column:
@@ -35,7 +34,7 @@ def matched_skills(skills: Column, text: Column) -> Column:
 
         return let(words, of)
 
-    return F.filter(skills, named)
+    return let(F.lower(text), lambda low: F.filter(skills, lambda skill: named(skill, low)))
 
 
 def skill_percent(skills: Column, text: Column) -> Column:
@@ -73,12 +72,23 @@ def weighted(axes: Column) -> Column:
     return F.least(F.lit(100), half_up(F.when(axes["salary"] == 100, raw * SALARY_BOOST).otherwise(raw))).cast("int")
 
 
+#: The parts of the model's prompt.
+PROMPT = (
+    "A scoring system rated this candidate-job match. Review and adjust each score. Output ONLY 3 lines, no other text.\n\nInitial scores — Skills: ",
+    "/10, Requirements: ",
+    "/10, Experience: ",
+    "/10\n\nCandidate: ",
+    "\nJob: ",
+    " - ",
+    "\n\nAdjusted scores (each 0-10, adjust by at most ±2 from initial):\nSkills:",
+)
+
+
 def nudge_prompt(resume: Column, title: Column, description: Column, axes: Column) -> Column:
     """The model's prompt; description is without boilerplate."""
     tenth = lambda a: half_up(axes[a] / 10).cast("string")
-    return F.concat(
-        F.lit("A scoring system rated this candidate-job match. Review and adjust each score. Output ONLY 3 lines, no other text.\n\nInitial scores — Skills: "), tenth("skills"), F.lit("/10, Requirements: "), tenth("requirements"), F.lit("/10, Experience: "), tenth("experience"),
-        F.lit("/10\n\nCandidate: "), F.substring(resume, 1, 300), F.lit("\nJob: "), title, F.lit(" - "), F.substring(description, 1, 500), F.lit("\n\nAdjusted scores (each 0-10, adjust by at most ±2 from initial):\nSkills:"))
+    parts = [tenth("skills"), tenth("requirements"), tenth("experience"), F.substring(resume, 1, 300), title, F.substring(description, 1, 500)]
+    return F.concat(*(c for text, part in zip(PROMPT, parts, strict=False) for c in (F.lit(text), part)), F.lit(PROMPT[-1]))
 
 
 def clamped(said: Column, own: Column) -> Column:

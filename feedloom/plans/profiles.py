@@ -243,9 +243,9 @@ def retired_scores(spark, sf_dir):
     terms = retired.requirement_list(answer)
     axes = F.struct(retired.skill_percent(own, F.col("text")).alias("skills"), retired.requirement_percent(own, terms).alias("requirements"), retired.experience_axis(k % 13 / 12.0).alias("experience"), (k % 3 * 50).cast("int").alias("salary"))
     said = F.when(k % 5 == 0, "no").when(k % 5 == 1, " 9\nRequirements: 12\nExperience: 0").when(k % 5 == 2, "Skills: 3\nTech Stack: 4").otherwise(" 5\nExperience: 7")
-    d = table(spark, sf_dir, "documents").select("doc_id", axes.alias("a"), said.alias("said")).withColumn("after", retired.nudged(F.col("said"), F.col("a")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", axes.alias("a"), said.alias("said")).withColumn("after", retired.nudged(F.col("said"), F.col("a")))
     d = d.withColumn("t", retired.tiered(F.col("a"), F.col("after")))
-    return d.select("doc_id", F.col("a.skills").alias("skills"), F.col("a.requirements").alias("requirements"), retired.weighted(F.col("a")).alias("own"), F.col("t.skills").alias("t_skills"), F.col("t.requirements").alias("t_requirements"), F.col("t.experience").alias("t_experience"), retired.weighted(F.col("t")).alias("score"))
+    return d.select("doc_id", F.col("a.skills").alias("skills"), F.col("a.requirements").alias("requirements"), retired.weighted(F.col("a")).alias("own"), F.col("t.skills").alias("t_skills"), F.col("t.requirements").alias("t_requirements"), F.col("t.experience").alias("t_experience"), retired.weighted(F.col("t")).alias("score"), F.sha2(retired.nudge_prompt(F.col("text"), F.col("source"), F.col("text"), F.col("a")), 256).alias("prompt_digest"))
 
 
 QUERIES = {f.__name__: f for f in (resumes, resume_skills, resume_sections, search_preferences, scored_paths, embedding_texts, model_profiles, score_bands, benefit_lists, unknown_facts, detail_snippets, closed_listings, runs_changed, source_last_errors, seeded_sources, configured_sources, single_rows, rescored_rows, country_backfills, vector_backfills, partial_inserts, known_also_closed, nearest_few, stored_rows, route_urls, company_overlap, listing_sums, retired_scores)}
@@ -323,9 +323,11 @@ _NUDGE = "CASE WHEN {0} = 0 THEN 0 ELSE greatest(0, least(100, {0} + greatest(-1
 SQL["retired_scores"] = rf"""WITH d AS (SELECT doc_id AS k, lower(text) AS t FROM documents),
  n AS (SELECT k, regexp_matches(t, '(^|[^a-z0-9_])the($|[^a-z0-9_])')::INT + (contains(t, 'data') AND contains(t, 'que'))::INT + contains(t, 'c++')::INT + (contains(t, 'sql') AND contains(t, 'tools'))::INT + regexp_matches(t, '(^|[^a-z0-9_])und($|[^a-z0-9_])')::INT AS n FROM d),
  a AS (SELECT k, CAST(floor(n / 5.0::DOUBLE * 100 + 0.5) AS INT) AS skills, CASE WHEN k % 4 > 0 THEN 50 ELSE 0 END AS requirements, {_SCALE.format('(k % 13)::DOUBLE / 12', '0.2', '0.6', '0.2')} AS experience, k % 3 * 50 AS salary FROM n),
+ p AS (SELECT k, sha256('A scoring system rated this candidate-job match. Review and adjust each score. Output ONLY 3 lines, no other text.' || chr(10) || chr(10) || 'Initial scores — Skills: ' || CAST(floor(skills / 10.0 + 0.5) AS BIGINT) || '/10, Requirements: ' || CAST(floor(requirements / 10.0 + 0.5) AS BIGINT) || '/10, Experience: ' || CAST(floor(experience / 10.0 + 0.5) AS BIGINT)
+  || '/10' || chr(10) || chr(10) || 'Candidate: ' || text[:300] || chr(10) || 'Job: ' || source || ' - ' || text[:500] || chr(10) || chr(10) || 'Adjusted scores (each 0-10, adjust by at most ±2 from initial):' || chr(10) || 'Skills:') AS prompt_digest FROM a JOIN documents ON doc_id = k),
  b AS (SELECT *, CASE k % 5 WHEN 1 THEN 90 WHEN 2 THEN 30 ELSE 50 END AS s1, CASE k % 5 WHEN 1 THEN 100 WHEN 2 THEN 40 ELSE requirements END AS r1, CASE k % 5 WHEN 1 THEN 0 WHEN 2 THEN experience ELSE 70 END AS e1, {_SCORE.format('')} AS own FROM a),
  c AS (SELECT *, CASE WHEN k % 5 = 0 OR own < 15 THEN skills ELSE {_NUDGE.format('skills', 's1')} END AS n_skills, CASE WHEN k % 5 = 0 OR own < 15 THEN requirements ELSE {_NUDGE.format('requirements', 'r1')} END AS n_requirements, CASE WHEN k % 5 = 0 OR own < 15 THEN experience ELSE {_NUDGE.format('experience', 'e1')} END AS n_experience FROM b),
  e AS (SELECT *, {_SCORE.format('n_')} AS after FROM c),
  f AS (SELECT k, skills AS skills0, requirements AS requirements0, own, own >= 15 AND own < 45 AND after > 50 AS capped, after, n_skills, n_requirements, n_experience, salary FROM e),
  g AS (SELECT k, skills0, requirements0, own, CASE WHEN capped THEN floor(n_skills * (50 / after::DOUBLE) + 0.5) ELSE n_skills END AS skills, CASE WHEN capped THEN floor(n_requirements * (50 / after::DOUBLE) + 0.5) ELSE n_requirements END AS requirements, CASE WHEN capped THEN floor(n_experience * (50 / after::DOUBLE) + 0.5) ELSE n_experience END AS experience, CASE WHEN capped THEN floor(salary * (50 / after::DOUBLE) + 0.5) ELSE salary END AS salary FROM f)
- SELECT k AS doc_id, skills0 AS skills, CAST(requirements0 AS INT) AS requirements, CAST(own AS INT) AS own, CAST(skills AS INT) AS t_skills, CAST(requirements AS INT) AS t_requirements, CAST(experience AS INT) AS t_experience, CAST({_SCORE.format('')} AS INT) AS score FROM g"""
+ SELECT k AS doc_id, skills0 AS skills, CAST(requirements0 AS INT) AS requirements, CAST(own AS INT) AS own, CAST(skills AS INT) AS t_skills, CAST(requirements AS INT) AS t_requirements, CAST(experience AS INT) AS t_experience, CAST({_SCORE.format('')} AS INT) AS score, prompt_digest FROM g JOIN p USING (k)"""
