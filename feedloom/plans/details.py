@@ -44,6 +44,40 @@ def company_facts(spark, sf_dir):
     return s.select("s_suppkey", companies.facts(F.when(F.col("s_suppkey") % 3 > 0, text).otherwise(F.col("b"))).alias("f")).select("s_suppkey", "f.*")
 
 
+#: Sentences that state a fact in each of its forms, K a number, and what must be read from them.
+FACT_FORMS = [
+    ("funding", "It has total funding of $K.5B over 7 rounds.", "$K.5B (7 rounds)"),
+    ("funding", "Funding $KM so far.", "$KM"),
+    ("funding", "A Series B funding round of $K million closed.", "Series B ($KM)"),
+    ("funding", "They raised $K billion.", "$KB raised"),
+    ("funding", "The firm K is publicly traded.", "Public"),
+    ("growth", "Revenue grew from $KM to $9M last year.", "$KM to $9M"),
+    ("growth", "Its $KM revenue is up from $3M. More.", "$KM revenue is up from $3M"),
+    ("growth", "An ARR of $KM was told. More.", "ARR of $KM was told"),
+    ("growth", "They doubled headcount in K months. More.", "doubled headcount in K months"),
+    ("growth", "Saw K% YoY. More.", "K% YoY"),
+    ("news", "Investors are valuing the company at $K billion. More.", "valuing the company at $K billion"),
+    ("news", "Last week it acquired the firm number K. More.", "acquired the firm number K"),
+    ("industry", "K is a leading cloud storage/backup provider.", "Cloud Storage/Backup"),
+    ("industry", "K, the payments industry leader.", "Payments"),
+    ("industry", "K specializes in robot arms.", "Robot Arms"),
+    ("size", "About K-9,000 employees.", "K-9,000 employees"),
+    ("size", "Some K people work there.", "K employees"),
+    ("size", "It has K staff.", "K employees"),
+    ("rating", "An overall rating is 3.9 by K.", "3.9 / 5.0"),
+    ("rating", "Nothing is said of K.", "Unknown"),
+]
+
+
+def company_fact_forms(spark, sf_dir):
+    """Each supplier with a sentence in one of the forms."""
+    k = F.col("s_suppkey")
+    form = F.get(F.array(*(F.struct(F.lit(f).alias("fact"), F.lit(t).alias("text")) for f, t, _ in FACT_FORMS)), (k % len(FACT_FORMS)).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(k, form["fact"].alias("fact"), F.replace(form["text"], F.lit("K"), k.cast("string")).alias("text")).withColumn("f", companies.facts(F.col("text")))
+    value = F.coalesce(*(F.when(F.col("fact") == f, F.col("f")[f]) for f in companies.FACTS))
+    return rows.select("s_suppkey", "fact", value.alias("value"))
+
+
 def job_pages(spark, sf_dir):
     """Pages' addresses as they are, and as those of two boards."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -117,7 +151,7 @@ def refreshed_listings(spark, sf_dir):
     return out.select("external_id", "salary_min", F.col("closed_at").isNull().alias("is_open"), F.col("_needs_score").alias("needs_score"))
 
 
-QUERIES = {f.__name__: f for f in (feed_titles, boilerplate, benefit_lines, company_facts, job_pages, page_descriptions, catalog_sources, eligible_sources, error_types, relative_dates, partial_scores, enrich_round, refreshed_listings)}
+QUERIES = {f.__name__: f for f in (feed_titles, boilerplate, benefit_lines, company_facts, company_fact_forms, job_pages, page_descriptions, catalog_sources, eligible_sources, error_types, relative_dates, partial_scores, enrich_round, refreshed_listings)}
 
 
 def _matches(patterns: tuple[str, ...]) -> str:
@@ -143,6 +177,7 @@ SQL = {
  SELECT doc_id, sha256(CASE WHEN pos IS NOT NULL THEN {_TRIMMED.format('substr(text, pos)')} ELSE {_TRIMMED.format("array_to_string(list_filter(parts, lambda x: " + _TRIMMED.format('x') + " <> '' AND NOT regexp_matches(" + _TRIMMED.format('x') + ", '(?i)" + _JUNK + "')), ' ')")} END) AS digest FROM s""",
     "company_facts": """SELECT s_suppkey, CASE WHEN k THEN '4.2 / 5.0' ELSE 'Unknown' END AS rating, CASE WHEN k THEN s_suppkey || '0 employees' ELSE 'Unknown' END AS size, CASE WHEN k THEN '$' || s_suppkey || 'M raised' ELSE 'Unknown' END AS funding,
  CASE WHEN k THEN 'Revenue of $' || s_suppkey || 'M' ELSE 'Unknown' END AS growth, CASE WHEN k THEN 'raised $' || s_suppkey || ' million' ELSE 'Unknown' END AS news, CASE WHEN k THEN 'Data/Ai' ELSE 'Unknown' END AS industry FROM (SELECT s_suppkey, s_suppkey % 3 > 0 AS k FROM supplier)""",
+    "company_fact_forms": "SELECT s_suppkey, " + ", ".join(f"CASE s_suppkey % {len(FACT_FORMS)} {' '.join(f'WHEN {i} THEN ' + repr(form[c]) for i, form in enumerate(FACT_FORMS))} END" for c in (0, 2)).replace(" END, CASE", " END AS fact, replace(CASE") + ", 'K', CAST(s_suppkey AS VARCHAR)) AS value FROM supplier",
     "job_pages": f"""SELECT page_id, NOT {_matches(urls.NOISE_PAGES)} AND NOT {_matches(urls.SEARCH_PAGES)} AND {_matches(urls.JOB_PAGES)} AS is_job
  FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://www.linkedin.com/jobs/view/dev-' || page_id WHEN 1 THEN url || '/jobs/12345' ELSE url END AS u FROM pages)""",
     "catalog_sources": f"{_NATIONS} SELECT name, type, mode, c_nationkey IS NOT NULL AS is_configured, coalesce(is_enabled, type = 'open') AS is_active FROM c LEFT JOIN s ON c_nationkey = n_nationkey WHERE near",
