@@ -151,7 +151,22 @@ def refreshed_listings(spark, sf_dir):
     return out.select("external_id", "salary_min", F.col("closed_at").isNull().alias("is_open"), F.col("_needs_score").alias("needs_score"))
 
 
-QUERIES = {f.__name__: f for f in (feed_titles, boilerplate, benefit_lines, company_facts, company_fact_forms, job_pages, page_descriptions, catalog_sources, eligible_sources, error_types, relative_dates, partial_scores, enrich_round, refreshed_listings)}
+def reopened_listings(spark, sf_dir):
+    """Stored documents of which every third is said anew by its own source: closed ones reopen, missing pay is taken, and
+    the source's attribution is added where others have it only."""
+    k = F.col("doc_id")
+    entry = lambda name, number: F.struct(name.alias("name"), number.alias("external_id"))
+    own, other = entry(F.col("source"), k.cast("string")), entry(F.lit("x"), F.col("source"))
+    d = table(spark, sf_dir, "documents")
+    sources = F.when(k % 5 == 0, F.array(own, other)).when(k % 5 < 4, F.array(other))
+    stored = d.select(k.alias("id"), F.col("source").alias("source_name"), k.cast("string").alias("external_id"), F.when(k % 2 == 0, F.col("n_chars")).alias("salary_min"), F.when(k % 4 == 0, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).alias("closed_at"), F.when(k % 7 > 0, 1).alias("match_score"), sources.alias("sources"))
+    incoming = d.filter("doc_id % 3 = 0").select(F.col("source").alias("source_name"), k.cast("string").alias("external_id"), (-F.col("n_chars")).alias("salary_min"), k.alias("position"))
+    out = merging.refreshed(stored, incoming, "position", columns=["salary_min"])
+    said = F.array_join(F.transform("sources", lambda x: F.concat(x["name"], F.lit(":"), x["external_id"])), ",")
+    return out.select("id", "salary_min", F.col("closed_at").isNull().alias("is_open"), said.alias("sources"), F.col("_needs_score").alias("needs_score"))
+
+
+QUERIES = {f.__name__: f for f in (feed_titles, boilerplate, benefit_lines, company_facts, company_fact_forms, job_pages, page_descriptions, catalog_sources, eligible_sources, error_types, relative_dates, partial_scores, enrich_round, refreshed_listings, reopened_listings)}
 
 
 def _matches(patterns: tuple[str, ...]) -> str:
@@ -193,6 +208,8 @@ SQL = {
  t AS (SELECT *, due AND id % 7 > 0 AS tried, due AND id % 7 > 0 AND id % 2 = 0 AS got FROM d)
  SELECT id, CASE WHEN got THEN sha256(text) END AS digest, CASE WHEN got AND coalesce(low, 0) = 0 THEN 5 ELSE low END AS salary_min, CASE WHEN got AND id % 8 > 0 THEN 7::DOUBLE END AS salary_max,
  CAST(CASE WHEN got THEN 77 ELSE id % 100 END AS INT) AS match_score, partial AND NOT tried AS partial, CASE WHEN due THEN TRUE WHEN id % 5 < 2 THEN FALSE END AS stamped FROM t""",
+    "reopened_listings": """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN n_chars WHEN doc_id % 3 = 0 THEN -n_chars END AS salary_min, doc_id % 4 > 0 OR doc_id % 3 = 0 AS is_open,
+ CASE WHEN doc_id % 5 = 0 THEN source || ':' || doc_id || ',x:' || source WHEN doc_id % 5 < 4 THEN 'x:' || source || CASE WHEN doc_id % 3 = 0 THEN ',' || source || ':' || doc_id ELSE '' END WHEN doc_id % 3 = 0 THEN source || ':' || doc_id END AS sources, doc_id % 3 = 0 AND doc_id % 7 = 0 AS needs_score FROM documents""",
     "refreshed_listings": """WITH l AS (SELECT l_orderkey, first(round(l_extendedprice, 2) ORDER BY l_linenumber, l_extendedprice) FILTER (WHERE l_linenumber > 1) AS low FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
  SELECT o_orderkey AS external_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) END, low) AS salary_min, l_orderkey IS NOT NULL OR o_orderkey % 2 <> 0 OR o_orderdate IS NULL AS is_open, l_orderkey IS NOT NULL AND o_orderkey % 5 = 0 AS needs_score
  FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
