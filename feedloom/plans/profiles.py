@@ -248,7 +248,17 @@ def retired_scores(spark, sf_dir):
     return d.select("doc_id", F.col("a.skills").alias("skills"), F.col("a.requirements").alias("requirements"), retired.weighted(F.col("a")).alias("own"), F.col("t.skills").alias("t_skills"), F.col("t.requirements").alias("t_requirements"), F.col("t.experience").alias("t_experience"), retired.weighted(F.col("t")).alias("score"), F.sha2(retired.nudge_prompt(F.col("text"), F.col("source"), F.col("text"), F.col("a")), 256).alias("prompt_digest"))
 
 
-QUERIES = {f.__name__: f for f in (resumes, resume_skills, resume_sections, search_preferences, scored_paths, embedding_texts, model_profiles, score_bands, benefit_lists, unknown_facts, detail_snippets, closed_listings, runs_changed, source_last_errors, seeded_sources, configured_sources, single_rows, rescored_rows, country_backfills, vector_backfills, partial_inserts, known_also_closed, nearest_few, stored_rows, route_urls, company_overlap, listing_sums, retired_scores)}
+def search_addresses(spark, sf_dir):
+    """Nations' names as searches, some blank, over two routes, of which one has no address for every third."""
+    k = F.col("n_nationkey")
+    base, other = F.lit("https://hub.example//"), F.when(k % 3 > 0, "https://more.example")
+    routes = {"linkedin": lambda q: urls.rsshub_feed(q, base), "more": lambda q: urls.rsshub_feed(q, other, F.lit("7"), job_types="full")}
+    n = table(spark, sf_dir, "nation").select(k, F.when(k % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("n_name"))).alias("query"))
+    feeds = F.map_entries(urls.search_feeds(F.col("query"), routes))
+    return n.select("n_nationkey", F.size(feeds).alias("n"), F.array_join(F.transform(feeds, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("feeds"))
+
+
+QUERIES = {f.__name__: f for f in (search_addresses, resumes, resume_skills, resume_sections, search_preferences, scored_paths, embedding_texts, model_profiles, score_bands, benefit_lists, unknown_facts, detail_snippets, closed_listings, runs_changed, source_last_errors, seeded_sources, configured_sources, single_rows, rescored_rows, country_backfills, vector_backfills, partial_inserts, known_also_closed, nearest_few, stored_rows, route_urls, company_overlap, listing_sums, retired_scores)}
 
 _AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 _WORDS = "string_split(regexp_replace(text, '[^A-Za-z0-9]+', ',', 'g'), ',')"
@@ -320,6 +330,8 @@ SQL["unknown_facts"] = r"""WITH d AS (SELECT doc_id % 2 = 0 AS a, doc_id % 3 = 0
  SELECT count(*) FILTER (WHERE NOT b) AS unknown_rating, count(*) FILTER (WHERE NOT a) AS unknown_size, count(*) FILTER (WHERE NOT c) AS unknown_funding, count(*) AS unknown_growth, count(*) FILTER (WHERE NOT news) AS unknown_news, count(*) AS unknown_industry, count(*) FILTER (WHERE a OR b OR news) AS kept_long FROM d"""
 _SCORE = "least(100, floor(({0}skills * 0.35::DOUBLE + {0}requirements * 0.25::DOUBLE + {0}experience * 0.20::DOUBLE + salary * 0.20::DOUBLE) * CASE WHEN salary = 100 THEN 1.15::DOUBLE ELSE 1 END + 0.5))"
 _NUDGE = "CASE WHEN {0} = 0 THEN 0 ELSE greatest(0, least(100, {0} + greatest(-10, least(10, {1} - {0})))) END"
+SQL["search_addresses"] = """WITH q AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 > 0 THEN replace(n_name, ' ', '%20') END AS q FROM nation)
+ SELECT k AS n_nationkey, CAST(CASE WHEN q IS NULL THEN 0 WHEN k % 3 > 0 THEN 2 ELSE 1 END AS INT) AS n, CASE WHEN q IS NULL THEN '' ELSE 'linkedin=https://hub.example/linkedin/jobs/all/all/' || q || CASE WHEN k % 3 > 0 THEN '|more=https://more.example/linkedin/jobs/full/all/' || q || '?geoId=7' ELSE '' END END AS feeds FROM q"""
 SQL["retired_scores"] = rf"""WITH d AS (SELECT doc_id AS k, lower(text) AS t FROM documents),
  n AS (SELECT k, regexp_matches(t, '(^|[^a-z0-9_])the($|[^a-z0-9_])')::INT + (contains(t, 'data') AND contains(t, 'que'))::INT + contains(t, 'c++')::INT + (contains(t, 'sql') AND contains(t, 'tools'))::INT + regexp_matches(t, '(^|[^a-z0-9_])und($|[^a-z0-9_])')::INT AS n FROM d),
  a AS (SELECT k, CAST(floor(n / 5.0::DOUBLE * 100 + 0.5) AS INT) AS skills, CASE WHEN k % 4 > 0 THEN 50 ELSE 0 END AS requirements, {_SCALE.format('(k % 13)::DOUBLE / 12', '0.2', '0.6', '0.2')} AS experience, k % 3 * 50 AS salary FROM n),
