@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -229,23 +230,35 @@ JUNK = (
 )
 
 
+#: Parts in lower case, one of which any match of a section's header, or of a sentence that says nothing, holds.
+SECTION_STEMS = (("what you", "what we"), ("responsibilities", "requirements", "qualifications"), ("about th", "overview", "description", "summary"), ("role", "opportunity"))
+JUNK_STEMS = ("about us", "about the company", "who we are", "our mission is", "equal opportunity employer", "do not discriminate", "you looking for", "do you love", "if you", "love to meet you")
+
+
+def _holds(low: Column, stems: tuple[str, ...]) -> Column:
+    return reduce(lambda c, s: c | F.contains(low, F.lit(s)), stems[1:], F.contains(low, F.lit(stems[0])))
+
+
 def strip_boilerplate(text: Column) -> Column:
     """From the first section header on that starts in the first 70 % of the text; without one, the sentences that are
-    not boilerplate."""
-    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])"), lambda s: F.struct(s.alias("s"), trim_all(s).alias("plain")))
-    own = F.filter(sentences, lambda s: (s["plain"] != "") & ~s["plain"].rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
-    plain = trim_all(F.array_join(F.transform(own, lambda s: s["s"]), " "))
+    not boilerplate. Patterns are searched for only in texts that hold a part of them."""
+
+    def places(low: Column) -> Column:
+        found = (F.when(_holds(low, stems), F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})"))).otherwise(0) for pattern, stems in zip(SECTIONS, SECTION_STEMS, strict=True))
+        return F.struct(F.array(*found).alias("at"), _holds(low, JUNK_STEMS).alias("junk"))
 
-    def cut(places: Column) -> Column:
+    def cut(found: Column) -> Column:
         chain = F.when(text.isNull(), F.lit(None))
         for i in range(len(SECTIONS)):
-            at = places[i]
+            at = found["at"][i]
             chain = chain.when((at > 0) & (at - 1 < F.length(text) * 0.7), trim_all(F.substring(text, at, F.length(text))))
-        return chain.otherwise(plain)
+        sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=:)\s+(?=[A-Z])"), lambda s: F.struct(s.alias("s"), trim_all(s).alias("plain")))
+        says = lambda s: ~(found["junk"] & s["plain"].rlike("(?i)" + "|".join(f"(?:{j})" for j in JUNK)))
+        own = F.filter(sentences, lambda s: (s["plain"] != "") & says(s))
+        return chain.otherwise(trim_all(F.array_join(F.transform(own, lambda s: s["s"]), " ")))
 
-    # Each header is looked for once; the lambda reads what was found.
-    found = F.array(*(F.regexp_instr(text, F.lit(f"(?i)(?:{pattern})")) for pattern in SECTIONS))
-    return F.get(F.transform(F.array(found), cut), F.lit(0))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return once(once(F.lower(text), places), cut)
 
 
 def relative_date(day: Column, as_of: Column) -> Column:
