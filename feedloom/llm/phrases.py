@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +151,9 @@ def quotes(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, o
                 yield int(ids[doc]), part, b" ".join(said)
 
 
-def _matches(streams: list[str], starts: list[np.ndarray], passages: list[str], window: int) -> list[np.ndarray]:
-    """For each document (its words, each with one space around, and the place of each word's space) the words at
-    which a piece of a passage begins. Every window of a passage holds one of its pieces, which follow each other."""
+def _matches(streams: list[str], passages: list[str], window: int) -> list[np.ndarray]:
+    """For each document (its words, each with one space around) the words at which a piece of a passage begins. Every
+    window of a passage holds one of its pieces, which follow each other."""
     import ahocorasick
 
     piece = (window + 1) // 2
@@ -164,7 +165,14 @@ def _matches(streams: list[str], starts: list[np.ndarray], passages: list[str],
     if not len(automaton):
         return [np.empty(0, np.int64) for _ in streams]
     automaton.make_automaton()
-    return [np.searchsorted(spaces, np.fromiter((end for end, _ in automaton.iter(stream)), dtype=np.int64)) - piece for stream, spaces in zip(streams, starts, strict=True)]
+    out = []
+    for stream in streams:
+        ends = np.fromiter((end for end, _ in automaton.iter(stream)), dtype=np.int64)
+        if len(ends):
+            spaces = np.flatnonzero(np.frombuffer(stream.encode("utf-32-le"), np.uint32) == 0x20)
+            ends = np.searchsorted(spaces, ends) - piece
+        out.append(ends)
+    return out
 
 
 def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, passages: list[bytes], owners: np.ndarray) -> dict[int, np.ndarray]:
@@ -181,16 +189,14 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     keys = quoted.hashes()
     by_key = np.lexsort((owners[quoted.doc], keys))
     keys = keys[by_key]
-    split = [_ascii_split(t) for t in texts]
-    streams = [f" {' '.join(w)} " for w in split]
-    starts = [np.cumsum([0, *(len(x) + 1 for x in w)]) for w in split]
+    streams = [f" {b' '.join(t.split()).decode()} " for t in texts]
     windows = Windows(texts, window, window)
     near = np.zeros(len(windows.words) + 1, dtype=bool)
     plain = [p.decode() for p in passages]
     sizes, lo = np.cumsum([len(p) for p in passages]), 0
     while lo < len(plain):
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + AUTOMATON_BYTES, side="right")))
-        for doc, hits in enumerate(_matches(streams, starts, plain[lo:hi], window)):
+        for doc, hits in enumerate(_matches(streams, plain[lo:hi], window)):
             near[hits + windows.first_word[doc]] = True
         lo = hi
     # A window is looked at if a piece begins in it early enough to lie in it.
@@ -204,26 +210,35 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     looked, first = looked[smaller], first[smaller]
     if not len(looked):
         return out
-    said = [p.split(" ") for p in plain]
+
+    # Lists of words take many times their text, so few are held at a time; a document's windows follow each other.
+    @lru_cache(maxsize=1)
+    def words_of(d: int) -> list[str]:
+        return streams[d][1:-1].split(" ")
+
+    @lru_cache(maxsize=256)
+    def said(p: int) -> list[str]:
+        return plain[p].split(" ")
+
     doc, passage = windows.doc[looked], quoted.doc[by_key[first]]
     at, there = windows.at[looked] - windows.first_word[doc], quoted.at[by_key[first]] - quoted.first_word[passage]
 
     def among_others(i: int) -> bool:
         """Whether a further passage of window i's hash has its words and a smaller owner."""
-        words, key = split[int(doc[i])][int(at[i]) : int(at[i]) + window], keys[first[i]]
+        words, key = words_of(int(doc[i]))[int(at[i]) : int(at[i]) + window], keys[first[i]]
         for other in by_key[int(first[i]) + 1 : int(np.searchsorted(keys, key, side="right"))].tolist():
             p = int(quoted.doc[other])
             if owners[p] >= ids[doc[i]]:
                 return False
             b = int(quoted.at[other] - quoted.first_word[p])
-            if said[p][b : b + window] == words:
+            if said(p)[b : b + window] == words:
                 return True
         return False
 
     fresh = np.append(True, (np.diff(doc) != 0) | (np.diff(passage) != 0) | (np.diff(at) != 1) | (np.diff(there) != 1))
     run = np.flatnonzero(fresh)
     for lo, hi in zip(run.tolist(), np.append(run[1:], len(looked)).tolist(), strict=True):
-        d, words, other = int(doc[lo]), split[int(doc[lo])], said[int(passage[lo])]
+        d, words, other = int(doc[lo]), words_of(int(doc[lo])), said(int(passage[lo]))
         a, b, n = int(at[lo]), int(there[lo]), hi - lo
         same = [range(n)] if words[a : a + n + window - 1] == other[b : b + n + window - 1] else [range(i, i + 1) for i in range(n) if words[a + i : a + i + window] == other[b + i : b + i + window] or among_others(lo + i)]
         for part in same:
@@ -232,12 +247,6 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     return out
 
 
-def _ascii_split(text: bytes) -> list[str]:
-    """Words between the six ASCII white-space characters, at which bytes are split; str.split() would cut at others as well."""
-    words = b" ".join(text.split()).decode()
-    return words.split(" ") if words else []
-
-
 def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, with_text also kept_text (the kept words joined by one
     space; the text as it is if none is removed), and the columns named in carry.
