@@ -1,5 +1,7 @@
 """Substring dedup removes what the words show, whatever the hashes say."""
 
+import hashlib
+
 import numpy as np
 
 from feedloom.llm import phrases
@@ -77,3 +79,23 @@ def test_owners_that_quote_each_other_in_any_order(spark):
     for rows in (docs, docs[::-1]):
         found = phrases.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard_bytes=20_000)
         assert sorted((r["doc_id"], r["n_removed"]) for r in found.collect()) == brute(docs)
+
+
+def test_whole_larger_sample(spark):
+    """op4's query on the 0.1-scale sample, by hashes of windows: what shows only with several shards and many owners."""
+    import duckdb
+
+    from feedloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    docs = [(i, (t or "").encode().split()) for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()]
+    first = {}
+    for i, w in docs:
+        for j in range(len(w) - 12):
+            h = hash(tuple(w[j : j + 13]))
+            first[h] = min(first.get(h, i), i)
+    got = {r["doc_id"]: r for r in queries.op4_phrase_automata(spark, sf).collect()}
+    for i, w in docs:
+        gone = {k for j in range(len(w) - 12) if first[hash(tuple(w[j : j + 13]))] < i for k in range(j, j + 13)}
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
