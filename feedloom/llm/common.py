@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -22,11 +24,30 @@ def resident(key: tuple, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task: the last one asked for. Workers outlive a stage, so keeping each
     operator's models and caches would add up."""
     if _RESIDENT[0] != key:
-        _RESIDENT[:] = [None, None]
+        let_go()
         _RESIDENT[:] = [key, make()]
     return _RESIDENT[1]
 
 
+def trimmed() -> None:
+    """Gives the system back what the allocators keep of freed memory: Python's objects, Arrow's buffers and NumPy's
+    arrays each have one of their own, and what one keeps no other can use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # not every C library has it
+        pass
+
+
+def let_go() -> None:
+    """Drops what another operator keeps in this Python worker. An executor's memory is that of its JVM, whose heap fills
+    in time, and of all its workers, so operators that keep nothing call this as each of their tasks or groups begins."""
+    if _RESIDENT[0] is not None:
+        _RESIDENT[:] = [None, None]
+        gc.collect()
+    trimmed()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -75,7 +96,8 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about most_bytes of text; one longer text makes a batch of its own."""
+    """The same rows in batches of about most_bytes of text; one longer text makes a batch of its own. Memory that is
+    free again after each goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,6 +108,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int) -> Ite
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
+            trimmed()
             at = to
 
 

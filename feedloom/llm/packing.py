@@ -32,20 +32,22 @@ def pack(docs: DataFrame, vocabulary: str, *, longest: int = 1024, end_id: int =
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, ends = with_end(*encoder(vocabulary).encode_column(batch.column(1)), end_id)
+        data, begin = memoryview(ids.tobytes()), 0
+        rows: list[tuple] = []
+        for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+            total, start = end - begin, 0
+            for length in binary_lengths(total, longest):
+                piece = data[4 * (begin + start) : 4 * (begin + start + length)]
+                rows.append((doc, start, length, bytes(piece) if with_ids else None, zlib.crc32(piece), total))
+                start += length
+            begin = end
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_column
-        for batch in sliced(batches, "_text", 8 << 20):
-            ids, ends = with_end(*encode(batch.column(1)), end_id)
-            data, begin = memoryview(ids.tobytes()), 0
-            rows: list[tuple] = []
-            for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
-                total, start = end - begin, 0
-                for length in binary_lengths(total, longest):
-                    piece = data[4 * (begin + start) : 4 * (begin + start + length)]
-                    rows.append((doc, start, length, bytes(piece) if with_ids else None, zlib.crc32(piece), total))
-                    start += length
-                begin = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
+        for batch in sliced(batches, "_text", 4 << 20):
+            yield pieces(batch)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, PIECES).select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import mix64, shared_dir, texts_of
+from feedloom.llm.common import let_go, mix64, shared_dir, texts_of
 
 #: Bytes of text in one shard of documents, on average; a longer text makes its shard larger.
 SHARD_BYTES = 4 << 20
@@ -280,6 +280,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
     dealt = rows.select(F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), "*")
 
     def name_anchors(table: pa.Table) -> pa.Table:
+        let_go()
         ids, null, texts = _shard(table)
         w = Windows(texts, window, anchor)
         fine = ~null[w.doc]
@@ -288,6 +289,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table({"a": _signed(keys & _ANCHOR_BITS), "place": pa.array(table.column("shard")[0].as_py() * 2 + many)})
 
     def name_windows(table: pa.Table, recurring: pa.Table) -> pa.Table:
+        let_go()
         if not table.num_rows or not recurring.num_rows:
             return pa.table({"w": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
         ids, null, texts = _shard(table)
@@ -302,6 +304,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table({"w": _signed(keys), "place": pa.array(place), "least": pa.array(least)})
 
     def quote(table: pa.Table, asked: pa.Table) -> pa.Table:
+        let_go()
         parts = asked.column("first").to_numpy() & ((1 << 31) - 1)
         found = list(quotes(*_shard(table), window, asked.column("owner").to_numpy(), parts)) if table.num_rows and asked.num_rows else []
         owners, parts, words = zip(*found, strict=True) if found else ((), (), ())
@@ -309,6 +312,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
         return pa.table({"owner": pa.array(owners, pa.int64()), "first": pa.array([of | part for part in parts], pa.int64()), "words": pa.array(words, pa.binary())})
 
     def locate(table: pa.Table, passages: pa.Table) -> pa.Table:
+        let_go()
         ids, null, texts = _shard(table) if table.num_rows else (np.empty(0, np.int64), np.empty(0, bool), [])
         masks = located(ids, null, texts, window, passages.column("words").to_pylist(), passages.column("owner").to_numpy()) if len(texts) else {}
         out: list[tuple] = []

@@ -184,22 +184,25 @@ def with_quality(docs: DataFrame, bands: Bands, *, piece_path: str | None = None
         raise ValueError(f"columns exist already: {sorted(clash)}; give a prefix")
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         measures = fertility(piece_path, bpe_path)
+        texts = [t or "" for t in batch.column(text_at).to_pylist()]
+        langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
+        split = [_WORDS.findall(t) for t in texts]
+        measures.learn(set().union(*split))
+        rows = []
+        for text, lang, words in zip(texts, langs, split, strict=True):
+            base = base_counts(text, words)
+            values = measures.measure(words, base[1])
+            failed = base[0] < BASE_WORDS or 100 * base[4] > BASE_REPEAT * base[0]
+            band = bands.of(lang, "" if lang in bands.by_lang else script_of(text))
+            inside = base[0] < bands.least_words or (values[0] >= band.least_chars_per_piece and values[1] >= band.least_chars_per_token and values[2] <= band.most_byte_share and values[3] >= band.least_entropy)
+            rows.append((*base, *values, not failed and inside, failed))
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [t for _, t in FIELDS] + [pa.bool_()], strict=True))], [*batch.schema.names, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col, 2 << 20):
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
-            split = [_WORDS.findall(t) for t in texts]
-            measures.learn(set().union(*split))
-            rows = []
-            for text, lang, words in zip(texts, langs, split, strict=True):
-                base = base_counts(text, words)
-                values = measures.measure(words, base[1])
-                failed = base[0] < BASE_WORDS or 100 * base[4] > BASE_REPEAT * base[0]
-                band = bands.of(lang, "" if lang in bands.by_lang else script_of(text))
-                inside = base[0] < bands.least_words or (values[0] >= band.least_chars_per_piece and values[1] >= band.least_chars_per_token and values[2] <= band.most_byte_share and values[3] >= band.least_entropy)
-                rows.append((*base, *values, not failed and inside, failed))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [t for _, t in FIELDS] + [pa.bool_()], strict=True))], [*batch.schema.names, *names])
+            yield measured_batch(batch)
 
     from pyspark.sql import types as T
 

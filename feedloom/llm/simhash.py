@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import ascii_lower, checkpointed, mix64, saved, sliced, texts_of
+from feedloom.llm.common import ascii_lower, checkpointed, let_go, mix64, saved, sliced, texts_of
 from feedloom.llm.components import connected_components
 
 #: Fingerprints of one band value that meet in one tree at most (in expectation); larger groups are cut into chunks.
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, *, words_per_shingle: int = 3, seed: int = 42,
     """(id, fp): the fingerprint of each whole text as a signed 64-bit integer. Null texts count as empty (fp 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in sliced(batches, "_text", 4 << 20):
             fps = np.array([fingerprint(t, words_per_shingle, seed) for t in texts_of(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
@@ -158,6 +159,7 @@ def links(members: DataFrame, routes: DataFrame, *, radius: int, similarity: flo
     kind = "<u4" if sampled else "<u8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         key, own, others = None, [], []
         a: list[int] = []
         b: list[int] = []
@@ -229,6 +231,7 @@ def signatures(docs: DataFrame, *, words_per_shingle: int = 5, seed: int = 42, w
     key a 64-bit hash that names them, the sketch their whole set, bytes its size, the sample its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in sliced(batches, "text", 4 << 20):
             fps, keys, sizes, samples, routes, sketches = [], [], [], [], [], []
             for text in texts_of(batch.column(1)):

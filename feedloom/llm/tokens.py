@@ -18,6 +18,8 @@ CACHE_PIECES, LONGEST_KEPT = 400_000, 64
 PART_CHARS = 4 << 20
 #: Pieces whose ids are gathered at a time.
 _STEP = 1 << 16
+#: New pieces that the library encodes at a time; what it gives for one takes many times its ids.
+_LEARNT = 1 << 12
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -106,9 +108,11 @@ class PieceEncoder:
                         tails.clear()
                     end = tails[tail] = b"".join([bytes_of[t.id] for t in tokenize(tail)])
                 out[p] = ids + end
-        shown = [p if p[:1].isspace() else " " + p for p in rest]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(shown, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for lo in range(0, len(rest), _LEARNT):
+            some = rest[lo : lo + _LEARNT]
+            shown = [p if p[:1].isspace() else " " + p for p in some]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+                out[p] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
