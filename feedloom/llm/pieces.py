@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from feedloom.llm.tokens import vocabulary_path
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
-#: Segments and pairs of pieces kept by one Python worker; at so many the caches start anew. Ids do not depend on it.
+#: Segments in each of the cache's two generations, and pairs of pieces, kept by one Python worker; at so many pairs their
+#: cache starts anew. Ids do not depend on it. Longer segments are not kept.
 CACHE_SEGMENTS, CACHE_PAIRS, LONG_SEGMENT = 300_000, 2_000_000, 64
+#: Bytes of text in a batch, and characters of new segments in one suffix array, about.
+BATCH_BYTES, MATCH_CHARS = 4 << 20, 1 << 19
 #: A line feed, which no piece joins to anything; else a run of marks, if any, and what follows up to the next cut.
 _SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -26,9 +31,12 @@ class PieceModel:
     """The pieces of a BPE model with byte fallback, and the encoder of batches of texts.
 
     A text gets a mark in front and one for each space. Pieces hold a mark at their beginning only (or are runs of
-    marks), so segments between marks are encoded apart, each distinct one once while the cache holds it.
+    marks), so segments between marks are encoded apart: Arrow splits a batch of texts and numbers the distinct segments,
+    and their ids are gathered by number. What the cache does not hold is encoded once, punctuation behind a segment
+    apart from it where no piece joins the two. The cache has two generations: what is used moves to the young one, and
+    when that is full it becomes the old one, so frequent segments stay and memory is bounded.
 
-    encode(): the new segments of a batch are joined into one text, whose suffixes are sorted; each piece's occurrences
+    _match(): new segments are joined into one text, whose suffixes are sorted; each piece's occurrences
     are the range that two binary searches give. The occurrences are edges, sorted by their end and relaxed in that
     order: an edge is taken if the last piece before it and its own stay apart when the BPE merges both alone. Exactly
     one edge into each place passes, namely the last piece of the BPE of all text before that place, so the path is the
@@ -48,21 +56,25 @@ class PieceModel:
         if any((MARK in p[1:] and p.strip(MARK)) or ("\n" in p and p != "\n") for p in self.ids):
             raise ValueError("the model has pieces across spaces or lines")
         self.is_byte = np.array([sp.is_byte(i) for i in range(size)])
-        self.out = [bytes([int(self.text[i][3:5], 16)]) if sp.is_byte(i) else self.text[i].replace(MARK, " ").encode() if plain[i] else b"" for i in range(size)]
+        self.out = pa.array([bytes([int(self.text[i][3:5], 16)]) if sp.is_byte(i) else self.text[i].replace(MARK, " ").encode() if plain[i] else b"" for i in range(size)], pa.large_binary())
         long = [p for p in self.ids if len(p) > 1 and MARK not in p[1:]]
         self.keys = np.array([p.encode() for p in long])
         self.key_ids = np.array([self.ids[p] for p in long])
         self.key_bytes = np.array([len(p.encode()) for p in long])
         self.width = int(self.key_bytes.max())
         self.upper = np.array([p.encode() + b"\xff" for p in long])
-        self.tails = {c: self._ids_of([c]) for c in ".,;:!?" if not any(y == c and x.isalpha() for p in self.ids for x, y in zip(p, p[1:], strict=False))}
-        self.segments: dict[str, bytes] = {}
+        # Characters that follow each other in a piece; between others nothing merges.
+        self.joined = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
+        self.traces: dict[str, tuple] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # Known pairs: (left piece + 1, or 0 at a beginning) * span + piece, sorted, and whether they stay apart.
         self.span = size + 0x110000
         self.pair_keys, self.pair_fits = np.array([-1]), np.array([False])
 
-    def merge(self, text: str) -> list[str]:
-        """The BPE of one string: the adjacent pair with the best score is merged first, the leftmost of equals."""
+    def merge(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """The BPE of one string: the adjacent pair with the best score is merged first, the leftmost of equals. steps
+        gets, before each merge, its score and the first and last part so far."""
         parts: list[str | None] = list(text)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         heap: list[tuple[float, int, str]] = []
@@ -73,10 +85,15 @@ class PieceModel:
 
         for a in range(len(parts) - 1):
             offer(a, a + 1)
+        end = len(parts) - 1
         while heap:
-            _, a, both = heapq.heappop(heap)
+            score, a, both = heapq.heappop(heap)
             if parts[a] is None or (b := after[a]) < 0 or parts[a] + parts[b] != both:
                 continue
+            if steps is not None:
+                steps.append((-score, parts[0], parts[end]))
+            if b == end:
+                end = a
             parts[a], parts[b], after[a] = both, None, after[b]
             if after[b] >= 0:
                 before[after[b]] = a
@@ -93,12 +110,34 @@ class PieceModel:
                 out.extend(self.byte[b] for b in p.encode())
         return np.array(out, dtype="<u4").tobytes()
 
+    def _trace(self, piece: str) -> tuple[bool, list[float], list[str], list[str]]:
+        """Whether the BPE of the piece gives it again; and the scores of its merges, one after the other, with the first
+        and last part before each and at the end, where the score is that of no merge."""
+        if (known := self.traces.get(piece)) is None:
+            steps: list[tuple[float, str, str]] = []
+            parts = self.merge(piece, steps)
+            scores, first, last = zip(*steps, (-np.inf, parts[0], parts[-1]), strict=True)
+            known = self.traces[piece] = len(parts) == 1, scores, first, last
+        return known
+
     def _fits(self, left: int, piece: int) -> bool:
-        """Whether the BPE of the two pieces joined (of the piece alone at a beginning) gives them again."""
-        if left < 0:
-            return self.merge(self._name(piece)) == [self._name(piece)]
-        names = [self._name(left), self._name(piece)]
-        return self.merge(names[0] + names[1]) == names
+        """Whether the BPE of the two pieces joined (of the piece alone at a beginning) gives them again.
+
+        Up to the first merge across, each side's merges are those that it has alone, the better one of both first and
+        the left one of equals; so it is enough to ask before each whether the parts that meet would be merged instead."""
+        whole, scores, firsts, _ = self._trace(self._name(piece))
+        if left < 0 or not whole:
+            return whole
+        whole, left_scores, _, lasts = self._trace(self._name(left))
+        i = j = 0
+        while whole:
+            here, there = left_scores[i], scores[j]
+            if (both := self.ids.get(lasts[i] + firsts[j])) is not None and self.score[both] > here and self.score[both] >= there:
+                return False
+            if here == there == -np.inf:
+                break
+            i, j = (i + 1, j) if here >= there else (i, j + 1)
+        return whole
 
     def _name(self, piece: int) -> str:
         """Characters without a piece are numbered beyond the pieces, by code point."""
@@ -170,35 +209,110 @@ class PieceModel:
         for i, (lo, hi, strange) in enumerate(zip(bounds, bounds[1:], odd[: len(segments)].tolist(), strict=False)):
             yield self._ids_of([self._name(x) for x in path[lo // 4 : hi // 4].tolist()]) if strange else data[lo:hi]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.segments
-        new = {s for segments in split for s in segments if s not in known}
-        if len(known) + len(new) > CACHE_SEGMENTS:
-            known.clear()
-            new = {s for segments in split for s in segments}
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new segments."""
+        known: dict[str, bytes] = {"": b""}
+        young, old, joined = self.young, self.old, self.joined
+        whole, tailed = [], []
+        for s in new:
+            if s == "\n" or s[1:2] == MARK:
+                known[s] = self._ids_of(self.merge(s))
+                continue
+            # Punctuation behind a segment is encoded apart where no piece joins the two.
+            core = s.rstrip(string.punctuation)
+            if core and core != s and core[-1] + s[len(core)] not in joined:
+                tailed.append((s, core, tail := s[len(core) :]))
+                for part in (core, tail):
+                    if part not in known:
+                        if (x := young.get(part) or old.get(part)) is None:
+                            whole.append(part)
+                        else:
+                            known[part] = x
+            elif s:
+                whole.append(s)
+        whole = list(dict.fromkeys(whole))
+        sizes, lo = np.cumsum([len(s) for s in whole]), 0
+        while lo < len(whole):
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + MATCH_CHARS, side="right")))
+            known.update(zip(whole[lo:hi], self._match(whole[lo:hi]), strict=True))
+            lo = hi
+        known.update((s, known[core] + known[tail]) for s, core, tail in tailed)
+        return known
+
+    def _ids(self, segments: list[str]) -> list[bytes]:
+        """Ids of distinct segments."""
+        young, old = self.young, self.old
+        out = list(map(young.get, segments))
+        missing, new = [i for i, x in enumerate(out) if x is None], []
+        for i in missing:
+            if (x := old.get(segments[i])) is None:
+                new.append(segments[i])
+            else:
+                young[segments[i]] = out[i] = x
         if len(self.pair_keys) > CACHE_PAIRS:
             self.pair_keys, self.pair_fits = np.array([-1]), np.array([False])
-        runs = [s for s in new if s == "\n" or s[1:2] == MARK]
-        plain = [s for s in new if s != "\n" and s[1:2] != MARK]
-        # Where no piece holds a letter and then this mark, a segment's last mark is cut off.
-        tailed = [s for s in plain if s[-1] in self.tails and len(s) > 1 and s[-2].isalpha()]
-        whole = list({*(s for s in plain if not (s[-1] in self.tails and len(s) > 1 and s[-2].isalpha())), *(s[:-1] for s in tailed if s[:-1] not in known)})
-        if whole:
-            known.update(zip(whole, self._match(whole), strict=True))
-        known.update((s, known[s[:-1]] + self.tails[s[-1]]) for s in tailed)
-        for s in runs:
-            known[s] = self._ids_of(self.merge(s))
-        out = [b"".join(map(known.__getitem__, segments)) for segments in split]
-        for s in [s for s in (*new, *whole) if len(s) > LONG_SEGMENT]:
-            known.pop(s, None)
+        learnt = self._learn(new)
+        for i in missing:
+            if out[i] is None:
+                out[i] = learnt[segments[i]]
+        young.update((s, x) for s, x in learnt.items() if len(s) <= LONG_SEGMENT)
+        if len(young) > CACHE_SEGMENTS:
+            self.old, self.young = young, {}
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        data = b"".join(map(self.out.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return data.decode("utf-8", "replace").removeprefix(" ")
+    def _segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(segments of all texts one after the other, empty ones among them, and the end of each text's)."""
+        text = lambda x: pa.scalar(x, pa.large_string())
+        # A space that is no other's neighbour begins a segment, so Arrow splits at spaces and around line feeds.
+        marked = pc.binary_join_element_wise(text(MARK), pc.replace_substring(texts, " ", f" {MARK}"), text(""))
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \n "), " ")
+        return lists.flatten(), lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+
+    def _odd(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The same for texts with runs of marks."""
+        split = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
+        return pa.array([s for segments in split for s in segments], pa.large_string()), np.cumsum([len(segments) for segments in split])
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, end of each text's); null texts have none."""
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  |{MARK}"), pc.equal(texts, ""))
+        if not pc.any(odd).as_py():
+            return self._gathered(*self._segments(texts))
+        if pc.all(odd).as_py():
+            return self._gathered(*self._odd(texts))
+        ids, ends = self._gathered(*self._segments(pc.filter(texts, pc.invert(odd))))
+        others, their_ends = self._gathered(*self._odd(pc.filter(texts, odd)))
+        plain, rest = iter(np.split(ids, ends[:-1])), iter(np.split(others, their_ends[:-1]))
+        each = [next(rest if strange else plain) for strange in odd.to_pylist()]
+        return np.concatenate(each), np.cumsum([len(x) for x in each])
+
+    def _gathered(self, segments: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments one after the other, and the ends of texts among them."""
+        coded = segments.dictionary_encode()
+        known = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        upto, data = _flat(known.take(coded.indices))
+        return np.frombuffer(data, dtype="<u4"), upto[ends] // 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(texts) else []
+
+    def decode_column(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each part of the ids; bytes that are no UTF-8 become replacement characters."""
+        upto, data = _flat(self.out.take(pa.array(ids)))
+        bounds = upto[np.append(0, ends)].tolist()
+        return [bytes(data[lo:hi]).decode("utf-8", "replace").removeprefix(" ") for lo, hi in zip(bounds, bounds[1:], strict=False)]
+
+
+def _flat(column: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """(offsets, values) of a column that is no slice of another and has no nulls."""
+    _, offsets, data = column.buffers()
+    upto = np.frombuffer(offsets, np.int64, len(column) + 1) if len(column) else np.zeros(1, np.int64)
+    return upto, memoryview(data or b"")[: upto[-1]]
 
 
 def model(path: str) -> PieceModel:
@@ -216,12 +330,13 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in sliced(batches, "_text", 1 << 20):
-            ids = m.encode([t or "" for t in batch.column(1).to_pylist()])
-            n = [len(x) // 4 for x in ids]
-            fallback = [int(m.is_byte[np.frombuffer(x, dtype="<u4")].sum()) for x in ids]
-            texts = list(map(m.decode, ids)) if with_decoded else [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(texts, pa.string())], ["_id", "ids", "n_tokens", "n_bytes", "decoded"])
+        for batch in sliced(batches, "_text", BATCH_BYTES):
+            ids, ends = m.encode_column(batch.column(1))
+            n = np.diff(ends, prepend=0)
+            fallback = np.diff(np.append(0, np.cumsum(m.is_byte[ids]))[ends], prepend=0)
+            texts = m.decode_column(ids, ends) if with_decoded else [None] * len(ends)
+            each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), each.cast(pa.binary()), pa.array(n), pa.array(fallback), pa.array(texts, pa.string())], ["_id", "ids", "n_tokens", "n_bytes", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     out = rows.mapInArrow(run, "_id long, ids binary, n_tokens long, n_bytes long, decoded string").withColumnRenamed("_id", id_col)
@@ -236,8 +351,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            texts = [None if x is None else m.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            column = batch.column(at)
+            ids = np.frombuffer(b"".join(pc.fill_null(column, b"").to_pylist()), dtype="<u4")
+            texts = m.decode_column(ids, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // 4)
+            known = [t if there else None for t, there in zip(texts, column.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.string())], [*batch.schema.names, "decoded"])
 
     from pyspark.sql import types as T
 
