@@ -109,20 +109,33 @@ def _least(keys: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None) -> t
         return keys, ids, np.empty(0, dtype=bool), ids
     if at is None:
         fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-        keys, ids, at = keys[fresh], ids[fresh], np.zeros(int(fresh.sum()), dtype=np.int64)
-    order = np.lexsort((at, ids, keys))
-    keys, ids, at = keys[order], ids[order], at[order]
+        keys, ids = keys[fresh], ids[fresh]
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    last = np.append(first[1:], len(keys)) - 1
-    return keys[first], ids[first], ids[first] < ids[last], at[first]
+    least = np.minimum.reduceat(ids, first)
+    many = least < np.maximum.reduceat(ids, first)
+    if at is None:
+        return keys[first], least, many, np.zeros(len(first), dtype=np.int64)
+    of_least = ids == np.repeat(least, np.diff(first, append=len(keys)))
+    place = np.minimum.reduceat(np.where(of_least, at[order], np.iinfo(np.int64).max), first)
+    return keys[first], least, many, place
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The place of each key in known (sorted), or -1."""
+    out = np.full(len(keys), -1)
     if not len(known):
-        return np.full(len(keys), -1)
-    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[place] == keys, place, -1)
+        return out
+    # Most keys are not there, which a table of their last bits tells sooner than a search.
+    last_bits = np.uint64((1 << min(24, (16 * len(known)).bit_length())) - 1)
+    table = np.zeros(int(last_bits) + 1, dtype=bool)
+    table[(known & last_bits).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(keys & last_bits).astype(np.int64)])
+    some = keys[maybe]
+    place = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    out[maybe] = np.where(known[place] == some, place, -1)
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -151,37 +164,43 @@ def quotes(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, o
                 yield int(ids[doc]), part, b" ".join(said)
 
 
-def _matches(streams: list[str], passages: list[str], window: int) -> list[np.ndarray]:
-    """For each document (its words, each with one space around) the words at which a piece of a passage begins. Every
-    window of a passage holds one of its pieces, which follow each other."""
+def _piece(window: int) -> int:
+    """Words of a piece. Pieces follow each other in a passage, so that every window of it holds one."""
+    return (window + 1) // 2
+
+
+def _matches(streams: dict[int, str], pieces: Iterator[str], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each document (its words, each with one space around) the words at which one of the pieces of n words begins."""
     import ahocorasick
 
-    piece = (window + 1) // 2
     automaton = ahocorasick.Automaton()
-    for passage in passages:
-        words = passage.split(" ")
-        for i in range(0, len(words) - piece + 1, piece):
-            automaton.add_word(f" {' '.join(words[i : i + piece])} ", 0)
-    if not len(automaton):
-        return [np.empty(0, np.int64) for _ in streams]
+    for words in pieces:
+        automaton.add_word(f" {words} ", 0)
     automaton.make_automaton()
-    out = []
-    for stream in streams:
+    for doc, stream in streams.items():
         ends = np.fromiter((end for end, _ in automaton.iter(stream)), dtype=np.int64)
         if len(ends):
             spaces = np.flatnonzero(np.frombuffer(stream.encode("utf-32-le"), np.uint32) == 0x20)
-            ends = np.searchsorted(spaces, ends) - piece
-        out.append(ends)
-    return out
+            yield doc, np.searchsorted(spaces, ends) - n
+
+
+def _pieces(passages: list[str], wanted: np.ndarray, n: int) -> Iterator[str]:
+    """The n words of each (passage, first word), which are in order."""
+    last, words = -1, []
+    for p, at in wanted.T.tolist():
+        if p != last:
+            last, words = p, passages[p].split(" ")
+        yield " ".join(words[at : at + n])
 
 
 def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int, passages: list[bytes], owners: np.ndarray) -> dict[int, np.ndarray]:
     """A mask of removed words for each document of the shard that loses any.
 
-    An automaton of the passages' pieces is compiled, and every document streams through it. Around each occurrence the
-    document's windows are looked up among those of the passages by hash, and each is removed if its words are a
-    passage's, compared as text, whose owner is smaller. Parts are quoted whole, so several passages may hold a window,
-    those of larger owners too: the smallest owner's comes first, and others only where its words differ."""
+    Parts are quoted whole, so most of their windows are in no other document. The documents' windows are looked up among
+    those of the passages by hash; an automaton is compiled of a piece of each passage's window that is met, and every
+    document with such a window streams through it. The windows around each occurrence are removed if their words are a
+    passage's, compared as text, whose owner is smaller. Several passages may hold a window, those of larger owners too:
+    the smallest owner's comes first, and others only where its words differ."""
     out: dict[int, np.ndarray] = {}
     if not passages:
         return out
@@ -189,25 +208,34 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
     keys = quoted.hashes()
     by_key = np.lexsort((owners[quoted.doc], keys))
     keys = keys[by_key]
-    streams = [f" {b' '.join(t.split()).decode()} " for t in texts]
     windows = Windows(texts, window, window)
+    first = _among(windows.hashes(), keys)
+    looked = np.flatnonzero(first >= 0)
+    first = first[looked]
+    smaller = (owners[quoted.doc[by_key[first]]] < ids[windows.doc[looked]]) & ~null[windows.doc[looked]]
+    looked, first = looked[smaller], first[smaller]
+    if not len(looked):
+        return out
+    streams = {d: f" {b' '.join(texts[d].split()).decode()} " for d in np.unique(windows.doc[looked]).tolist()}
     near = np.zeros(len(windows.words) + 1, dtype=bool)
     plain = [p.decode() for p in passages]
+    # A piece lies in a window if it begins early enough in it; of each window that is met, the first one.
+    piece = _piece(window)
+    same_key = np.cumsum(np.append(0, keys[1:] != keys[:-1]))
+    met = by_key[np.isin(same_key, same_key[first])]
+    of, at = quoted.doc[met], quoted.at[met] - quoted.first_word[quoted.doc[met]]
+    wanted = np.stack(np.divmod(np.unique((of << 32) | (-(-at // piece) * piece)), 1 << 32))
     sizes, lo = np.cumsum([len(p) for p in passages]), 0
     while lo < len(plain):
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + AUTOMATON_BYTES, side="right")))
-        for doc, hits in enumerate(_matches(streams, plain[lo:hi], window)):
-            near[hits + windows.first_word[doc]] = True
+        begin, end = np.searchsorted(wanted[0], [lo, hi])
+        if begin < end:
+            for d, hits in _matches(streams, _pieces(plain, wanted[:, begin:end], piece), piece):
+                near[hits + windows.first_word[d]] = True
         lo = hi
-    # A window is looked at if a piece begins in it early enough to lie in it.
-    piece = (window + 1) // 2
     upto = np.cumsum(np.append(0, near))
-    looked = np.flatnonzero(upto[np.minimum(windows.at + window - piece + 1, len(near))] > upto[windows.at])
-    first = _among(windows.hashes()[looked], keys)
-    hit = first >= 0
-    looked, first = looked[hit], first[hit]
-    smaller = (owners[quoted.doc[by_key[first]]] < ids[windows.doc[looked]]) & ~null[windows.doc[looked]]
-    looked, first = looked[smaller], first[smaller]
+    held = upto[np.minimum(windows.at[looked] + window - piece + 1, len(near))] > upto[windows.at[looked]]
+    looked, first = looked[held], first[held]
     if not len(looked):
         return out
 
@@ -242,8 +270,9 @@ def located(ids: np.ndarray, null: np.ndarray, texts: list[bytes], window: int,
         a, b, n = int(at[lo]), int(there[lo]), hi - lo
         same = [range(n)] if words[a : a + n + window - 1] == other[b : b + n + window - 1] else [range(i, i + 1) for i in range(n) if words[a + i : a + i + window] == other[b + i : b + i + window] or among_others(lo + i)]
         for part in same:
-            mask = out.setdefault(d, np.zeros(len(words), dtype=bool))
-            mask[a + part.start : a + part.stop + window - 1] = True
+            if d not in out:
+                out[d] = np.zeros(len(words), dtype=bool)
+            out[d][a + part.start : a + part.stop + window - 1] = True
     return out
 
 
@@ -263,8 +292,9 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, anchor: int = ANCHOR_
        and its part of that document. Those with two ids are confirmed; the smallest id of all shards is the owner.
     3. Quotation. Documents fall into parts of PART_WINDOWS windows. Each owner's shard quotes a part that holds confirmed
        windows once, in words, and it goes to the shards that sent one of these, each of which gets it once.
-    4. Location. Each shard compiles the passages it got into an Aho-Corasick automaton and streams all its documents
-       through it; occurrences are compared with the passage's words, and removed where the owner is smaller.
+    4. Location. Each shard compiles pieces of the passages it got, those that its windows meet by hash, into an
+       Aho-Corasick automaton and streams the documents with such windows through it; occurrences are compared with the
+       passage's words, and removed where the owner is smaller.
     Hashes choose what is quoted and where it goes; words decide. A hash that two sequences share can only hide a
     repeat. Anchors and windows are combined within a shard first, so a passage that all documents share has a row for
     each shard of that shuffle, and the passes over such rows stream.
