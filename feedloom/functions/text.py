@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, although lambdas in f use it for each element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 
@@ -199,22 +205,33 @@ def benefits_section(html: Column, text: Column) -> Column:
     """The lines of 5 to 199 characters, without bullets, below the first short line that names benefits; null if none.
 
     They end at a short line in capitals, or, once there is one, at a short line of five words or fewer that starts like
-    a title and has neither bullet nor colon. HTML comes before text."""
-    source = F.when(F.length(html) > 0, sanitize_lines(html)).otherwise(text)
-    lines = F.filter(F.transform(F.split(source, "\n"), trim_all), lambda x: x != "")
+    a title and has neither bullet nor colon. HTML comes before text. Each step is computed once for a text, since
+    lambdas would repeat for each line what they hold."""
     short = lambda x: F.length(x) < 60
-    first = lambda rows, test: F.array_position(F.transform(rows, lambda x: F.coalesce(test(x), F.lit(False))), True)
-    start = first(lines, lambda x: short(x) & x.rlike(_BENEFITS_HEADER)).cast("int")
-    below = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+    first = lambda rows, test: F.array_position(F.transform(rows, lambda x: F.coalesce(test(x), F.lit(False))), True).cast("int")
     plain = lambda x: trim_all(F.regexp_replace(x, r"^[\s\-–—*•●◦▪·]+", ""))
-    fits = lambda x: F.length(plain(x)).between(5, 199)
-    capitals = first(below, lambda x: short(x) & x.rlike(r"^[A-Z][A-Z\s]{3,}$"))
-    item = first(below, fits)
     title = lambda x: short(x) & ~x.rlike(r"^[-•*]") & x.rlike(r"^[A-Z][a-z]") & ~F.contains(x, F.lit(":")) & (F.size(F.split(x, r"\s+")) <= 5)
-    heading = F.array_position(F.transform(below, lambda x, i: title(x) & (item > 0) & (i + 1 > item)), True)
-    end = F.least(F.coalesce(F.nullif(capitals, F.lit(0)), F.size(below) + 1), F.coalesce(F.nullif(heading, F.lit(0)), F.size(below) + 1)).cast("int")
-    items = F.transform(F.filter(F.slice(below, 1, end - 1), fits), plain)
-    return F.when((F.length(source) >= 10) & (start > 0) & (F.size(items) > 0), items)
+
+    def found(source: Column) -> Column:
+        lines = F.filter(F.transform(F.split(source, "\n"), trim_all), lambda x: x != "")
+        return F.when(F.length(source) >= 10, _once(lines, section))
+
+    def section(lines: Column) -> Column:
+        start = first(lines, lambda x: short(x) & x.rlike(_BENEFITS_HEADER))
+        return _once(start, lambda at: F.when(at > 0, _once(F.slice(lines, at + 1, F.size(lines) - at), listed)))
+
+    def listed(below: Column) -> Column:
+        rows = F.transform(below, lambda x: F.struct(x.alias("line"), plain(x).alias("item")))
+        rows = F.transform(rows, lambda r: F.struct(r["line"], r["item"], F.length(r["item"]).between(5, 199).alias("fits")))
+        return _once(rows, lambda r: _once(first(r, lambda x: x["fits"]), lambda item: F.when(item > 0, items(r, item))))
+
+    def items(rows: Column, item: Column) -> Column:
+        ends = lambda x, i: (short(x["line"]) & x["line"].rlike(r"^[A-Z][A-Z\s]{3,}$")) | ((i + 1 > item) & title(x["line"]))
+        end = F.array_position(F.transform(rows, ends), True).cast("int")
+        kept = F.filter(_once(end, lambda at: F.when(at > 0, F.slice(rows, 1, at - 1)).otherwise(rows)), lambda x: x["fits"])
+        return _once(F.transform(kept, lambda x: x["item"]), lambda x: F.when(F.size(x) > 0, x))
+
+    return _once(F.when(F.length(html) > 0, sanitize_lines(html)).otherwise(text), found)
 
 
 #: Headers at which a listing's own text starts, most specific first, and sentences that say nothing of it.
@@ -257,8 +274,7 @@ def strip_boilerplate(text: Column) -> Column:
         own = F.filter(sentences, lambda s: (s["plain"] != "") & says(s))
         return chain.otherwise(trim_all(F.array_join(F.transform(own, lambda s: s["s"]), " ")))
 
-    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
-    return once(once(F.lower(text), places), cut)
+    return _once(_once(F.lower(text), places), cut)
 
 
 def relative_date(day: Column, as_of: Column) -> Column:

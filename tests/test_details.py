@@ -89,6 +89,15 @@ def test_benefit_lines_of_all_documents(spark, sf):
     assert [(d, got[d]) for d in tame if got[d] != plain_benefits(text[d])] == []
 
 
+def test_benefits_section_computes_a_step_once(spark, sf):
+    """A step that a lambda names anew is run again for each line, so time grew with the square of a text's lines."""
+    plan = entry.queries()["benefit_lines"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("javascript:") == 1 and plan.count("what we offer") == 1
+    rows = [["Perks", "ab", "Free Lunch", *["- something good"] * 3, "Next Title Here", "- not this"], ["Perks", "Title", "TEAM", "- not this"], ["Perks", *["- something good"] * 500], ["Perks", "ab", "CAPS", "- not this"], ["No header", "- not this"]]
+    got = [r.x for r in spark.createDataFrame([("\n".join(r),) for r in rows], "t string").select(X.benefits_section(F.lit(""), F.col("t")).alias("x")).collect()]
+    assert got == [["Free Lunch", *["something good"] * 3], ["Title"], ["something good"] * 500, None, None]
+
+
 def plain_description(html):
     """By depth of open divs, then the meta description, then the largest section."""
     if m := re.search(r'class="show-more-less-html__markup[^"]*"[^>]*>', html, re.I):
